@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quotelens.session import configure
 
-TABLE_NAMES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 MODULES = ("quotelens.queries.operators", "quotelens.queries.mart")
 
 Given = dict[str, DataFrame]
