@@ -7,20 +7,30 @@ from quotelens.operators.ranking import (
     nth_per_key,
     sequence_index,
 )
-from quotelens.operators.rollup import child_totals, label_extremes, rollup_extremes
+from quotelens.operators.rollup import (
+    child_totals,
+    from_units,
+    label_extremes,
+    rollup_extremes,
+    shared_scale,
+    to_units,
+)
 from quotelens.operators.sets import union_disjoint, union_distinct, with_constants
 
 __all__ = [
     "KeyFilter",
     "child_totals",
     "first_by_rank",
+    "from_units",
     "key_set",
     "label_extremes",
     "latest_per_key",
     "nth_per_key",
     "rollup_extremes",
     "sequence_index",
+    "shared_scale",
     "split_by_existence",
+    "to_units",
     "union_disjoint",
     "union_distinct",
     "with_constants",

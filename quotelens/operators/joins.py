@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotelens.sources.staging import stage
+
 
 def key_set(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """Distinct non-null values of one column.
@@ -40,12 +42,25 @@ class KeyFilter:
 
     def __init__(self, driving: DataFrame, max_keys: int, enabled: bool = True):
         self._driving = driving
+        self._max_keys = max_keys
         self.cuts = enabled and driving.count() <= max_keys
 
-    def apply(self, df: DataFrame, key: str, driving_cols: Sequence[str]) -> DataFrame:
+    def apply(self, df: DataFrame, key: str, driving_cols: Sequence[str] = ()) -> DataFrame:
+        """Rows of ``df`` whose ``key`` is in some driving column (its namesake by default)."""
         if not self.cuts:
             return df
+        columns = driving_cols or [key]
         wanted = key_set(
-            self._driving.select(F.explode(F.array(*driving_cols)).alias("__wanted")), "__wanted"
+            self._driving.select(F.explode(F.array(*columns)).alias("__wanted")), "__wanted"
         )
         return df.join(F.broadcast(wanted), df[key] == wanted["__wanted"], "left_semi")
+
+    def through(self, df: DataFrame, name: str) -> tuple[DataFrame, KeyFilter]:
+        """``df``, already cut, and the filter it makes for tables one level below.
+
+        It is staged, since both its size and its keys are read before it is joined.
+        """
+        if not self.cuts:
+            return df, self
+        staged = stage(df, name)
+        return staged, KeyFilter(staged, self._max_keys)

@@ -8,8 +8,9 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType
 
-from quotelens.functions.exprs import guarded_ratio
+from quotelens.functions.exprs import ColumnLike, col, guarded_ratio
 
 STATS = ("min", "avg", "max")
 
@@ -22,6 +23,34 @@ class Measure(NamedTuple):
     value: str
 
 
+def shared_scale(*kinds: DataType) -> int | None:
+    """Decimal places shared by amounts that whole numbers can stand for, else None.
+
+    Spark adds decimals of more than eight digits as objects. As whole numbers of
+    the last digit they are added in place, several times faster, and shuffle at
+    half the size.
+    """
+    scales = {k.scale if isinstance(k, DecimalType) and k.precision <= 15 else None for k in kinds}
+    return scales.pop() if len(scales) == 1 else None
+
+
+def to_units(amount: ColumnLike, scale: int | None) -> Column:
+    """A decimal as a whole number of its last digit; unchanged without a scale.
+
+    Up to 15 digits the way over a double is exact: its error stays below half a
+    unit.
+    """
+    if scale is None:
+        return col(amount)
+    return F.rint(col(amount).cast("double") * F.lit(10.0**scale)).cast("long")
+
+
+def from_units(amount: ColumnLike, scale: int | None) -> Column:
+    """A sum of :func:`to_units` values as a double, the one nearest to the exact sum."""
+    number = col(amount).cast("double")
+    return number if scale is None else number / F.lit(10.0**scale)
+
+
 def child_totals(
     parents: DataFrame,
     parent_key: str,

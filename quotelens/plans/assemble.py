@@ -184,7 +184,7 @@ def build_mart(tables: Tables, params: MartParams | None = None, staged: bool =
         .join(latest_account_facts(t, keep), "account_id", "left")
         .join(rated_people(t, p, keep), "profile_id", "left")
         .join(hypothetical_wide(t, p, keep), "rate_id", "left")
-        .join(keep.apply(reasons, "rate_id", ["rate_id"]), "rate_id", "left")
+        .join(keep.apply(reasons, "rate_id"), "rate_id", "left")
         .join(totals, "quote_id", "left")
         .join(vehicle_limits(t, keep=keep), "quote_id", "left")
         .join(quote_limits(t, keep), "quote_id", "left")

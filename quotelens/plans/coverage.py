@@ -36,7 +36,7 @@ QUOTE_MEASURES = (
 )
 
 
-def _labelled(t: Tables, bridge: str, measures: Sequence[Measure]) -> DataFrame:
+def _labelled(t: Tables, bridge: DataFrame, measures: Sequence[Measure]) -> DataFrame:
     """Bridge rows with the limits of the coverages that some measure reads.
 
     The coverage table is left to Spark to broadcast by its size; past the
@@ -47,7 +47,7 @@ def _labelled(t: Tables, bridge: str, measures: Sequence[Measure]) -> DataFrame:
         .filter(F.col("symbol").isin(*{m.label for m in measures}))
         .select(F.col("id").alias("coverage_id"), "symbol", *sorted({m.value for m in measures}))
     )
-    return t[bridge].join(limits, "coverage_id").drop("coverage_id")
+    return bridge.join(limits, "coverage_id").drop("coverage_id")
 
 
 def vehicle_limits(
@@ -55,9 +55,11 @@ def vehicle_limits(
 ) -> DataFrame:
     """Statistics of the vehicle-level limits, per quote that has any."""
     vehicles = t["vehicle_quotes"].select(F.col("id").alias("vehicle_quote_id"), "quote_id")
+    bridge = t["coverages_vehicle_quotes"]
     if keep is not None:
-        vehicles = keep.apply(vehicles, "quote_id", ["quote_id"])
-    rows = _labelled(t, "coverages_vehicle_quotes", VEHICLE_MEASURES)
+        vehicles, keep = keep.through(keep.apply(vehicles, "quote_id"), "vehicles")
+        bridge = keep.apply(bridge, "vehicle_quote_id")
+    rows = _labelled(t, bridge, VEHICLE_MEASURES)
     per_vehicle = label_extremes(rows, "vehicle_quote_id", "symbol", VEHICLE_MEASURES, stats)
     return rollup_extremes(
         per_vehicle.join(vehicles, "vehicle_quote_id"), "quote_id", VEHICLE_MEASURES, stats
@@ -66,9 +68,10 @@ def vehicle_limits(
 
 def quote_limits(t: Tables, keep: KeyFilter | None = None) -> DataFrame:
     """Highest quote-level limits, per quote that has any."""
-    rows = _labelled(t, "coverages_quotes", QUOTE_MEASURES)
+    bridge = t["coverages_quotes"]
     if keep is not None:
-        rows = keep.apply(rows, "quote_id", ["quote_id"])
+        bridge = keep.apply(bridge, "quote_id")
+    rows = _labelled(t, bridge, QUOTE_MEASURES)
     limits = label_extremes(rows, "quote_id", "symbol", QUOTE_MEASURES)
     return limits.withColumnsRenamed({f"{m.name}_max": m.name for m in QUOTE_MEASURES})
 

@@ -26,7 +26,7 @@ def latest_account_facts(t: Tables, keep: KeyFilter | None = None) -> DataFrame:
     """Newest facts per account."""
     facts = t["account_facts"]
     if keep is not None:
-        facts = keep.apply(facts, "account_id", ["account_id"])
+        facts = keep.apply(facts, "account_id")
     newest = latest_per_key(facts, ["account_id"], "rate_timestamp", ACCOUNT_FACTS)
     return newest.select("account_id", *ACCOUNT_FACTS)
 
@@ -35,7 +35,7 @@ def latest_rating_data(t: Tables, p: MartParams, keep: KeyFilter | None = None)
     """Newest rating data per profile, with marker words split from numbers."""
     data = t["profile_rating_data"]
     if keep is not None:
-        data = keep.apply(data, "profile_id", ["profile_id"])
+        data = keep.apply(data, "profile_id")
     newest = latest_per_key(data, ["profile_id"], "updated_at", ["id"])
 
     def with_status(name: str, markers: tuple[str, ...]) -> list:
@@ -55,17 +55,22 @@ def latest_rating_data(t: Tables, p: MartParams, keep: KeyFilter | None = None)
     )
 
 
-def driver_scores(t: Tables, p: MartParams, check_data: bool = True) -> DataFrame:
+def driver_scores(
+    t: Tables, p: MartParams, keep: KeyFilter | None = None, check_data: bool = True
+) -> DataFrame:
     """Mean driving scores over the drivers of each version of the rating data.
 
     ``check_data=False`` skips the proof that the version exists.
     """
+    drivers = t["driver_rating_data"]
+    if keep is not None:
+        drivers = keep.apply(drivers, "profile_rating_data_id")
 
     def mean(name: str):
         score = sentinel_value(name, p.driving_score_markers, p.strict_casts)
         return F.avg(score).alias(f"mean_{name}")
 
-    scores = t["driver_rating_data"].groupBy("profile_rating_data_id").agg(
+    scores = drivers.groupBy("profile_rating_data_id").agg(
         mean("daveability_score"), mean("distracted_driving_score")
     )
     if check_data:
@@ -76,5 +81,8 @@ def driver_scores(t: Tables, p: MartParams, check_data: bool = True) -> DataFram
 
 def rated_people(t: Tables, p: MartParams, keep: KeyFilter | None = None) -> DataFrame:
     """Newest rating data per profile together with its drivers' mean scores."""
-    scores = driver_scores(t, p, check_data=False)
-    return latest_rating_data(t, p, keep).join(scores, "profile_rating_data_id", "left")
+    data = latest_rating_data(t, p, keep)
+    if keep is not None:
+        data, keep = keep.through(data, "rating_data")
+    scores = driver_scores(t, p, keep, check_data=False)
+    return data.join(scores, "profile_rating_data_id", "left")

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from quotelens.operators.joins import KeyFilter, key_set
 from quotelens.operators.ranking import latest_per_key, nth_per_key
-from quotelens.operators.rollup import child_totals
+from quotelens.operators.rollup import child_totals, from_units, shared_scale, to_units
 from quotelens.plans.params import MartParams
 from quotelens.plans.quotes import Tables
 from quotelens.sources.schemas import VEHICLE_COVERAGES
 
 PAYMENT_PLANS = ("paid_in_full", "monthly")
 HYPOTHETICAL_COVERAGES = ("coll", "comp")
+OPTION_PREMIUMS = {
+    "monthly": "all_full_coverage_premium_dollars",
+    "paid_in_full": "all_full_coverage_premium_dollars_with_paid_in_full_discount",
+}
 
 
 def premium(plan: str, coverage: str) -> str:
@@ -27,15 +31,27 @@ def _vehicle_premiums(plan: str) -> list[str]:
     return [premium(plan, c) for c in VEHICLE_COVERAGES]
 
 
-def _with_total(plan: str, suffix: str = "") -> list[Column]:
+def _scale(df: DataFrame, columns: Sequence[str], other: DataFrame | None = None) -> int | None:
+    """Scale of amounts of one table, and of the umuim premiums of another."""
+    kinds = [df.schema[c].dataType for c in columns]
+    if other is not None:
+        kinds += [f.dataType for f in other.schema if "_umuim_" in f.name]
+    return shared_scale(*kinds)
+
+
+def _in_units(df: DataFrame, columns: Sequence[str], scale: int | None) -> DataFrame:
+    return df.withColumns({c: to_units(c, scale) for c in columns})
+
+
+def _with_total(plan: str, scale: int | None, suffix: str = "") -> list[Column]:
     """The plan's premiums and their total as doubles, added while still exact.
 
     One missing part makes the total null.
     """
     parts = [*_vehicle_premiums(plan), premium(plan, "umuim")]
     total = reduce(lambda a, b: a + b, [F.col(c) for c in parts])
-    return [F.col(c).cast("double").alias(c + suffix) for c in parts] + [
-        total.cast("double").alias(premium(plan, "total") + suffix)
+    return [from_units(c, scale).alias(c + suffix) for c in parts] + [
+        from_units(total, scale).alias(premium(plan, "total") + suffix)
     ]
 
 
@@ -43,24 +59,25 @@ def premium_totals(
     t: Tables, keep: KeyFilter | None = None, keep_cols: Sequence[str] = ()
 ) -> DataFrame:
     """Premium per coverage under both payment plans, and the vehicle count, per quote."""
-    quotes = t["quotes"].select(
-        F.col("id").alias("quote_id"), *[premium(plan, "umuim") for plan in PAYMENT_PLANS]
-    )
+    umuim = [premium(plan, "umuim") for plan in PAYMENT_PLANS]
+    quotes = t["quotes"].select(F.col("id").alias("quote_id"), *umuim)
     vehicles = t["vehicle_quotes"]
     if keep is not None:
         quotes = keep.apply(quotes, "quote_id", keep_cols)
         vehicles = keep.apply(vehicles, "quote_id", keep_cols)
+    sums = [c for plan in PAYMENT_PLANS for c in _vehicle_premiums(plan)]
+    scale = _scale(vehicles, sums, quotes)
     totals = child_totals(
-        quotes,
+        _in_units(quotes, umuim, scale),
         "quote_id",
-        vehicles,
+        _in_units(vehicles, sums, scale),
         "quote_id",
-        sums=[c for plan in PAYMENT_PLANS for c in _vehicle_premiums(plan)],
+        sums=sums,
         counts={"vin": "vehicle_count"},
     )
     return totals.select(
         "quote_id",
-        *[c for plan in PAYMENT_PLANS for c in _with_total(plan)],
+        *[c for plan in PAYMENT_PLANS for c in _with_total(plan, scale)],
         F.col("vehicle_count").cast("double").alias("vehicle_count"),
     )
 
@@ -77,30 +94,27 @@ def hypothetical_by_rate(
     and both coverages come out of one pass over the option premiums.
     """
     vehicles = t["vehicle_rates"].select(F.col("id").alias("vehicle_rate_id"), "rate_id")
+    options = t["vehicle_rate_coverages"]
     if keep is not None:
-        vehicles = keep.apply(vehicles, "rate_id", ["rate_id"])
+        vehicles, keep = keep.through(keep.apply(vehicles, "rate_id"), "rated_vehicles")
+        options = keep.apply(options, "vehicle_rate_id")
     deductibles = (
         t["coverages"]
         .filter(F.col("symbol").isin(*coverages) & F.col("deductible").isNotNull())
         .select(F.col("id").alias("coverage_id"), "symbol", "deductible")
     )
+    scale = _scale(options, list(OPTION_PREMIUMS.values()))
     # Summed per vehicle first: the big option table is combined in the scan
     # stage and meets the vehicles with one row per deductible.
     per_vehicle = (
-        t["vehicle_rate_coverages"]
-        .join(deductibles, "coverage_id")
+        options.join(deductibles, "coverage_id")
         .groupBy("vehicle_rate_id", "symbol", "deductible")
-        .agg(
-            F.sum("all_full_coverage_premium_dollars").alias("monthly"),
-            F.sum("all_full_coverage_premium_dollars_with_paid_in_full_discount").alias(
-                "paid_in_full"
-            ),
-        )
+        .agg(*[F.sum(to_units(c, scale)).alias(plan) for plan, c in OPTION_PREMIUMS.items()])
     )
     per_rate = (
         per_vehicle.join(vehicles, "vehicle_rate_id")
         .groupBy("rate_id", "symbol", "deductible")
-        .agg(*[F.sum(plan).cast("double").alias(plan) for plan in PAYMENT_PLANS])
+        .agg(*[from_units(F.sum(plan), scale).alias(plan) for plan in OPTION_PREMIUMS])
     )
     return nth_per_key(per_rate, ["rate_id", "symbol"], "deductible", p.hypothetical_rank)
 
@@ -108,7 +122,7 @@ def hypothetical_by_rate(
 def _hypothetical_columns(coverage: str) -> dict[str, str]:
     return {
         "deductible": f"{coverage}_deductible_hypothetical",
-        **{plan: f"{premium(plan, coverage)}_hypothetical" for plan in reversed(PAYMENT_PLANS)},
+        **{plan: f"{premium(plan, coverage)}_hypothetical" for plan in OPTION_PREMIUMS},
     }
 
 
@@ -148,7 +162,7 @@ def latest_rerate_quotes(t: Tables, p: MartParams, keep: KeyFilter | None = None
         .select(F.col("id").alias("rerate_id"), "quote_id")
     )
     if keep is not None:
-        rerates = keep.apply(rerates, "quote_id", ["quote_id"])
+        rerates = keep.apply(rerates, "quote_id")
     versions = t["rerate_rates"].select(F.col("id").alias("rerate_rate_id"), "version")
     quotes = t["rerate_quotes"].join(rerates, "rerate_id").join(versions, "rerate_rate_id")
     return latest_per_key(quotes, ["rerate_id"], F.col("version").cast("int"), ["id"]).select(
@@ -168,13 +182,20 @@ def competitor_premiums(
     newest = latest_rerate_quotes(t, p, keep)
     if check_quotes:
         newest = newest.join(key_set(t["quotes"], "id", "quote_id"), "quote_id", "left_semi")
-    sums = _vehicle_premiums("monthly")
-    per_rerate = t["rerate_vehicle_quotes"].groupBy(F.col("rerate_quote_id").alias("id")).agg(
-        *[F.sum(c).alias(c) for c in sums]
+    newest = newest.withColumnRenamed("id", "rerate_quote_id")
+    vehicles = t["rerate_vehicle_quotes"]
+    if keep is not None:
+        newest, keep = keep.through(newest, "rerate_quotes")
+        vehicles = keep.apply(vehicles, "rerate_quote_id")
+    sums, umuim = _vehicle_premiums("monthly"), premium("monthly", "umuim")
+    scale = _scale(vehicles, sums, newest)
+    per_rerate = vehicles.groupBy("rerate_quote_id").agg(
+        *[F.sum(to_units(c, scale)).alias(c) for c in sums]
     )
     totals = (
-        newest.join(per_rerate, "id")
-        .groupBy("quote_id", premium("monthly", "umuim"))
+        _in_units(newest, [umuim], scale)
+        .join(per_rerate, "rerate_quote_id")
+        .groupBy("quote_id", umuim)
         .agg(*[F.sum(c).alias(c) for c in sums])
     )
-    return totals.select("quote_id", *_with_total("monthly", "_nonubi"))
+    return totals.select("quote_id", *_with_total("monthly", scale, "_nonubi"))

@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelens.session import configure
+from quotelens.sources.tables import LazyTables
 
 TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 MODULES = ("quotelens.queries.operators", "quotelens.queries.mart")
 
-Given = dict[str, DataFrame]
+Given = LazyTables
 _queries: dict[str, Callable[[Given], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 
@@ -30,7 +33,9 @@ def query(name: str, sql: str):
 
 
 def read_given(spark: SparkSession, sf_dir: str) -> Given:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLE_NAMES}
+    return LazyTables(
+        {t: partial(spark.read.parquet, f"{sf_dir}/{t}.parquet") for t in TABLE_NAMES}
+    )
 
 
 def plain(df: DataFrame) -> DataFrame:

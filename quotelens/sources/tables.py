@@ -2,38 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quotelens.sources.schemas import SCHEMAS, database_of
 
 
-def load_tables(spark: SparkSession, root: str, **read_options) -> dict[str, DataFrame]:
-    """Read ``<root>/<database>/<table>`` Parquet for all 21 tables, columns checked."""
-    reader = spark.read.options(**read_options)
-    return checked(
-        {t: reader.parquet(f"{root}/{database_of(t)}/{t}") for t in SCHEMAS}
-    )
+class LazyTables(Mapping[str, DataFrame]):
+    """Tables by name, each opened when first asked for."""
 
+    def __init__(self, openers: Mapping[str, Callable[[], DataFrame]]):
+        self._openers = dict(openers)
+        self._opened: dict[str, DataFrame] = {}
 
-def tables_from_catalog(spark: SparkSession, catalog: str | None = None) -> dict[str, DataFrame]:
-    """Read all 21 tables from the metastore as ``[catalog.]database.table``."""
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self._openers[name]()
+        return self._opened[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._openers)
+
+    def __len__(self) -> int:
+        return len(self._openers)
+
+
+def load_tables(spark: SparkSession, root: str) -> LazyTables:
+    """The 21 tables in Parquet under ``<root>/<database>/<table>``."""
+
+    def read(name: str) -> DataFrame:
+        return checked(name, spark.read.parquet(f"{root}/{database_of(name)}/{name}"))
+
+    return LazyTables({name: partial(read, name) for name in SCHEMAS})
+
+
+def tables_from_catalog(spark: SparkSession, catalog: str | None = None) -> LazyTables:
+    """The 21 tables in the metastore as ``[catalog.]database.table``."""
     prefix = f"{catalog}." if catalog else ""
-    return checked({t: spark.table(f"{prefix}{database_of(t)}.{t}") for t in SCHEMAS})
+
+    def read(name: str) -> DataFrame:
+        return checked(name, spark.table(f"{prefix}{database_of(name)}.{name}"))
+
+    return LazyTables({name: partial(read, name) for name in SCHEMAS})
 
 
-def checked(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Project every table to the columns that are read; fail early on a missing one.
+def checked(name: str, df: DataFrame) -> DataFrame:
+    """Project to the columns that are read; fail early if one is missing.
 
-    Types are left as found (ids may be text, money may be of any precision).
+    Types are left as found: ids may be text, money may be of any precision.
     """
-    missing = [
-        f"{name}.{column}"
-        for name, schema in SCHEMAS.items()
-        for column in schema.names
-        if name not in tables or column not in tables[name].columns
-    ]
+    missing = [c for c in SCHEMAS[name].names if c not in df.columns]
     if missing:
-        raise ValueError(f"source columns not found: {', '.join(missing)}")
-    return {name: tables[name].select(*schema.names) for name, schema in SCHEMAS.items()}
+        raise ValueError(f"{name} has no column {', '.join(missing)}")
+    return df.select(*SCHEMAS[name].names)
