@@ -82,7 +82,9 @@ def sequence_index(
     ``slices`` ranges of the order, numbered range by range, and shifted by the
     rows in the ranges before. Which keys are cut and where is chosen from a
     sample, but any choice gives the same numbers. The sample is taken by hash
-    of the row's own sort key, so a re-run task takes the same rows again.
+    of the row's own sort key, so a re-run task takes the same rows again. Rows
+    alike in the whole sort key stay in one range: give tie-breakers that tell
+    them apart.
 
     The ``max_hot_keys`` largest keys are cut, which bounds both broadcasts; any
     other key holds less than ``1 / max_hot_keys`` of the rows.
@@ -121,7 +123,7 @@ def sequence_index(
         df.join(F.broadcast(hot), same_key(df, hot), "inner")
         .filter(F.pmod(row_hash, thinning) == 0)
         .groupBy(*hidden)
-        .agg(F.array_sort(F.collect_list(position)).alias("__sample"))
+        .agg(F.array_sort(F.collect_set(position)).alias("__sample"))
         .select(
             *hidden,
             F.filter(

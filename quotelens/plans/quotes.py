@@ -154,12 +154,20 @@ def _requests(t: Tables, p: MartParams, in_study: bool) -> DataFrame:
     return union_disjoint(new, renewing)
 
 
-def _rate_context(t: Tables) -> DataFrame:
-    """Rates of profiles whose account has facts."""
+def _with_customer(quotes: DataFrame, t: Tables) -> DataFrame:
+    """Add profile, account and market; drop accounts without facts.
+
+    Joined outward from the chosen quotes, so the rates shuffle once, on the key
+    the quotes are already partitioned by, and the rest meets chosen rows only.
+    """
     rates = t["rates"].select(F.col("id").alias("rate_id"), "profile_id", "market")
     profiles = t["profiles"].select(F.col("id").alias("profile_id"), "account_id")
     accounts = key_set(t["account_facts"], "account_id")
-    return rates.join(profiles.join(accounts, "account_id", "left_semi"), "profile_id")
+    return (
+        quotes.join(rates, "rate_id")
+        .join(profiles, "profile_id")
+        .join(accounts, "account_id", "left_semi")
+    )
 
 
 def representative_quotes(t: Tables, p: MartParams, in_study: bool = False) -> DataFrame:
@@ -186,7 +194,7 @@ def representative_quotes(t: Tables, p: MartParams, in_study: bool = False) -> D
         .alias(f"bound_within_{n}_days")
         for n in p.maturity_days
     ]
-    return quotes.join(_rate_context(t), "rate_id").select(
+    return _with_customer(quotes, t).select(
         "quote_id",
         "current_policy_term_revision_quote_id",
         "rate_id",

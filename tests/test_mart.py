@@ -40,6 +40,17 @@ rating_reason mean_daveability_score mean_distracted_driving_score
 """.split()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def without_codegen(spark):
+    """Compiling takes longer than running on a dozen rows; the SQL checks compile."""
+    names = ("spark.sql.codegen.wholeStage", "spark.sql.adaptive.enabled")
+    for name in names:
+        spark.conf.set(name, "false")
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     return fixture_tables(spark)
