@@ -24,7 +24,7 @@ from quotelens.plans.premiums import (
     premium_totals,
 )
 from quotelens.plans.quotes import Tables, representative_quotes
-from quotelens.sources.staging import stage
+from quotelens.sources.staging import shared_folder, stage
 
 #: Reported coverage groups and the coverages each one adds up.
 GROUPS = {
@@ -166,6 +166,7 @@ def build_mart(tables: Tables, params: MartParams | None = None, staged: bool =
     folder. Where there is none the plan stays one lazy query.
     """
     t, p = tables, params or MartParams()
+    staged = staged and shared_folder(t["quotes"].sparkSession) is not None
     base = representative_quotes(t, p, in_study=True)
     base_columns = base.columns
     if staged:
