@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelens.functions.exprs import (
@@ -155,6 +159,18 @@ def _with_current_policy(base: DataFrame, totals: DataFrame) -> DataFrame:
     return union_disjoint(renewals.select(*base.columns, *current.columns[1:]), rest)
 
 
+def _side_by_side(
+    spark: SparkSession, builders: dict[str, Callable[[], DataFrame]]
+) -> dict[str, DataFrame]:
+    """Run the builders at once: those that stage a table leave no core idle meanwhile."""
+    with ThreadPoolExecutor(len(builders)) as pool:
+        started = {
+            name: pool.submit(inheritable_thread_target(spark)(build))
+            for name, build in builders.items()
+        }
+        return {name: future.result() for name, future in started.items()}
+
+
 def build_mart(tables: Tables, params: MartParams | None = None, staged: bool = True) -> DataFrame:
     """One row per representative quote decided in the study period, 85 columns.
 
@@ -166,29 +182,41 @@ def build_mart(tables: Tables, params: MartParams | None = None, staged: bool =
     folder. Where there is none the plan stays one lazy query.
     """
     t, p = tables, params or MartParams()
-    staged = staged and shared_folder(t["quotes"].sparkSession) is not None
+    spark = t["quotes"].sparkSession
+    staged = staged and shared_folder(spark) is not None
     base = representative_quotes(t, p, in_study=True)
     base_columns = base.columns
     if staged:
         base = stage(base, "representative_quotes")
     keep = KeyFilter(base, p.max_broadcast_quotes, enabled=staged)
 
-    totals = premium_totals(t, keep, ["quote_id", "current_policy_term_revision_quote_id"])
-    if staged:
-        totals = stage(totals, "premium_totals")
-
+    def totals() -> DataFrame:
+        both = ["quote_id", "current_policy_term_revision_quote_id"]
+        found = premium_totals(t, keep, both)
+        return stage(found, "premium_totals") if staged else found
+
+    parts = _side_by_side(
+        spark,
+        {
+            "totals": totals,
+            "people": lambda: rated_people(t, p, keep),
+            "hypothetical": lambda: hypothetical_wide(t, p, keep),
+            "vehicle_limits": lambda: vehicle_limits(t, keep=keep),
+            "competitor": lambda: competitor_premiums(t, p, keep, check_quotes=False),
+        },
+    )
     reasons = t["rating_requests"].select("rate_id", F.col("reason").alias("rating_reason"))
     # Joins on the other keys come first, while rows are narrow; those on the
     # quote share one shuffle.
     wide = (
-        _with_current_policy(base, totals)
+        _with_current_policy(base, parts["totals"])
         .join(latest_account_facts(t, keep), "account_id", "left")
-        .join(rated_people(t, p, keep), "profile_id", "left")
-        .join(hypothetical_wide(t, p, keep), "rate_id", "left")
+        .join(parts["people"], "profile_id", "left")
+        .join(parts["hypothetical"], "rate_id", "left")
         .join(keep.apply(reasons, "rate_id"), "rate_id", "left")
-        .join(totals, "quote_id", "left")
-        .join(vehicle_limits(t, keep=keep), "quote_id", "left")
+        .join(parts["totals"], "quote_id", "left")
+        .join(parts["vehicle_limits"], "quote_id", "left")
         .join(quote_limits(t, keep), "quote_id", "left")
-        .join(competitor_premiums(t, p, keep, check_quotes=False), "quote_id", "left")
+        .join(parts["competitor"], "quote_id", "left")
     )
     return wide.select(*_output(p, base_columns))

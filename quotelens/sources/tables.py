@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 from functools import partial
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,11 +17,13 @@ class LazyTables(Mapping[str, DataFrame]):
     def __init__(self, openers: Mapping[str, Callable[[], DataFrame]]):
         self._openers = dict(openers)
         self._opened: dict[str, DataFrame] = {}
+        self._locks = {name: Lock() for name in self._openers}
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._opened:
-            self._opened[name] = self._openers[name]()
-        return self._opened[name]
+        with self._locks[name]:
+            if name not in self._opened:
+                self._opened[name] = self._openers[name]()
+            return self._opened[name]
 
     def __iter__(self) -> Iterator[str]:
         return iter(self._openers)
