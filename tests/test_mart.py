@@ -247,6 +247,11 @@ def test_lazy_staged_and_uncut_marts_are_equal(tables):
     assert staged == sorted(map(repr, build_mart(tables, uncut).collect()))
 
 
+def test_no_shared_folder_leaves_one_lazy_plan(tables, monkeypatch):
+    monkeypatch.setattr("quotelens.plans.assemble.shared_folder", lambda spark: None)
+    assert build_mart(tables, PARAMS).inputFiles() == []
+
+
 def test_parameters_move_the_study_and_rename_ratios(tables):
     moved = MartParams(
         study_start=dt.date(2019, 1, 1), study_end=dt.date(2019, 1, 31), ratio_label="price"
