@@ -1,4 +1,4 @@
-"""Existence splits and size-checked key filters."""
+"""Existence splits and key filters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.sources.staging import stage
+from quotelens.sources.staging import Staging
 
 
 def key_set(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -33,34 +33,29 @@ def split_by_existence(
 
 
 class KeyFilter:
-    """Cuts large tables down to the keys a small driving table needs.
+    """Cuts large tables down to the keys a driving table needs.
 
-    Up to ``max_keys`` driving rows the set is broadcast and the cut happens in
-    the scan stage, ahead of any shuffle. Above that the tables pass uncut: the
-    joins that follow drop the rest, and they meet pre-aggregated rows.
+    A semi-join on the distinct keys, at any size and without a hint: Spark
+    broadcasts the keys while they are few, which cuts in the scan stage, and
+    else shuffles on the key that the aggregate above needs anyway.
     """
 
-    def __init__(self, driving: DataFrame, max_keys: int, enabled: bool = True):
+    def __init__(self, driving: DataFrame, staging: Staging):
         self._driving = driving
-        self._max_keys = max_keys
-        self.cuts = enabled and driving.count() <= max_keys
+        self._staging = staging
 
     def apply(self, df: DataFrame, key: str, driving_cols: Sequence[str] = ()) -> DataFrame:
         """Rows of ``df`` whose ``key`` is in some driving column (its namesake by default)."""
-        if not self.cuts:
-            return df
         columns = driving_cols or [key]
         wanted = key_set(
             self._driving.select(F.explode(F.array(*columns)).alias("__wanted")), "__wanted"
         )
-        return df.join(F.broadcast(wanted), df[key] == wanted["__wanted"], "left_semi")
+        return df.join(wanted, df[key] == wanted["__wanted"], "left_semi")
 
     def through(self, df: DataFrame, name: str) -> tuple[DataFrame, KeyFilter]:
         """``df``, already cut, and the filter it makes for tables one level below.
 
-        It is staged, since both its size and its keys are read before it is joined.
+        It is staged, since its keys are read before it is joined.
         """
-        if not self.cuts:
-            return df, self
-        staged = stage(df, name)
-        return staged, KeyFilter(staged, self._max_keys)
+        staged = self._staging.table(df, name)
+        return staged, KeyFilter(staged, self._staging)

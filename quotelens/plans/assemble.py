@@ -28,7 +28,8 @@ from quotelens.plans.premiums import (
     premium_totals,
 )
 from quotelens.plans.quotes import Tables, representative_quotes
-from quotelens.sources.staging import shared_folder, stage
+from quotelens.session import check_session
+from quotelens.sources.staging import Staging
 
 #: Reported coverage groups and the coverages each one adds up.
 GROUPS = {
@@ -171,29 +172,36 @@ def _side_by_side(
         return {name: future.result() for name, future in started.items()}
 
 
-def build_mart(tables: Tables, params: MartParams | None = None, staged: bool = True) -> DataFrame:
+def build_mart(
+    tables: Tables, params: MartParams | None = None, staging: Staging | None = None
+) -> DataFrame:
     """One row per representative quote decided in the study period, 85 columns.
 
     A quote with several competitor prices, or on a rate with several requests,
     has a row for each combination.
 
-    ``staged`` writes the representative quotes, which everything else is driven
-    by, and the premium totals, which two joins read, to the shared checkpoint
-    folder. Where there is none the plan stays one lazy query.
+    With ``staging`` the representative quotes, which everything else is driven
+    by, and the premium totals, which two joins read, are written first, and
+    every child table is cut down to their keys. Delete its tables when the
+    result is written. Without it, or where no shared folder is named, the plan
+    is one lazy query without those cuts. The session must be set up as
+    :func:`quotelens.session.configure` does.
     """
     t, p = tables, params or MartParams()
     spark = t["quotes"].sparkSession
-    staged = staged and shared_folder(spark) is not None
+    check_session(spark)
+    staged = staging is not None and staging.enabled
     base = representative_quotes(t, p, in_study=True)
     base_columns = base.columns
+    keep = None
     if staged:
-        base = stage(base, "representative_quotes")
-    keep = KeyFilter(base, p.max_broadcast_quotes, enabled=staged)
+        base = staging.table(base, "representative_quotes")
+        keep = KeyFilter(base, staging)
 
     def totals() -> DataFrame:
         both = ["quote_id", "current_policy_term_revision_quote_id"]
         found = premium_totals(t, keep, both)
-        return stage(found, "premium_totals") if staged else found
+        return staging.table(found, "premium_totals") if staged else found
 
     parts = _side_by_side(
         spark,
@@ -206,6 +214,8 @@ def build_mart(tables: Tables, params: MartParams | None = None, staged: bool =
         },
     )
     reasons = t["rating_requests"].select("rate_id", F.col("reason").alias("rating_reason"))
+    if keep is not None:
+        reasons = keep.apply(reasons, "rate_id")
     # Joins on the other keys come first, while rows are narrow; those on the
     # quote share one shuffle.
     wide = (
@@ -213,7 +223,7 @@ def build_mart(tables: Tables, params: MartParams | None = None, staged: bool =
         .join(latest_account_facts(t, keep), "account_id", "left")
         .join(parts["people"], "profile_id", "left")
         .join(parts["hypothetical"], "rate_id", "left")
-        .join(keep.apply(reasons, "rate_id"), "rate_id", "left")
+        .join(reasons, "rate_id", "left")
         .join(parts["totals"], "quote_id", "left")
         .join(parts["vehicle_limits"], "quote_id", "left")
         .join(quote_limits(t, keep), "quote_id", "left")

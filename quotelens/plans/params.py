@@ -50,5 +50,3 @@ class MartParams:
     ratio_label: str = "own_to_competitor"
     #: False turns bad numbers in text columns into nulls instead of failing.
     strict_casts: bool = True
-    #: Most representative quotes whose keys may be broadcast to cut the big tables.
-    max_broadcast_quotes: int = 1_000_000

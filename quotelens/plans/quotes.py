@@ -81,12 +81,13 @@ def term_tenure(t: Tables) -> DataFrame:
     )
 
 
-def quote_choices(t: Tables, p: MartParams) -> DataFrame:
+def quote_choices(t: Tables, p: MartParams, rates: DataFrame | None = None) -> DataFrame:
     """The best-ranked bought and the best-ranked unbought quote of each rate.
 
     Every request on a rate sees the same quotes, so choosing per rate gives each
     request the quote it would choose itself, and requests meet one row per set
-    where they would meet every quote of the rate.
+    where they would meet every quote of the rate. ``rates``: the distinct
+    ``rate_id`` asked for; quotes of others go before anything is shuffled.
     """
     markers = (
         t["initial_policy_term_revisions"]
@@ -100,10 +101,11 @@ def quote_choices(t: Tables, p: MartParams) -> DataFrame:
     bought = markers.join(terms, "policy_term_id", "left").select(
         "quote_id", "bought_invoice_period", F.lit(True).alias("bought")
     )
+    offered = t["quotes"].filter(F.col("rate_id").isNotNull())
+    if rates is not None:
+        offered = offered.join(rates, "rate_id", "left_semi")
     quotes = (
-        t["quotes"]
-        .filter(F.col("rate_id").isNotNull())
-        .select(
+        offered.select(
             F.col("id").alias("quote_id"),
             "rate_id",
             F.to_date("created_at").alias("created_on"),
@@ -181,9 +183,10 @@ def representative_quotes(t: Tables, p: MartParams, in_study: bool = False) -> D
         .when(F.col("bound"), F.col("bought_invoice_period"))
         .otherwise(F.lit(p.unknown_plan))
     )
+    requests = _requests(t, p, in_study)
     quotes = (
-        quote_choices(t, p)
-        .join(_requests(t, p, in_study), "rate_id")
+        quote_choices(t, p, key_set(requests, "rate_id"))
+        .join(requests, "rate_id")
         .withColumn("decision_date", decided_on)
     )
     if in_study:

@@ -8,12 +8,17 @@ from pyspark.sql import SparkSession
 # because splitting it costs one more shuffle; that shuffle moves partial
 # aggregates only, so it is worth taking.
 DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
+#: Ways to write the zone that timestamps are meant in.
+UTC_NAMES = ("UTC", "ETC/UTC", "GMT", "Z", "+00:00", "UTC+0", "GMT+0")
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Fill in :data:`DEFAULTS`; a value given at launch or by the user is kept."""
@@ -22,3 +27,16 @@ def configure(spark: SparkSession) -> SparkSession:
         if name not in given:
             spark.conf.set(name, value)
     return spark
+
+
+def check_session(spark: SparkSession) -> None:
+    """Refuse a session whose dates or casts would differ from the documented ones.
+
+    A timestamp turns into a date in the session's zone, and a bad number or an
+    overflow raises under ANSI mode only.
+    """
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone.upper() not in UTC_NAMES:
+        raise ValueError(f"spark.sql.session.timeZone is {zone}; the plans need UTC")
+    if spark.conf.get("spark.sql.ansi.enabled").lower() != "true":
+        raise ValueError("spark.sql.ansi.enabled is off; the plans need it on")

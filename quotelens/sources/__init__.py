@@ -1,7 +1,7 @@
 """Table schemas, loading and staging."""
 
 from quotelens.sources.schemas import SCHEMAS
-from quotelens.sources.staging import stage
+from quotelens.sources.staging import Staging, shared_folder
 from quotelens.sources.tables import load_tables, tables_from_catalog
 
-__all__ = ["SCHEMAS", "load_tables", "stage", "tables_from_catalog"]
+__all__ = ["SCHEMAS", "Staging", "load_tables", "shared_folder", "tables_from_catalog"]

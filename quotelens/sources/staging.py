@@ -2,33 +2,73 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names for checkpoints.
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str | None:
+    """The folder for intermediate tables, or None if nobody has named one.
 
-    Where none is named, a local session gets a temporary one, and a cluster
-    gets none: a folder of one machine is lost with that machine.
+    ``folder`` itself, else the one given to ``sparkContext.setCheckpointDir``,
+    else ``spark.checkpoint.dir``. It must be one that all machines see, so none
+    is ever made up here.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.conf.get("spark.master", "").startswith("local"):
-        folder = tempfile.mkdtemp(prefix="quotelens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    return None
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder; ``df`` itself if there is none."""
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/quotelens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (
+        folder
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.checkpoint.dir", None)
+    )
+
+
+class Staging:
+    """Parquet tables in the shared folder, deleted together after use.
+
+    ::
+
+        with Staging(spark) as staging:
+            build_mart(tables, params, staging).write.parquet(...)
+
+    A result that reads staged tables is lazy: delete them only when it is
+    written. Tables nobody deletes go when the JVM ends in good order. Without a
+    folder ``table`` gives its frame back and the plan stays one lazy query;
+    ``required`` raises instead, for plans that must not compute a part twice.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, required: bool = False):
+        self._spark = spark
+        self._folder = shared_folder(spark, folder)
+        self._paths: list[str] = []
+        if required and self._folder is None:
+            raise ValueError("name a folder all machines see in spark.checkpoint.dir")
+
+    @property
+    def enabled(self) -> bool:
+        return self._folder is not None
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read back."""
+        if self._folder is None:
+            return df
+        path = f"{self._folder.rstrip('/')}/quotelens/{name}-{uuid.uuid4().hex}"
+        self._paths.append(path)
+        df.write.parquet(path)
+        at, files = self._file_system(path)
+        files.deleteOnExit(at)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def _file_system(self, path: str):
+        at = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self._spark._jsc.hadoopConfiguration())
+
+    def delete(self) -> None:
+        """Delete every table written so far."""
+        while self._paths:
+            at, files = self._file_system(self._paths.pop())
+            files.delete(at, True)
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.delete()

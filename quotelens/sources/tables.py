@@ -7,6 +7,7 @@ from functools import partial
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from quotelens.sources.schemas import SCHEMAS, database_of
 
@@ -32,6 +33,25 @@ class LazyTables(Mapping[str, DataFrame]):
         return len(self._openers)
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_TEXT = (T.StringType, T.VarcharType, T.CharType)
+_DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+_NUMBERS = (*_WHOLE, T.DecimalType, T.FloatType, T.DoubleType)
+
+
+def _allowed(field: T.StructField) -> tuple[type, ...]:
+    """Types that may stand for the one of the schema."""
+    if field.name == "id" or field.name.endswith("_id"):
+        return (*_WHOLE, T.DecimalType, *_TEXT)
+    if isinstance(field.dataType, T.StringType):
+        return _TEXT
+    if isinstance(field.dataType, (T.DateType, T.TimestampType)):
+        return _DATES
+    if isinstance(field.dataType, T.BooleanType):
+        return (T.BooleanType,)
+    return _NUMBERS
+
+
 def load_tables(spark: SparkSession, root: str) -> LazyTables:
     """The 21 tables in Parquet under ``<root>/<database>/<table>``."""
 
@@ -52,11 +72,19 @@ def tables_from_catalog(spark: SparkSession, catalog: str | None = None) -> Lazy
 
 
 def checked(name: str, df: DataFrame) -> DataFrame:
-    """Project to the columns that are read; fail early if one is missing.
+    """Project to the columns that are read; fail early if one is missing or of a wrong type.
 
-    Types are left as found: ids may be text, money may be of any precision.
+    Types are checked by family and left as found: ids may be whole numbers or
+    text, money a decimal of any precision or a double.
     """
     missing = [c for c in SCHEMAS[name].names if c not in df.columns]
     if missing:
         raise ValueError(f"{name} has no column {', '.join(missing)}")
+    wrong = [
+        f"{field.name} is {found.simpleString()}"
+        for field in SCHEMAS[name]
+        if not isinstance(found := df.schema[field.name].dataType, _allowed(field))
+    ]
+    if wrong:
+        raise ValueError(f"{name}: {', '.join(wrong)}")
     return df.select(*SCHEMAS[name].names)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 
 from helpers import plan
 from mart_fixture import DATED, ROWS, fixture_tables
 from quotelens import MartParams, build_mart
+from quotelens.plans.premiums import premium_totals
 from quotelens.plans.quotes import KINDS, quotes_of_kind, representative_quotes, term_tenure
+from quotelens.sources.staging import Staging
 
 PARAMS = MartParams()
 
@@ -239,17 +242,70 @@ def test_tenure_sorts_undated_terms_last(tables):
     assert found == {511: 0, 512: 1, 521: 0, 522: 1, 523: 2, 520: 3}
 
 
-def test_lazy_staged_and_uncut_marts_are_equal(tables):
-    staged = sorted(map(repr, build_mart(tables, PARAMS).collect()))
-    lazy = sorted(map(repr, build_mart(tables, PARAMS, staged=False).collect()))
-    uncut = MartParams(max_broadcast_quotes=1)
-    assert staged == lazy
-    assert staged == sorted(map(repr, build_mart(tables, uncut).collect()))
-
-
-def test_no_shared_folder_leaves_one_lazy_plan(tables, monkeypatch):
-    monkeypatch.setattr("quotelens.plans.assemble.shared_folder", lambda spark: None)
-    assert build_mart(tables, PARAMS).inputFiles() == []
+@pytest.fixture(params=["-1", "10m"], ids=["shuffled", "broadcast"])
+def threshold(spark, request):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.unset(name)
+
+
+def test_staged_mart_equals_lazy_at_any_threshold(spark, tables, threshold):
+    lazy = sorted(map(repr, build_mart(tables, PARAMS).collect()))
+    with Staging(spark) as staging:
+        assert sorted(map(repr, build_mart(tables, PARAMS, staging).collect())) == lazy
+
+
+def test_staged_plans_cut_every_child_table(spark, tables, threshold, monkeypatch):
+    plans = {}
+    write = Staging.table
+
+    def noted(self, df, name):
+        # Not plan(): parts are built side by side, and they share one standard output.
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, df, name)
+
+    monkeypatch.setattr(Staging, "table", noted)
+    with Staging(spark) as staging:
+        plans["mart"] = plan(build_mart(tables, PARAMS, staging))
+        kept = staging.table(premium_totals(tables), "all").count()
+        written = next(f for f in staging._paths if "premium_totals" in f)
+        cut = spark.read.parquet(written)
+        assert cut.count() < kept
+    for text in plans.values():
+        for word in ("EvalPython", "CartesianProduct", "NestedLoop"):
+            assert word not in text
+    for name in ("premium_totals", "vehicles", "rated_vehicles", "rerate_quotes", "rating_data"):
+        assert "LeftSemi" in plans[name], name
+    assert plans["mart"].count("Join type: LeftSemi") >= 6
+
+
+def test_staged_tables_are_deleted(spark, tables):
+    with Staging(spark) as staging:
+        build_mart(tables, PARAMS, staging).collect()
+        paths = [p.removeprefix("file:") for p in staging._paths]
+        assert len(paths) >= 6 and all(os.path.exists(p) for p in paths)
+    assert not any(os.path.exists(p) for p in paths)
+
+
+def test_no_shared_folder_leaves_one_lazy_plan(spark, tables, monkeypatch):
+    monkeypatch.setattr("quotelens.sources.staging.shared_folder", lambda *_: None)
+    staging = Staging(spark)
+    assert not staging.enabled
+    assert build_mart(tables, PARAMS, staging).inputFiles() == []
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        Staging(spark, required=True)
+
+
+def test_other_zones_and_lenient_casts_are_refused(spark, tables):
+    for name, value in (("spark.sql.session.timeZone", "Asia/Tokyo"), ("spark.sql.ansi.enabled", "false")):
+        before = spark.conf.get(name)
+        spark.conf.set(name, value)
+        try:
+            with pytest.raises(ValueError, match=name):
+                build_mart(tables, PARAMS)
+        finally:
+            spark.conf.set(name, before)
 
 
 def test_parameters_move_the_study_and_rename_ratios(tables):
@@ -297,7 +353,7 @@ def test_amounts_held_as_doubles_give_the_same(spark, tables, mart):
 
 
 def test_no_python_worker_and_no_cartesian_product(tables):
-    text = plan(build_mart(tables, PARAMS, staged=False))
+    text = plan(build_mart(tables, PARAMS))
     for word in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoop"):
         assert word not in text
     assert "WindowGroupLimit" in text and "LeftSemi" in text

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helpers import plan, rows
+from quotelens.sources import Staging
 from quotelens.operators import (
     KeyFilter,
     child_totals,
@@ -132,18 +133,20 @@ def test_key_set_drops_nulls_and_repeats(spark):
     assert rows(key_set(df, "k", "key")) == [(1,)]
 
 
-@pytest.mark.parametrize("max_keys", [10, 1])
-def test_key_filter_cuts_only_below_its_bound(spark, max_keys):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_key_filter_cuts_broadcast_or_not(spark, threshold):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, threshold)
     driving = spark.createDataFrame([(1, 5), (2, None)], "a int, b int")
     table = spark.createDataFrame([(i,) for i in range(1, 7)], "k int")
-    keep = KeyFilter(driving, max_keys)
-    found = rows(keep.apply(table, "k", ["a", "b"]))
-    assert found == ([(1,), (2,), (5,)] if max_keys == 10 else [(i,) for i in range(1, 7)])
-    children = spark.createDataFrame([(1, "x"), (9, "y")], "k int, v string")
-    cut, below = keep.through(keep.apply(table, "k", ["a", "b"]), "test")
-    assert rows(below.apply(children, "k")) == (
-        [(1, "x")] if max_keys == 10 else [(1, "x"), (9, "y")]
-    )
+    with Staging(spark) as staging:
+        keep = KeyFilter(driving, staging)
+        assert rows(keep.apply(table, "k", ["a", "b"])) == [(1,), (2,), (5,)]
+        children = spark.createDataFrame([(1, "x"), (9, "y")], "k int, v string")
+        _, below = keep.through(keep.apply(table, "k", ["a", "b"]), "test")
+        found = below.apply(children, "k")
+        assert rows(found) == [(1, "x")] and "LeftSemi" in plan(found)
+    spark.conf.unset(name)
 
 
 def test_unions_and_constants(spark):

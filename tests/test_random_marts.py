@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 
 from quotelens import MartParams, build_mart
+from quotelens.sources.staging import Staging
 from quotelens.queries.mart import mart_sql
 from quotelens.sources.schemas import SCHEMAS, VEHICLE_COVERAGES
 
@@ -113,8 +114,8 @@ def rounded(rows):
     )
 
 
-@pytest.mark.parametrize(("seed", "hot", "keys"), [(1, False, 10**6), (2, True, 10**6), (3, True, 1)])
-def test_mart_equals_plain_sql(spark, seed, hot, keys):
+@pytest.mark.parametrize(("seed", "hot", "staged"), [(1, False, True), (2, True, True), (3, True, False)])
+def test_mart_equals_plain_sql(spark, seed, hot, staged):
     data = make(seed, hot)
     tables, duck = {}, duckdb.connect()
     for name, schema in SCHEMAS.items():
@@ -125,7 +126,7 @@ def test_mart_equals_plain_sql(spark, seed, hot, keys):
              for i, c in enumerate(schema.names)}
         ))
     definitions = "WITH " + ", ".join(f"{n} AS (FROM {n}_rows)" for n in SCHEMAS)
-    ours = build_mart(tables, MartParams(max_broadcast_quotes=keys))
+    ours = build_mart(tables, MartParams(), Staging(spark) if staged else None)
     expected = duck.sql(mart_sql(definitions))
     assert ours.columns == expected.columns
     found = [

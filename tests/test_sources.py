@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from helpers import rows
 from mart_fixture import fixture_tables
 from quotelens import load_tables, tables_from_catalog
 from quotelens.session import DEFAULTS, configure
-from quotelens.sources import SCHEMAS, stage
+from quotelens.sources import SCHEMAS, Staging
 from quotelens.sources.schemas import database_of
 from quotelens.sources.tables import checked
 
@@ -42,16 +47,55 @@ def test_missing_column_is_named(spark):
         checked("profiles", spark.createDataFrame([(1,)], "id long"))
 
 
+def test_wrong_type_is_named(spark):
+    df = spark.createDataFrame([(1, 2.5)], "id long, account_id double")
+    with pytest.raises(ValueError, match="profiles: account_id is double"):
+        checked("profiles", df)
+    text = spark.createDataFrame([("a", "b")], "id string, account_id string")
+    assert checked("profiles", text).count() == 1
+
+
 def test_extra_columns_are_not_read(spark):
     df = spark.createDataFrame([(1, 2, 3)], "id long, account_id long, more int")
     assert checked("profiles", df).columns == ["id", "account_id"]
 
 
-def test_stage_writes_under_the_named_folder(spark):
+def test_staging_writes_under_the_named_folder_and_deletes(spark, tmp_path):
     df = spark.range(10)
-    staged = stage(df, "numbers")
-    assert spark.conf.get("spark.checkpoint.dir") in staged.inputFiles()[0]
-    assert rows(staged) == rows(df)
+    with Staging(spark) as staging:
+        staged = staging.table(df, "numbers")
+        assert spark.conf.get("spark.checkpoint.dir") in staged.inputFiles()[0]
+        assert rows(staged) == rows(df)
+        path = staged.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+    with Staging(spark, str(tmp_path)) as own:
+        assert str(tmp_path) in own.table(df, "numbers").inputFiles()[0]
+
+
+ALONE = """
+import sys
+from pyspark.sql import SparkSession
+sys.path.insert(0, {root!r})
+from quotelens.sources.staging import Staging, shared_folder
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .getOrCreate())
+assert shared_folder(spark) is None
+df = spark.range(3)
+assert Staging(spark).table(df, "n") is df
+spark.sparkContext.setCheckpointDir({folder!r})
+with Staging(spark) as staging:
+    assert {folder!r} in staging.table(df, "n").inputFiles()[0]
+print("fine")
+"""
+
+
+def test_sessions_without_a_named_folder_stay_lazy(tmp_path):
+    root = str(Path(__file__).resolve().parents[1])
+    code = ALONE.format(root=root, folder=str(tmp_path))
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, env=env)
+    assert done.stdout.strip().endswith("fine"), done.stderr[-2000:]
 
 
 def test_configure_keeps_what_the_user_set(spark):
