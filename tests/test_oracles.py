@@ -6,10 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from quotelens.queries import all_oracles, all_queries
 from quotelens.queries.registry import TABLE_NAMES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+# The corpus operators are tested in tests/llm.
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,11 @@ def duck():
     return con
 
 
+def test_driver_sees_every_query():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLES) <= set(entry_point.oracle_sql())
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
