@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import bpe, dart_minhash, fingerprints, token_counts, urls
+from quotelens.llm import bpe, dart_minhash, fingerprints, quality, token_counts, urls
 from quotelens.llm.common import read, staging, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,17 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(read(spark, sf_dir, "documents"))
 
 
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.judge_documents(documents).drop("text", "lang", "char_distance", "word_distance")
+
+
+ORACLES["op3_quality_rules"] = f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept
+FROM ({quality.judge_sql()})
+"""
+
 #: Tokens beyond which a document is flagged.
 TOKEN_LIMIT = 2048
 
