@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import bpe, dart_minhash, fingerprints, quality, token_counts, urls
+from quotelens.llm import bpe, dart_minhash, fingerprints, line_dedup, quality, token_counts, urls
 from quotelens.llm.common import read, staging, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,54 @@ FROM split LEFT JOIN fitting USING (n)
 """
 
 
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(documents, staging(spark))
+    text = text_of()
+    return kept.select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.length(text).cast("long").alias("n_chars"),
+        F.sha2(text, 256).alias("text_sha256"),
+    )
+
+
+LINES_SQL = """
+texts AS (
+    SELECT doc_id, coalesce(text, '') AS t FROM documents
+), lines AS (
+    SELECT doc_id, i, ls[i] AS line, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS ws
+    FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+          FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM texts))
+), kinds AS (
+    SELECT ws, min((doc_id, i)) AS first FROM lines WHERE len(ws) >= 5 GROUP BY ws
+), cut AS (
+    SELECT ws, first, p, ws[:p - 1] || ws[p + 1:] AS v
+    FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM kinds)
+), near AS (
+    SELECT ws FROM (SELECT ws, first, min(first) OVER (PARTITION BY v, p) AS lead FROM cut) WHERE lead < first
+    UNION SELECT c.ws FROM cut c JOIN kinds k ON c.v = k.ws WHERE k.first < c.first
+    UNION SELECT k.ws FROM kinds k JOIN cut c ON c.v = k.ws WHERE c.first < k.first
+), removed AS (
+    SELECT doc_id, i FROM lines l JOIN kinds k USING (ws)
+    WHERE (l.doc_id, l.i) > k.first OR ws IN (SELECT ws FROM near)
+), rest AS (
+    SELECT doc_id, count(*) AS n_lines, count(r.i) AS n_removed,
+           coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE r.i IS NULL), '') AS t
+    FROM lines l LEFT JOIN removed r USING (doc_id, i) GROUP BY doc_id
+), deduped AS (
+    SELECT doc_id, n_lines, n_removed,
+           CASE WHEN n_removed > 0 AND NOT regexp_matches(t, '[^\x20\x09-\x0D]') THEN '' ELSE t END AS t
+    FROM rest
+)"""
+ORACLES["op7_line_dedup"] = f"""
+WITH {LINES_SQL}
+SELECT doc_id, n_lines, n_removed, length(t) AS n_chars, sha256(t) AS text_sha256 FROM deduped
+"""
+
+
 @query
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
