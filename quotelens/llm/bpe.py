@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quotelens.llm.common import free_name, text_of
+from quotelens.llm.common import HashTable, free_name, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MATRIX_BYTES = 256
@@ -42,48 +42,14 @@ NONE = np.int32(2**31 - 1)
 
 
 class PairTable:
-    """Rank of a pair of token ids, in an open hash table looked up by whole arrays."""
+    """Rank of a pair of token ids, by hashed lookup; ``NONE`` where a pair does not merge."""
 
     def __init__(self, pairs: dict[tuple[int, int], int]):
         keys = np.array([(a << 32) | b for a, b in pairs], np.uint64)
-        ranks = np.fromiter(pairs.values(), np.int32, len(pairs))
-        self.bits = max(4, int(len(pairs) * 4 - 1).bit_length())
-        self.keys = np.full(1 << self.bits, 2**64 - 1, np.uint64)
-        self.ranks = np.full(1 << self.bits, NONE, np.int32)
-        self.probes = 0
-        slots, left = self._slots(keys), np.arange(len(keys))
-        while len(left):
-            self.probes += 1
-            at = slots[left]
-            free = self.keys[at] == np.uint64(2**64 - 1)
-            _, first = np.unique(at, return_index=True)
-            takes = np.zeros(len(left), bool)
-            takes[first] = True
-            takes &= free
-            self.keys[at[takes]] = keys[left[takes]]
-            self.ranks[at[takes]] = ranks[left[takes]]
-            left = left[~takes]
-            slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.table = HashTable(keys, np.fromiter(pairs.values(), np.int32, len(pairs)), NONE)
 
     def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ranks of the pairs, ``NONE`` where a pair does not merge."""
-        keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
-        at = self._slots(keys)
-        out = np.where(self.keys[at] == keys, self.ranks[at], NONE)
-        open_ = np.flatnonzero((out == NONE) & (self.keys[at] != np.uint64(2**64 - 1)))
-        mask = (1 << self.bits) - 1
-        for _ in range(self.probes - 1):
-            if not len(open_):
-                break
-            at.flat[open_] = (at.flat[open_] + 1) & mask
-            found = self.keys[at.flat[open_]]
-            hit = found == keys.flat[open_]
-            out.flat[open_[hit]] = self.ranks[at.flat[open_[hit]]]
-            open_ = open_[~hit & (found != np.uint64(2**64 - 1))]
-        return out
+        return self.table.get((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64))
 
 
 class Encoder:

@@ -221,3 +221,61 @@ def batches_up_to(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.R
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The same rows in tables of about ``rows``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class HashTable:
+    """Numbers by 64-bit keys, in an open hash table looked up by whole arrays.
+
+    ``missing`` is the value of a key that is not there; no key may be 2**64 - 1.
+    """
+
+    _FREE = np.uint64(2**64 - 1)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        self.missing = np.int32(missing)
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.keys = np.full(1 << self.bits, self._FREE, np.uint64)
+        self.values = np.full(1 << self.bits, missing, np.int32)
+        self.probes = 0
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            self.probes += 1
+            at = slots[left]
+            _, first = np.unique(at, return_index=True)
+            takes = np.zeros(len(left), bool)
+            takes[first] = True
+            takes &= self.keys[at] == self._FREE
+            self.keys[at[takes]] = keys[left[takes]]
+            self.values[at[takes]] = values[left[takes]]
+            left = left[~takes]
+            slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slots(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], self.missing)
+        going = np.flatnonzero((found != keys) & (found != self._FREE))
+        for _ in range(self.probes - 1):
+            if not len(going):
+                break
+            at.flat[going] = (at.flat[going] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at.flat[going]]
+            hit = found == keys.flat[going]
+            out.flat[going[hit]] = self.values[at.flat[going[hit]]]
+            going = going[~hit & (found != self._FREE)]
+        return out

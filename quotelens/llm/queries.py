@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import bpe, dart_minhash, fingerprints, line_dedup, quality, token_counts, urls
+from quotelens.llm import bpe, dart_minhash, fingerprints, line_dedup, mixing, quality, token_counts, urls
 from quotelens.llm.common import read, staging, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(
         read(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN
     )
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    mixed = mixing.mix_documents(documents, staging(spark))
+    return mixed.select(
+        "doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled"
+    )
+
+
+ORACLES["op10_mixing"] = mixing.mix_sql()
