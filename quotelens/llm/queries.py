@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import bpe, dart_minhash, fingerprints, lattice, line_dedup, mixing, quality, token_counts, urls
+from quotelens.llm import bpe, dart_minhash, fingerprints, html_extract, lattice, line_dedup, mixing, quality, token_counts, urls
 from quotelens.llm.common import read, staging, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_pages(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 #: Host, path and verdict of the rules.
 URL_RULES = (
     ("net", "/", "block"),
