@@ -35,25 +35,19 @@ COMMON_WORDS = {
 }
 BINS = max(map(len, COMMON_WORDS.values()))
 
-# Character classes; what is in none of them is a class of its own.
-BLANKS = " \t\n\x0b\x0c\r"
+# Character classes besides white space; all other characters, lower-case
+# letters above all, are one class.
 SYMBOLS = "#*$%&|<>"
-PUNCTUATION = ".,;:!?'\"()-"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 CLASSES = {
-    "lower": LETTERS,
-    "upper": LETTERS.upper(),
-    "digit": "0123456789",
-    "blank": BLANKS,
-    "symbol": SYMBOLS,
-    "punctuation": PUNCTUATION,
+    "upper": "[A-Z]",
+    "digit": "[0-9]",
+    "symbol": "[#*$%&|<>]",
+    "punctuation": "[-.,;:!?'\"()]",
 }
-#: Taken off words before they are looked up.
-TRIMMED = ".,;:!?\"()"
-
-
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+N_CLASSES = len(CLASSES) + 2
+#: What words are cut at before they are looked up.
+CUTS = r"[\x20\x09-\x0D.,;:!?\"()]+"
 
 
 def _words(text: Column) -> Column:
@@ -68,40 +62,44 @@ def _language(lang: str | None) -> Column:
 
 
 def _counts(df: DataFrame, text: str, lang: str | None) -> tuple[DataFrame, dict[str, str]]:
-    """``df`` with the text's words, its language and both histograms, under free names."""
-    names = dict(
-        zip(
-            ("text", "language", "words", "codes", "chars", "common", "n_words"),
-            free_name(df, "__text", "__language", "__words", "__codes", "__chars", "__common", "__n"),
-        )
-    )
+    """``df`` with the text's words, its language and both histograms, under free names.
+
+    Steps that a later one reads more than once, or in a lambda, are columns of
+    their own, so that they are worked out once per row.
+    """
+    plain = ("text", "language", "words", "own", "tokens", "codes", "counts", "letters", "chars", "common")
+    names = dict(zip(plain, free_name(df, *[f"__{x}" for x in plain])))
     lists = F.create_map(
         *[x for k, ws in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))],
         F.lit(""),
         F.array(F.lit("")),
     )
     known = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-    t = F.col(names["text"])
-    (own,) = free_name(df, "__own")
-    plain = F.lower(_without(t, TRIMMED))
+    col = {k: F.col(name) for k, name in names.items()}
     df = df.withColumns({names["text"]: text_of(text), names["language"]: _language(lang)})
-    df = df.withColumns({names["words"]: _words(t), own: lists[F.col(names["language"])]})
+    t = col["text"]
+    tokens = F.array_remove(F.split(F.lower(t), CUTS), "")
+    df = df.withColumns({names["words"]: _words(t), names["own"]: lists[col["language"]], names["tokens"]: tokens})
     # Words in no list leave first, by a hash lookup; the rest become their place in the list.
     codes = F.transform(
-        F.filter(F.split(plain, f"{SPACES}+"), lambda w: w.isin(*known)),
-        lambda w: F.array_position(F.col(own), w).cast("int"),
+        F.filter(col["tokens"], lambda w: w.isin(*known)), lambda w: F.array_position(col["own"], w).cast("int")
+    )
+    df = df.withColumns(
+        {
+            names["codes"]: codes,
+            names["letters"]: F.length(F.array_join(col["words"], "")),
+            names["counts"]: F.array(*[F.regexp_count(t, F.lit(c)) for c in CLASSES.values()]),
+        }
     )
-    size = F.length(t)
-    classes = [(size - F.length(_without(t, cs))).cast("double") for cs in CLASSES.values()]
-    df = df.withColumns({names["codes"]: codes, names["chars"]: F.array(*classes), names["n_words"]: F.size(names["words"]).cast("long")})
-    c = F.col(names["codes"])
-    found = [(F.size(c) - F.size(F.array_remove(c, i + 1))).cast("double") for i in range(BINS)]
-    rest = lambda parts, total: F.concat(parts, F.array(total - F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)))
+    c, counts, size = col["codes"], col["counts"], F.length(t)
+    found = [F.size(c) - F.size(F.array_remove(c, i + 1)) for i in range(BINS)]
     df = df.withColumns({names["common"]: F.array(*found)})
+    rest = col["letters"] - sum((counts[i] for i in range(len(CLASSES))), F.lit(0))
+    others = F.size(col["tokens"]) - sum((col["common"][i] for i in range(BINS)), F.lit(0))
     df = df.withColumns(
         {
-            names["chars"]: rest(F.col(names["chars"]), size.cast("double")),
-            names["common"]: rest(F.col(names["common"]), F.col(names["n_words"]).cast("double")),
+            names["chars"]: F.concat(counts, F.array(size - col["letters"], rest)).cast("array<double>"),
+            names["common"]: F.concat(col["common"], F.array(others)).cast("array<double>"),
         }
     )
     return df, names
@@ -113,12 +111,12 @@ def language_references(df: DataFrame, text: str = "text", lang: str | None = "l
     At most one row per language that has a word list, and one for all others.
     """
     counted, names = _counts(df.select(*[c for c in (text, lang) if c]), text, lang)
-    sizes = {"chars": len(CLASSES) + 1, "common": BINS + 1}
+    sizes = {"chars": N_CLASSES, "common": BINS + 1}
     sums = [
         F.sum(F.col(names[kind])[i]).alias(f"{kind}{i}") for kind, n in sizes.items() for i in range(n)
     ]
     summed = (
-        counted.filter(F.col(names["n_words"]) >= MIN_WORDS)
+        counted.filter(F.size(names["words"]) >= MIN_WORDS)
         .groupBy(F.col(names["language"]).alias("language"))
         .agg(*sums)
     )
@@ -153,17 +151,23 @@ def _repeats(df: DataFrame, words: str) -> tuple[DataFrame, Column]:
     Every lambda reads its own element only: a reference to another column in it
     would be worked out again for each element.
     """
-    hashes, windows, order = free_name(df, "__hashes", "__windows", "__order")
-    h, win, o = F.col(hashes), F.col(windows), F.col(order)
-    n = F.size(h) - WINDOW + 1
+    hashes, pairs, fours, windows, order = free_name(df, "__hashes", "__pairs", "__fours", "__windows", "__order")
+    h, win, o, n = F.col(hashes), F.col(windows), F.col(order), F.size(hashes) - WINDOW + 1
+
+    def joined(left: str, right: str, by: int, size: Column) -> Column:
+        """Hashes of each element of one array with that ``by`` places on in another."""
+        return F.when(
+            n > 1,
+            F.zip_with(
+                F.slice(left, F.lit(1), size), F.slice(right, F.lit(by + 1), size), lambda a, b: F.xxhash64(a, b)
+            ),
+        )
+
     df = df.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
-    shifted = F.arrays_zip(*[F.slice(h, F.lit(i + 1), F.greatest(n, F.lit(0))).alias(f"s{i}") for i in range(WINDOW)])
-    df = df.withColumn(
-        windows,
-        F.when(n > 1, F.transform(shifted, lambda s: F.xxhash64(*[s[f"s{i}"] for i in range(WINDOW)]))).otherwise(
-            F.array().cast("array<bigint>")
-        ),
-    )
+    # Windows of two words, of four, and of five.
+    df = df.withColumn(pairs, joined(hashes, hashes, 1, n + 3))
+    df = df.withColumn(fours, joined(pairs, pairs, 2, n + 1))
+    df = df.withColumn(windows, joined(fours, hashes, 4, n))
     places = F.array_sort(F.transform(win, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     df = df.withColumn(order, F.when(F.size(F.array_distinct(win)) < F.size(win), places))
     m = F.size(o) - 1
@@ -199,18 +203,19 @@ def judge_documents(df: DataFrame, text: str = "text", lang: str | None = "lang"
     counted, names = _counts(df, text, lang)
     t, size = F.col(names["text"]), F.length(names["text"])
     counted, repeats = _repeats(counted, names["words"])
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{BLANKS[0]}\\x09-\\x0D]"))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(SPACES.replace("[", "[^", 1)))
     (held,) = free_name(counted, "__lines")
     counted = counted.withColumn(held, lines)
     joined = counted.join(
         F.broadcast(references), counted[names["language"]] == references["__of"], "left"
     )
-    char_total, word_total = size.cast("double"), F.col(names["n_words"]).cast("double")
+    char_total, word_total = size.cast("double"), F.size(names["tokens"]).cast("double")
+    symbols = F.col(names["counts"])[list(CLASSES).index("symbol")]
     result = joined.select(
         *[F.col(c) for c in df.columns if c not in added],
-        F.col(names["n_words"]).alias("n_words"),
-        F.length(_without(t, BLANKS)).cast("long").alias("word_chars"),
-        (size - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
+        F.size(names["words"]).cast("long").alias("n_words"),
+        F.col(names["letters"]).cast("long").alias("word_chars"),
+        symbols.cast("long").alias("n_symbols"),
         (F.size(held) - F.size(F.array_distinct(held))).cast("long").alias("n_dup_lines"),
         repeats.alias("n_repeat_words"),
         js_distance(F.col(names["chars"]), F.col("__chars_of"), char_total, _total(F.col("__chars_of"))).alias("char_distance"),
@@ -234,15 +239,9 @@ def _sql_list(words: list[str]) -> str:
 
 def judge_sql(table: str = "documents", key: str = "row_number() OVER ()") -> str:
     """DuckDB SQL of the same verdicts: ``n`` (the key) and every column but the distances."""
-    chars = ", ".join(
-        f"(length(t) - length(translate(t, '{cs.replace(chr(39), chr(39) * 2)}', '')))::DOUBLE"
-        for cs in CLASSES.values()
-        if cs != BLANKS
-    )
-    blank = "(length(t) - length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')))::DOUBLE"
-    parts = chars.split(", (length")
-    parts = [parts[0], *["(length" + p for p in parts[1:]]]
-    parts.insert(list(CLASSES).index("blank"), blank)
+    parts = [
+        "len(regexp_extract_all(t, '{}'))::DOUBLE".format(c.replace("'", "''")) for c in CLASSES.values()
+    ] + ["(length(t) - length(array_to_string(ws, '')))::DOUBLE"]
     lists = " ".join(f"WHEN '{k}' THEN {_sql_list(ws)}" for k, ws in COMMON_WORDS.items())
     js = """sqrt(greatest(0, list_sum(list_transform(range(1, len(p) + 1), lambda i:
         (CASE WHEN p[i] > 0 THEN p[i] * log2(2 * p[i] / (p[i] + q[i])) ELSE 0 END)
@@ -257,17 +256,17 @@ WITH texts AS (
            CASE WHEN lang IN ({", ".join(f"'{k}'" for k in COMMON_WORDS)}) THEN lang ELSE '' END AS own
     FROM texts
 ), looked AS (
-    SELECT *, list_transform(ws, lambda w: lower(translate(w, '{TRIMMED}', ''))) AS plain,
+    SELECT *, list_filter(string_split_regex(lower(t), '{CUTS}'), lambda w: w <> '') AS plain,
            CASE own {lists} ELSE [] END AS common
     FROM worded
 ), hists AS (
-    SELECT * EXCLUDE (plain), [{", ".join(parts)}] AS c0,
+    SELECT * EXCLUDE (plain), len(plain) AS tokens, [{", ".join(parts)}] AS c0,
            list_transform(range(1, {BINS + 1}), lambda i: len(list_filter(plain, lambda w: w = common[i]))::DOUBLE) AS w0
     FROM looked
 ), full_hists AS (
-    SELECT *, list_append(c0, length(t) - list_sum(c0)) AS c, list_append(w0, len(ws) - list_sum(w0)) AS w FROM hists
+    SELECT *, list_append(c0, length(t) - list_sum(c0)) AS c, list_append(w0, tokens - list_sum(w0)) AS w FROM hists
 ), refs AS (
-    SELECT own, {sums("c", len(CLASSES) + 1)} AS rc, {sums("w", BINS + 1)} AS rw
+    SELECT own, {sums("c", N_CLASSES)} AS rc, {sums("w", BINS + 1)} AS rw
     FROM full_hists WHERE len(ws) >= {MIN_WORDS} GROUP BY own
 ), windows AS (
     SELECT n, i, ws[i:i + {WINDOW - 1}] AS win
@@ -280,7 +279,7 @@ WITH texts AS (
 ), lined AS (
     SELECT n, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM texts
 ), counted AS (
-    SELECT f.*, len(ws) AS n_words, length(t) - c0[{list(CLASSES).index("blank") + 1}]::BIGINT AS word_chars,
+    SELECT f.*, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
            c0[{list(CLASSES).index("symbol") + 1}]::BIGINT AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
            coalesce(n_repeat_words, 0) AS n_repeat_words, rc, rw
     FROM full_hists f JOIN lined USING (n) LEFT JOIN covered USING (n) LEFT JOIN refs r ON r.own = f.own
@@ -288,11 +287,11 @@ WITH texts AS (
     SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
            CASE WHEN length(t) > 0 AND list_sum(rc) > 0
                 THEN (SELECT {js} FROM (SELECT {share("c")} AS p, {share("rc")} AS q)) END AS cd,
-           CASE WHEN own <> '' AND n_words > 0 AND list_sum(rw) > 0
+           CASE WHEN own <> '' AND tokens > 0 AND list_sum(rw) > 0
                 THEN (SELECT {js} FROM (SELECT {share("w")} AS p, {share("rw")} AS q)) END AS wd
     FROM counted
 )
-SELECT * EXCLUDE (t, ws, own, common, c0, w0, c, w, rc, rw, cd, wd),
+SELECT * EXCLUDE (t, ws, own, common, c0, w0, c, w, tokens, rc, rw, cd, wd),
        NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND (
            coalesce(cd > {CHAR_LIMIT[0]} + {CHAR_LIMIT[1]} / sqrt(n_words), false)
            OR coalesce(wd > {WORD_LIMIT[0]} + {WORD_LIMIT[1]} / sqrt(n_words), false))) AS kept
