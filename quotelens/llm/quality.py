@@ -168,13 +168,13 @@ def _repeats(df: DataFrame, words: str) -> tuple[DataFrame, Column]:
     df = df.withColumn(pairs, joined(hashes, hashes, 1, n + 3))
     df = df.withColumn(fours, joined(pairs, pairs, 2, n + 1))
     df = df.withColumn(windows, joined(fours, hashes, 4, n))
-    places = F.array_sort(F.transform(win, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    places = F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     df = df.withColumn(order, F.when(F.size(F.array_distinct(win)) < F.size(win), places))
     m = F.size(o) - 1
     equal = F.zip_with(
         F.slice(o, F.lit(1), m), F.slice(o, F.lit(2), m), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))
     )
-    df = df.withColumn(windows, F.when(o.isNotNull(), F.array_sort(F.array_distinct(F.flatten(F.array_compact(equal))))))
+    df = df.withColumn(windows, F.when(o.isNotNull(), F.sort_array(F.array_distinct(F.flatten(F.array_compact(equal))))))
     k = F.size(win) - 1
     gaps = F.zip_with(
         F.slice(win, F.lit(1), k), F.slice(win, F.lit(2), k), lambda x, y: F.least(F.lit(WINDOW), y - x)
@@ -206,23 +206,40 @@ def judge_documents(df: DataFrame, text: str = "text", lang: str | None = "lang"
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(SPACES.replace("[", "[^", 1)))
     (held,) = free_name(counted, "__lines")
     counted = counted.withColumn(held, lines)
+    symbols = F.col(names["counts"])[list(CLASSES).index("symbol")]
+    # Generated columns: Spark moves no filter on them below, where the steps
+    # they are made in would be worked out again for each time they are named.
+    counted = counted.select(
+        *[F.col(c) for c in df.columns if c not in added],
+        F.col(names["language"]),
+        F.inline(
+            F.array(
+                F.struct(
+                    F.size(names["words"]).cast("long").alias("n_words"),
+                    F.col(names["letters"]).cast("long").alias("word_chars"),
+                    symbols.cast("long").alias("n_symbols"),
+                    (F.size(held) - F.size(F.array_distinct(held))).cast("long").alias("n_dup_lines"),
+                    repeats.alias("n_repeat_words"),
+                    F.col(names["chars"]),
+                    F.col(names["common"]),
+                    size.cast("double").alias(names["text"]),
+                    F.size(names["tokens"]).cast("double").alias(names["tokens"]),
+                )
+            )
+        ),
+    )
     joined = counted.join(
         F.broadcast(references), counted[names["language"]] == references["__of"], "left"
     )
-    char_total, word_total = size.cast("double"), F.size(names["tokens"]).cast("double")
-    symbols = F.col(names["counts"])[list(CLASSES).index("symbol")]
+
+    def distance(own: str, of: str, total: str) -> Column:
+        return js_distance(F.col(names[own]), F.col(of), F.col(names[total]), _total(F.col(of)))
+
     result = joined.select(
         *[F.col(c) for c in df.columns if c not in added],
-        F.size(names["words"]).cast("long").alias("n_words"),
-        F.col(names["letters"]).cast("long").alias("word_chars"),
-        symbols.cast("long").alias("n_symbols"),
-        (F.size(held) - F.size(F.array_distinct(held))).cast("long").alias("n_dup_lines"),
-        repeats.alias("n_repeat_words"),
-        js_distance(F.col(names["chars"]), F.col("__chars_of"), char_total, _total(F.col("__chars_of"))).alias("char_distance"),
-        F.when(
-            F.col(names["language"]) != "",
-            js_distance(F.col(names["common"]), F.col("__common_of"), word_total, _total(F.col("__common_of"))),
-        ).alias("word_distance"),
+        *added[:5],
+        distance("chars", "__chars_of", "text").alias("char_distance"),
+        F.when(F.col(names["language"]) != "", distance("common", "__common_of", "tokens")).alias("word_distance"),
     )
     n = F.col("n_words")
     failed = (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)
