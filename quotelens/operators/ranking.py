@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelens.functions.exprs import ColumnLike, col
+from quotelens.sources.staging import Staging
 
 _RANK = "__rank"
 
@@ -70,84 +71,56 @@ def sequence_index(
     start: int = 0,
     out: str = "sequence_index",
     tie_breakers: Sequence[str] = (),
+    staging: Staging | None = None,
     hot_rows: int = 4_000_000,
-    max_hot_keys: int = 1_000,
-    slices: int = 256,
-    sample_every: int = 1_024,
 ) -> DataFrame:
     """Number all rows of each key in ascending order, from ``start``.
 
-    Numbering keeps every row, so a plain window would sort a hot key in one
-    task. Keys of more than about ``hot_rows`` rows are therefore cut into
-    ``slices`` ranges of the order, numbered range by range, and shifted by the
-    rows in the ranges before. Which keys are cut and where is chosen from a
-    sample, but any choice gives the same numbers. The sample is taken by hash
-    of the row's own sort key, so a re-run task takes the same rows again. Rows
-    alike in the whole sort key stay in one range: give tie-breakers that tell
-    them apart.
-
-    The ``max_hot_keys`` largest keys are cut, which bounds both broadcasts; any
-    other key holds less than ``1 / max_hot_keys`` of the rows.
+    Numbering keeps every row, so a window would sort a hot key in one task. With
+    ``staging``, keys of more than ``hot_rows`` rows, all of them, are numbered
+    another way: their rows are range-partitioned by key and order, so that a key
+    spans as many partitions as it fills, and written with their place in the
+    partition; the counts of a key's partitions before are then added. There are
+    at most ``rows / hot_rows`` such keys, which bounds what is broadcast. Writing
+    is what keeps the places right when a task runs again. Other keys, and all
+    keys without a shared folder, take a plain window.
     """
-    keys = list(keys)
-    sort_cols = [order_col, *tie_breakers]
-    # Structs compare field by field with nulls first, hence the null flags.
-    position = F.struct(
-        *[
-            field
-            for i, c in enumerate(sort_cols)
-            for field in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))
-        ]
-    )
-    row_hash = F.xxhash64(*sort_cols)
-
-    def same_key(left: DataFrame, right: DataFrame, *extra: tuple[str, str]) -> Column:
-        pairs = [(k, f"__{k}") for k in keys] + list(extra)
-        return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
-
-    renamed = [F.col(k).alias(f"__{k}") for k in keys]
+    keys, order = list(keys), _ordering([order_col, *tie_breakers], False)
+    window = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    numbered = (window + (start - 1)).cast("long").alias(out)
+    if staging is None or not staging.enabled:
+        return df.select(*df.columns, numbered)
     hidden = [f"__{k}" for k in keys]
 
-    estimated = (F.count(F.lit(1)) * sample_every).alias("__rows")
-    hot = (
-        df.filter(F.pmod(row_hash, F.lit(sample_every)) == 0)
-        .groupBy(*renamed)
-        .agg(estimated)
-        .filter(F.col("__rows") > hot_rows)
-        .orderBy(F.col("__rows").desc(), *hidden)
-        .limit(max_hot_keys)
+    def same_key(left: DataFrame, right: DataFrame) -> Column:
+        pairs = [left[k].eqNullSafe(right[h]) for k, h in zip(keys, hidden)]
+        return reduce(lambda a, b: a & b, pairs)
+
+    renamed = [F.col(k).alias(h) for k, h in zip(keys, hidden)]
+    hot = df.groupBy(*renamed).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > hot_rows)
+    hot = staging.table(hot.select(*hidden), "hot_keys")
+    if hot.isEmpty():
+        return df.select(*df.columns, numbered)
+    cold = df.join(F.broadcast(hot), same_key(df, hot), "left_anti").select(*df.columns, numbered)
+    # The id counts up within a partition and tells partitions apart.
+    by_key = [F.col(k) for k in keys]
+    placed = (
+        df.join(F.broadcast(hot), same_key(df, hot), "left_semi")
+        .repartitionByRange(*by_key, *order)
+        .sortWithinPartitions(*by_key, *order)
+        .withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()})
     )
-    # About 32 sampled positions per range, whatever the size of the key.
-    thinning = F.greatest(F.lit(1), F.floor(F.col("__rows") / (slices * 32)))
-    cuts = (
-        df.join(F.broadcast(hot), same_key(df, hot), "inner")
-        .filter(F.pmod(row_hash, thinning) == 0)
-        .groupBy(*hidden)
-        .agg(F.array_sort(F.collect_set(position)).alias("__sample"))
-        .select(
-            *hidden,
-            F.filter(
-                "__sample",
-                lambda _, i: i % F.greatest(F.lit(1), F.floor(F.size("__sample") / slices)) == 0,
-            ).alias("__cuts"),
-        )
+    placed = staging.table(placed, "hot_rows")
+    runs = placed.groupBy(*renamed, F.col("__part").alias("__of")).agg(
+        F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n")
     )
-    in_slice = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter("__cuts", lambda cut: cut <= position))
-    )
-    sliced = df.join(F.broadcast(cuts), same_key(df, cuts), "left").withColumn("__slice", in_slice)
-
     before = Window.partitionBy(*hidden).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.filter(F.col("__cuts").isNotNull())
-        .groupBy(*hidden, F.col("__slice").alias("__of"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*hidden, "__of", F.sum("__n").over(before).alias("__offset"))
+    runs = runs.select(
+        *hidden,
+        "__of",
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + start).alias("__shift"),
     )
-
-    order = Window.partitionBy(*keys, "__slice").orderBy(*_ordering(sort_cols, False))
-    numbered = sliced.select(*df.columns, "__slice", F.row_number().over(order).alias(_RANK))
-    index = F.col(_RANK) + F.coalesce("__offset", F.lit(0)) + (start - 1)
-    return numbered.join(
-        F.broadcast(offsets), same_key(numbered, offsets, ("__slice", "__of")), "left"
-    ).select(*df.columns, index.cast("long").alias(out))
+    # A row for each hot key and partition it is in: no more than partitions and hot keys together.
+    on = same_key(placed, runs) & (placed["__part"] == runs["__of"])
+    index = (F.col("__place") + F.col("__shift")).cast("long").alias(out)
+    return cold.union(placed.join(F.broadcast(runs), on).select(*df.columns, index))

@@ -191,7 +191,7 @@ def build_mart(
     spark = t["quotes"].sparkSession
     check_session(spark)
     staged = staging is not None and staging.enabled
-    base = representative_quotes(t, p, in_study=True)
+    base = representative_quotes(t, p, in_study=True, staging=staging)
     base_columns = base.columns
     keep = None
     if staged:

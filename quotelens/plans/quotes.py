@@ -12,6 +12,7 @@ from quotelens.operators.joins import key_set
 from quotelens.operators.ranking import first_by_rank, latest_per_key, sequence_index
 from quotelens.operators.sets import union_disjoint, with_constants
 from quotelens.plans.params import MartParams
+from quotelens.sources.staging import Staging
 
 Tables = Mapping[str, DataFrame]
 
@@ -73,11 +74,16 @@ def latest_renewal_requests(t: Tables) -> DataFrame:
     )
 
 
-def term_tenure(t: Tables) -> DataFrame:
+def term_tenure(t: Tables, staging: Staging | None = None) -> DataFrame:
     """Each term with the number of earlier terms of its policy."""
     terms = t["policy_terms"].select("id", "policy_id", "created_at")
     return sequence_index(
-        terms, ["policy_id"], "created_at", out="prior_policy_term_count", tie_breakers=["id"]
+        terms,
+        ["policy_id"],
+        "created_at",
+        out="prior_policy_term_count",
+        tie_breakers=["id"],
+        staging=staging,
     )
 
 
@@ -119,7 +125,9 @@ def quote_choices(t: Tables, p: MartParams, rates: DataFrame | None = None) -> D
     return first_by_rank(quotes, ["rate_id", "bound"], "tier_rank", ["quote_id"])
 
 
-def _requests(t: Tables, p: MartParams, in_study: bool) -> DataFrame:
+def _requests(
+    t: Tables, p: MartParams, in_study: bool, staging: Staging | None = None
+) -> DataFrame:
     """New-business and renewal requests in one shape, one row per request and kind."""
     key_type = t["quotes"].schema["id"].dataType.simpleString()
     new = with_constants(
@@ -144,7 +152,7 @@ def _requests(t: Tables, p: MartParams, in_study: bool) -> DataFrame:
     )
     if in_study:
         expiring = expiring.filter(F.col("expires_on").between(p.study_start, p.study_end))
-    tenure = term_tenure(t).select(
+    tenure = term_tenure(t, staging).select(
         F.col("id").alias("current_policy_term_id"),
         (F.col("prior_policy_term_count") + 1).alias("prior_policy_term_count"),
     )
@@ -172,7 +180,9 @@ def _with_customer(quotes: DataFrame, t: Tables) -> DataFrame:
     )
 
 
-def representative_quotes(t: Tables, p: MartParams, in_study: bool = False) -> DataFrame:
+def representative_quotes(
+    t: Tables, p: MartParams, in_study: bool = False, staging: Staging | None = None
+) -> DataFrame:
     """All four sets of representative quotes; ``in_study`` keeps the study dates only.
 
     A request with both a bought and an unbought quote gives one row for each.
@@ -183,7 +193,7 @@ def representative_quotes(t: Tables, p: MartParams, in_study: bool = False) -> D
         .when(F.col("bound"), F.col("bought_invoice_period"))
         .otherwise(F.lit(p.unknown_plan))
     )
-    requests = _requests(t, p, in_study)
+    requests = _requests(t, p, in_study, staging)
     quotes = (
         quote_choices(t, p, key_set(requests, "rate_id"))
         .join(requests, "rate_id")
@@ -216,8 +226,10 @@ def representative_quotes(t: Tables, p: MartParams, in_study: bool = False) -> D
     )
 
 
-def quotes_of_kind(t: Tables, p: MartParams, kind: str) -> DataFrame:
+def quotes_of_kind(
+    t: Tables, p: MartParams, kind: str, staging: Staging | None = None
+) -> DataFrame:
     """One of the four sets named in :data:`KINDS`."""
     renewal, bound = KINDS[kind]
-    chosen = representative_quotes(t, p)
+    chosen = representative_quotes(t, p, staging=staging)
     return chosen.filter((F.col("renewal") == renewal) & (F.col("bound") == bound))

@@ -39,6 +39,7 @@ from quotelens.operators import (
 )
 from quotelens.operators.rollup import Measure
 from quotelens.queries.registry import Given, query
+from quotelens.sources.staging import Staging
 
 AS_OF = dt.date(2000, 12, 31)
 
@@ -107,7 +108,12 @@ def customer_order_sequence(given: Given) -> DataFrame:
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("placed"),
     )
     return sequence_index(
-        orders, ["o_custkey"], "placed", out="prior_orders", tie_breakers=["o_orderkey"]
+        orders,
+        ["o_custkey"],
+        "placed",
+        out="prior_orders",
+        tie_breakers=["o_orderkey"],
+        staging=Staging(orders.sparkSession),
     ).drop("placed")
 
 

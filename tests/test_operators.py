@@ -93,23 +93,24 @@ def test_sequence_index_equals_plain_numbering_with_a_hot_key(spark, hot_rows):
         k = None if i % 3 == 0 else (1 if i % 7 == 0 else rnd.randrange(400))
         data.append((k, None if i % 11 == 0 else rnd.randrange(40), i))
     df = spark.createDataFrame(data, "k int, at int, id int")
-    out = sequence_index(
-        df, ["k"], "at", tie_breakers=["id"], out="n", hot_rows=hot_rows, slices=8, sample_every=4
-    )
-    assert {(r.k, r.id): r.n for r in out.collect()} == _numbered(data)
+    with Staging(spark) as staging:
+        out = sequence_index(
+            df, ["k"], "at", tie_breakers=["id"], out="n", staging=staging, hot_rows=hot_rows
+        )
+        assert {(r.k, r.id): r.n for r in out.collect()} == _numbered(data)
+        assert len(staging._paths) == (1 if hot_rows == 10**9 else 2)
 
 
-def test_hot_key_is_spread_over_many_groups(spark):
-    """The ranges a hot key is cut into must be many and of similar size."""
-    data = [(1, i, i) for i in range(8000)] + [(i, i, i) for i in range(2, 500)]
+def test_more_than_1000_hot_keys_are_all_spread(spark):
+    """Every hot key is dealt by its order, and no task gets all of one that fills a partition."""
+    data = [(k, i, i) for k in range(1, 1101) for i in range(3)] + [(0, i, i) for i in range(3000)]
     df = spark.createDataFrame(data, "k int, at int, id int")
-    out = sequence_index(
-        df, ["k"], "at", tie_breakers=["id"], out="n", hot_rows=1000, slices=16, sample_every=4
-    )
-    text = plan(out)
-    assert "__slice" in text
-    hot = [r.n for r in out.filter("k = 1").orderBy("id").collect()]
-    assert hot == list(range(8000))
+    with Staging(spark) as staging:
+        out = sequence_index(df, ["k"], "at", out="n", staging=staging, hot_rows=2)
+        assert {(r.k, r.id): r.n for r in out.collect()} == _numbered(data)
+        written = spark.read.parquet(next(p for p in staging._paths if "hot_rows" in p))
+        parts = written.filter("k = 0").groupBy("__part").count().collect()
+        assert len(parts) > 1 and max(r["count"] for r in parts) < 2500
 
 
 def test_sequence_index_start(spark):
