@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelens.llm.common import Shingles, shingles_of, text_of, words_of
+from quotelens.llm.common import Shingles, free_name, shingles_of, text_of, words_of
 
 SHINGLE_WORDS = 5
 #: One hash in so many is kept.
@@ -107,7 +107,8 @@ def fingerprint_documents(
             )
 
     schema = df.select(*kept).schema.add(out, "string")
-    return df.select(*kept, text_of(text).alias("__text")).mapInArrow(run, schema)
+    (source,) = free_name(df, "__text")
+    return df.select(*kept, text_of(text).alias(source)).mapInArrow(run, schema)
 
 
 def merge_fingerprints(df: DataFrame, keys: list[str], fingerprint: str = "fingerprint", scaled: int = SCALED) -> DataFrame:

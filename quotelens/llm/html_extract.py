@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotelens.llm.common import free_name
 from quotelens.llm.pages import Page, labelled_pages, parse
 
 #: Labelled pages to train on, and steps of the ascent.
@@ -237,4 +238,5 @@ def extract_pages(df: DataFrame, source: str = "html", out: str = "text", model:
                 )
 
     schema = df.select(*kept).schema.add(out, "string")
-    return df.select(*kept, F.col(source).cast("string").alias("__html")).mapInArrow(run, schema)
+    (page,) = free_name(df, "__html")
+    return df.select(*kept, F.col(source).cast("string").alias(page)).mapInArrow(run, schema)

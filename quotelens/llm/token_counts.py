@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.llm.common import Words, text_of, words_of
+from quotelens.llm.common import Words, free_name, text_of, words_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-tokens in the broadcast table (16 bytes each), in a task's summary, and in a worker's cache.
@@ -151,4 +151,5 @@ def count_tokens(
             )
 
     schema = df.select(*kept).schema.add(out, "long")
-    return df.select(*kept, text_of(text).alias("__text")).mapInArrow(run, schema)
+    (source,) = free_name(df, "__text")
+    return df.select(*kept, text_of(text).alias(source)).mapInArrow(run, schema)

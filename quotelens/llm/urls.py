@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotelens.llm.common import free_name
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,7 +61,7 @@ def expressions(host: Column, path: Column, labels: list[int], lengths: list[int
             for m in lengths
         ]
     )
-    return F.array_compact(found)
+    return F.array_compact(found.cast("array<struct<suffix:string,prefix:string>>"))
 
 
 def judge_urls(
@@ -120,12 +122,13 @@ def judge_urls(
         )
         .select("host", "path", F.col("b.rule").alias("rule"), F.col("b.verdict").alias("verdict"))
     )
-    judged = df.select(*[F.col(c) for c in kept], host.alias("__host"), path.alias("__path"))
-    on = (judged["__host"] == best["host"]) & (judged["__path"] == best["path"])
+    h, p = free_name(df, "__host", "__path")
+    judged = df.select(*[F.col(c) for c in kept], host.alias(h), path.alias(p))
+    on = (judged[h] == best["host"]) & (judged[p] == best["path"])
     return judged.join(best, on, "left").select(
         *[judged[c] for c in kept if c not in added],
-        F.col("__host").alias("host"),
-        F.col("__path").alias("path"),
+        F.col(h).alias("host"),
+        F.col(p).alias("path"),
         best["rule"],
         F.coalesce(best["verdict"], F.lit(otherwise)).alias("verdict"),
     )
