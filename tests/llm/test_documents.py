@@ -312,9 +312,12 @@ def test_lattice_sums_every_segmentation(monkeypatch):
     found = {}
     for together in (64, 1):
         monkeypatch.setattr(lattice, "TOGETHER_BYTES", together)
-        total, counts = lattice.Lattice(vocabulary, vocabulary.scores).words(words[:5], weights[:5])
-        assert np.allclose(np.exp(total), expected[:5])
-        found[together] = counts
+        twice = np.stack([vocabulary.scores, vocabulary.scores - 0.1], 1)
+        both = np.stack([weights[:5], 2 * weights[:5]], 1)
+        total, counts = lattice.Lattice(vocabulary, twice).words(words[:5], both)
+        assert np.allclose(np.exp(total[:, 0]), expected[:5]) and (total[:, 1] < total[:, 0]).all()
+        assert np.allclose(counts[:, 1], 2 * counts[:, 0])
+        found[together] = counts[:, 0]
     assert np.allclose(found[64], found[1])
     # Expected pieces spell the bytes of all words.
     sizes = np.array([len(p) for p in pieces])
