@@ -14,7 +14,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SCHEMA, messy_rows
+from corpus_fixture import SCHEMA, messy_rows
 from pyspark.sql import functions as F
 
 from quotelens.llm import dart_minhash, fingerprints, lattice, line_dedup, mixing, quality

@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
-from conftest import messy_rows
+from corpus_fixture import messy_rows
 
 from quotelens.llm import bpe, token_counts
 from quotelens.llm.common import WORD, HashTable, shingles_of, words_of
