@@ -51,7 +51,7 @@ CUTS = r"[\x20\x09-\x0D.,;:!?\"()]+"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACES}+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"{SPACES}+"), "")
 
 
 def _language(lang: str | None) -> Column:
@@ -61,46 +61,65 @@ def _language(lang: str | None) -> Column:
     return F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).otherwise("")
 
 
-def _counts(df: DataFrame, text: str, lang: str | None) -> tuple[DataFrame, dict[str, str]]:
-    """``df`` with the text's words, its language and both histograms, under free names.
+def _counts(df: DataFrame, text: str, lang: str | None, kept: list[str], full: bool) -> tuple[DataFrame, dict[str, str]]:
+    """The ``kept`` columns, the language and both histograms, under free names.
 
-    Steps that a later one reads more than once, or in a lambda, are columns of
-    their own, so that they are worked out once per row.
+    ``full``: with the hashes of the words and the number of repeated lines as
+    well. What a later step reads more than once, or in a lambda, is a column of
+    its own, so that it is worked out once per row; each step carries on only
+    what is needed yet, as it copies its rows.
     """
-    plain = ("text", "language", "words", "own", "tokens", "codes", "counts", "letters", "chars", "common")
+    plain = "text language words own tokens codes counts letters chars common n n_tokens size hashes dup_lines".split()
     names = dict(zip(plain, free_name(df, *[f"__{x}" for x in plain])))
+    col = {k: F.col(name) for k, name in names.items()}
     lists = F.create_map(
         *[x for k, ws in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))],
         F.lit(""),
         F.array(F.lit("")),
     )
     known = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-    col = {k: F.col(name) for k, name in names.items()}
-    df = df.withColumns({names["text"]: text_of(text), names["language"]: _language(lang)})
     t = col["text"]
-    tokens = F.array_remove(F.split(F.lower(t), CUTS), "")
-    df = df.withColumns({names["words"]: _words(t), names["own"]: lists[col["language"]], names["tokens"]: tokens})
+    df = df.select(*kept, text_of(text).alias(names["text"]), _language(lang).alias(names["language"]))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(SPACES.replace("[", "[^", 1)))
+    df = df.select(
+        *kept,
+        t,
+        col["language"],
+        _words(t).alias(names["words"]),
+        lists[col["language"]].alias(names["own"]),
+        F.array_remove(F.split(F.lower(t), CUTS), "").alias(names["tokens"]),
+        *([lines.alias(names["dup_lines"])] if full else []),
+    )
     # Words in no list leave first, by a hash lookup; the rest become their place in the list.
     codes = F.transform(
         F.filter(col["tokens"], lambda w: w.isin(*known)), lambda w: F.array_position(col["own"], w).cast("int")
     )
-    df = df.withColumns(
-        {
-            names["codes"]: codes,
-            names["letters"]: F.length(F.array_join(col["words"], "")),
-            names["counts"]: F.array(*[F.regexp_count(t, F.lit(c)) for c in CLASSES.values()]),
-        }
+    dup = F.size(col["dup_lines"]) - F.size(F.array_distinct(col["dup_lines"]))
+    more = [F.transform(col["words"], lambda w: F.xxhash64(w)).alias(names["hashes"]), dup.alias(names["dup_lines"])]
+    df = df.select(
+        *kept,
+        col["language"],
+        codes.alias(names["codes"]),
+        F.size(col["words"]).alias(names["n"]),
+        F.size(col["tokens"]).alias(names["n_tokens"]),
+        F.length(t).alias(names["size"]),
+        F.length(F.array_join(col["words"], "")).alias(names["letters"]),
+        F.array(*[F.regexp_count(t, F.lit(c)) for c in CLASSES.values()]).alias(names["counts"]),
+        *(more if full else []),
     )
-    c, counts, size = col["codes"], col["counts"], F.length(t)
+    c, counts = col["codes"], col["counts"]
     found = [F.size(c) - F.size(F.array_remove(c, i + 1)) for i in range(BINS)]
-    df = df.withColumns({names["common"]: F.array(*found)})
+    passed = [col[k] for k in ("language", "n", "n_tokens", "size", "letters", "counts")]
+    passed += [col["hashes"], col["dup_lines"]] if full else []
+    df = df.select(*kept, *passed, F.array(*found).alias(names["common"]))
     rest = col["letters"] - sum((counts[i] for i in range(len(CLASSES))), F.lit(0))
-    others = F.size(col["tokens"]) - sum((col["common"][i] for i in range(BINS)), F.lit(0))
-    df = df.withColumns(
-        {
-            names["chars"]: F.concat(counts, F.array(size - col["letters"], rest)).cast("array<double>"),
-            names["common"]: F.concat(col["common"], F.array(others)).cast("array<double>"),
-        }
+    others = col["n_tokens"] - sum((col["common"][i] for i in range(BINS)), F.lit(0))
+    blank = col["size"] - col["letters"]
+    df = df.select(
+        *kept,
+        *passed,
+        F.concat(counts, F.array(blank, rest)).cast("array<double>").alias(names["chars"]),
+        F.concat(col["common"], F.array(others)).cast("array<double>").alias(names["common"]),
     )
     return df, names
 
@@ -110,13 +129,13 @@ def language_references(df: DataFrame, text: str = "text", lang: str | None = "l
 
     At most one row per language that has a word list, and one for all others.
     """
-    counted, names = _counts(df.select(*[c for c in (text, lang) if c]), text, lang)
+    counted, names = _counts(df, text, lang, [], full=False)
     sizes = {"chars": N_CLASSES, "common": BINS + 1}
     sums = [
         F.sum(F.col(names[kind])[i]).alias(f"{kind}{i}") for kind, n in sizes.items() for i in range(n)
     ]
     summed = (
-        counted.filter(F.size(names["words"]) >= MIN_WORDS)
+        counted.filter(F.col(names["n"]) >= MIN_WORDS)
         .groupBy(F.col(names["language"]).alias("language"))
         .agg(*sums)
     )
@@ -143,16 +162,15 @@ def js_distance(p: Column, q: Column, p_total: Column, q_total: Column) -> Colum
     return F.when((p_total > 0) & (q_total > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
-def _repeats(df: DataFrame, words: str) -> tuple[DataFrame, Column]:
+def _repeats(df: DataFrame, hashes: str) -> tuple[DataFrame, Column]:
     """The number of words in windows of five that the text has twice or more.
 
     Windows are compared by 64-bit hashes, sorted with their places; of the
     places of equal neighbours each covers five words or up to the next place.
-    Every lambda reads its own element only: a reference to another column in it
-    would be worked out again for each element.
     """
-    hashes, pairs, fours, windows, order = free_name(df, "__hashes", "__pairs", "__fours", "__windows", "__order")
-    h, win, o, n = F.col(hashes), F.col(windows), F.col(order), F.size(hashes) - WINDOW + 1
+    kept = [c for c in df.columns if c != hashes]
+    pairs, fours, windows, order = free_name(df, "__pairs", "__fours", "__windows", "__order")
+    win, o, n = F.col(windows), F.col(order), F.size(hashes) - WINDOW + 1
 
     def joined(left: str, right: str, by: int, size: Column) -> Column:
         """Hashes of each element of one array with that ``by`` places on in another."""
@@ -163,24 +181,24 @@ def _repeats(df: DataFrame, words: str) -> tuple[DataFrame, Column]:
             ),
         )
 
-    df = df.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
     # Windows of two words, of four, and of five.
-    df = df.withColumn(pairs, joined(hashes, hashes, 1, n + 3))
-    df = df.withColumn(fours, joined(pairs, pairs, 2, n + 1))
-    df = df.withColumn(windows, joined(fours, hashes, 4, n))
+    df = df.select(*kept, hashes, joined(hashes, hashes, 1, n + 3).alias(pairs))
+    df = df.select(*kept, hashes, joined(pairs, pairs, 2, n + 1).alias(fours))
+    df = df.select(*kept, joined(fours, hashes, 4, n).alias(windows))
     places = F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    df = df.withColumn(order, F.when(F.size(F.array_distinct(win)) < F.size(win), places))
+    df = df.select(*kept, F.when(F.size(F.array_distinct(win)) < F.size(win), places).alias(order))
     m = F.size(o) - 1
     equal = F.zip_with(
         F.slice(o, F.lit(1), m), F.slice(o, F.lit(2), m), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))
     )
-    df = df.withColumn(windows, F.when(o.isNotNull(), F.sort_array(F.array_distinct(F.flatten(F.array_compact(equal))))))
+    found = F.sort_array(F.array_distinct(F.flatten(F.array_compact(equal))))
+    df = df.select(*kept, F.when(o.isNotNull(), found).alias(windows))
     k = F.size(win) - 1
     gaps = F.zip_with(
         F.slice(win, F.lit(1), k), F.slice(win, F.lit(2), k), lambda x, y: F.least(F.lit(WINDOW), y - x)
     )
     covered = F.aggregate(gaps, F.lit(WINDOW), lambda a, x: a + x)
-    return df, F.when(o.isNotNull(), covered).otherwise(0).cast("long")
+    return df, F.when(win.isNotNull(), covered).otherwise(0).cast("long")
 
 
 def judge_documents(df: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
@@ -200,30 +218,27 @@ def judge_documents(df: DataFrame, text: str = "text", lang: str | None = "lang"
     references = language_references(df, text, lang).withColumnsRenamed(
         {"language": "__of", "chars": "__chars_of", "common": "__common_of"}
     )
-    counted, names = _counts(df, text, lang)
-    t, size = F.col(names["text"]), F.length(names["text"])
-    counted, repeats = _repeats(counted, names["words"])
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(SPACES.replace("[", "[^", 1)))
-    (held,) = free_name(counted, "__lines")
-    counted = counted.withColumn(held, lines)
+    kept = [c for c in df.columns if c not in added]
+    counted, names = _counts(df, text, lang, kept, full=True)
+    counted, repeats = _repeats(counted, names["hashes"])
     symbols = F.col(names["counts"])[list(CLASSES).index("symbol")]
     # Generated columns: Spark moves no filter on them below, where the steps
     # they are made in would be worked out again for each time they are named.
     counted = counted.select(
-        *[F.col(c) for c in df.columns if c not in added],
-        F.col(names["language"]),
+        *kept,
+        names["language"],
         F.inline(
             F.array(
                 F.struct(
-                    F.size(names["words"]).cast("long").alias("n_words"),
+                    F.col(names["n"]).cast("long").alias("n_words"),
                     F.col(names["letters"]).cast("long").alias("word_chars"),
                     symbols.cast("long").alias("n_symbols"),
-                    (F.size(held) - F.size(F.array_distinct(held))).cast("long").alias("n_dup_lines"),
+                    F.col(names["dup_lines"]).cast("long").alias("n_dup_lines"),
                     repeats.alias("n_repeat_words"),
                     F.col(names["chars"]),
                     F.col(names["common"]),
-                    size.cast("double").alias(names["text"]),
-                    F.size(names["tokens"]).cast("double").alias(names["tokens"]),
+                    F.col(names["size"]).cast("double").alias(names["size"]),
+                    F.col(names["n_tokens"]).cast("double").alias(names["n_tokens"]),
                 )
             )
         ),
@@ -236,10 +251,10 @@ def judge_documents(df: DataFrame, text: str = "text", lang: str | None = "lang"
         return js_distance(F.col(names[own]), F.col(of), F.col(names[total]), _total(F.col(of)))
 
     result = joined.select(
-        *[F.col(c) for c in df.columns if c not in added],
+        *kept,
         *added[:5],
-        distance("chars", "__chars_of", "text").alias("char_distance"),
-        F.when(F.col(names["language"]) != "", distance("common", "__common_of", "tokens")).alias("word_distance"),
+        distance("chars", "__chars_of", "size").alias("char_distance"),
+        F.when(F.col(names["language"]) != "", distance("common", "__common_of", "n_tokens")).alias("word_distance"),
     )
     n = F.col("n_words")
     failed = (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)
