@@ -12,10 +12,11 @@ misses a coordinate, which one in ten does, is thrown at with twice the bound.
 
 Coordinates are joined in ``BANDS`` bands of ``ROWS``: two documents at similarity
 0.8 share no band with probability 1e-4. In each band every document is compared
-with the band's smallest one, exactly, on its shingles; where some are less than
-similar to it, pairs that the triangle inequality of the Jaccard distance does
-not rule out and that no link so far connects are compared as well. So a group
-of many copies costs its size and not its square, and no link is lost.
+with the band's smallest one, its lead, exactly, on its shingles. Where that
+leaves more than one class, those of different classes are compared as well, but
+for pairs whose overlaps with the lead, and outside it, are too small for the
+similarity. So a group of many copies costs its size and not its square, and no
+class is lost.
 """
 
 from __future__ import annotations
@@ -69,9 +70,7 @@ def dart_signatures(
 
     ``values`` of ``texts``, ascending by text, with whole-number ``weight``.
     """
-    unit_text = np.repeat(texts, weight)
-    within = np.arange(len(unit_text)) - np.repeat(np.cumsum(weight) - weight, weight)
-    region = _mixed(np.repeat(values, weight) + _STEP * (within.astype(_U) + _U(1)))
+    region, unit_text = units_of(values, texts, weight)
     total = np.bincount(unit_text, minlength=n).astype(np.float64)
     signature = np.zeros((n, k), _U)
     todo, darts = total > 0, k * (np.log(k) + 2)
@@ -107,11 +106,16 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def jaccard(a: np.ndarray, aw: np.ndarray, b: np.ndarray, bw: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two ascending arrays of distinct hashes."""
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    low = np.minimum(aw[i], bw[j]).sum()
-    return float(low / (aw.sum() + bw.sum() - low))
+def units_of(values: np.ndarray, texts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The regions of each text, one per unit of weight: ascending hashes, and the text of each.
+
+    The weighted Jaccard similarity of texts is the plain one of their regions.
+    """
+    owner = np.repeat(texts, weight)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(weight) - weight, weight)
+    region = _mixed(np.repeat(values, weight) + _STEP * (within.astype(_U) + _U(1)))
+    order = np.lexsort((region, owner))
+    return region[order], owner[order]
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -152,49 +156,48 @@ def sketch_documents(df: DataFrame, by_count: bool = False) -> DataFrame:
     return df.select("doc_id", F.xxhash64(text_of()), text_of()).mapInArrow(run, schema)
 
 
-def _weights(df: DataFrame, by_count: bool) -> DataFrame:
-    """``name`` of each text with its distinct shingles, ascending, and their weights."""
+def _regions(df: DataFrame, by_count: bool) -> DataFrame:
+    """``name`` of each text with its ``regions``, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = words_of(batch.column(0))
             shingles = shingles_of(words, SHINGLE_WORDS)
-            values, texts, weight = weighted(shingles.values, shingles.texts, by_count)
+            values, texts = units_of(*weighted(shingles.values, shingles.texts, by_count))
             offsets = np.searchsorted(texts, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [
-                    _signed(_names(words)),
-                    pa.ListArray.from_arrays(offsets, _signed(values)),
-                    pa.ListArray.from_arrays(offsets, pa.array(weight.astype(np.int32))),
-                ],
-                names=["name", "shingles", "weights"],
+                [_signed(_names(words)), pa.ListArray.from_arrays(offsets, _signed(values))], names=["name", "regions"]
             )
 
-    return df.select(text_of()).mapInArrow(run, "name long, shingles array<long>, weights array<int>")
+    return df.select(text_of()).mapInArrow(run, "name long, regions array<long>")
 
 
-def _compared(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``pairs`` of names ``a`` and ``b`` with their exact similarity ``s``."""
-    ours = weights.select(F.col("name").alias("a"), F.struct("shingles", "weights").alias("x"))
-    theirs = weights.select(F.col("name").alias("b"), F.struct("shingles", "weights").alias("y"))
+def _compared(pairs: DataFrame, regions: DataFrame, extra: bool = False) -> DataFrame:
+    """``pairs`` of names ``a`` and ``b``, whether they are ``similar``, and the sizes ``n`` and ``m`` of ``a`` and what both have.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def arrays(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
-            cell = column[i]
-            return (
-                cell["shingles"].values.to_numpy(zero_copy_only=False).view(_U),
-                cell["weights"].values.to_numpy(zero_copy_only=False),
-            )
+    ``extra``: the regions of ``a`` that ``b`` has not, as well.
+    """
+    ours = regions.select(F.col("name").alias("a"), F.col("regions").alias("x"))
+    theirs = regions.select(F.col("name").alias("b"), F.col("regions").alias("y"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            found = [jaccard(*arrays(x, i), *arrays(y, i)) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "s"]
-            )
+            rows = []
+            for i in range(batch.num_rows):
+                a, b = (c[i].values.to_numpy(zero_copy_only=False) for c in (x, y))
+                alone = np.setdiff1d(a, b, assume_unique=True)
+                both = len(a) - len(alone)
+                rows.append((both >= SIMILARITY * (len(a) + len(b) - both), len(a), both, alone))
+            similar, n, m, alone = zip(*rows) if rows else ((), (), (), ())
+            columns = [batch.column(0), batch.column(1), pa.array(similar, pa.bool_()), pa.array(n, pa.int64()), pa.array(m, pa.int64())]
+            if extra:
+                columns.append(pa.array(alone, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "similar", "n", "m", "extra"][: len(columns)])
 
     joined = pairs.join(ours, "a").join(theirs, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long, s double")
+    schema = "a long, b long, similar boolean, n long, m long" + (", extra array<long>" if extra else "")
+    return joined.mapInArrow(run, schema)
 
 
 def components(links: DataFrame, staging: Staging) -> DataFrame:
@@ -236,44 +239,50 @@ def text_classes(df: DataFrame, texts: DataFrame, staging: Staging, by_count: bo
     met = staging.table(bands.join(met.filter("lead < last").select("band", "lead"), "band"), "met")
     known = met.select("name").distinct()
     ids = texts.select("name", F.col("first").alias("doc_id")).join(known, "name", "left_semi")
-    weights = _weights(df.join(ids, "doc_id", "left_semi"), by_count)
-    weights = weights.join(known, "name", "left_semi").dropDuplicates(["name"])
-    weights = staging.table(weights, "weights")
+    regions = _regions(df.join(ids, "doc_id", "left_semi"), by_count)
+    regions = staging.table(regions.join(known, "name", "left_semi").dropDuplicates(["name"]), "regions")
     to_lead = met.filter("name <> lead").select(F.col("name").alias("a"), F.col("lead").alias("b")).distinct()
-    scored = staging.table(_compared(to_lead, weights), "scored")
-    links = scored.filter(F.col("s") >= SIMILARITY).select("a", "b")
+    links = staging.table(_compared(to_lead, regions).filter("similar").select("a", "b"), "to_lead")
     roots = components(links, staging)
 
-    # What is left: bands where someone is not similar to the smallest, in more than one class.
-    placed = (
-        met.join(roots, "name", "left")
-        .join(scored.withColumnsRenamed({"a": "name", "b": "lead"}), ["name", "lead"], "left")
-        .select(
-            "band",
-            "name",
-            F.coalesce("root", "name").alias("class"),
-            F.coalesce(F.lit(1.0) - F.col("s"), F.lit(0.0)).alias("d"),
-        )
-    )
+    # What is left: members of bands that hold more than one class, against each other. With no
+    # region in common outside the band's lead, two texts have no more in common than either has
+    # with the lead. So a similar pair is short enough for that, or shares a region outside.
+    placed = met.join(roots, "name", "left").withColumn("class", F.coalesce("root", "name")).drop("root")
     split = placed.groupBy("band").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).filter("c1 < c2")
-    # At distance 0 of the smallest, all that is to be known is known from it.
-    open_ = staging.table(placed.join(split.select("band"), "band", "left_semi").filter("d > 0"), "open")
-    # |d(x, lead) - d(y, lead)| <= d(x, y), which a link needs to be at most 0.2.
-    step = 1 - SIMILARITY
-    slot = F.floor(F.col("d") / step)
-    left = open_.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1))).alias("l")
-    right = open_.withColumn("slot", slot).alias("r")
-    rest = (
-        left.join(right, ["band", "slot"])
-        .filter("l.class < r.class")
-        .filter(F.abs(F.col("l.d") - F.col("r.d")) <= step + 1e-9)
-        .select(F.col("l.name").alias("a"), F.col("r.name").alias("b"))
-        .distinct()
+    open_ = placed.join(split.select("band"), "band", "left_semi").filter("name <> lead")
+    open_ = staging.table(open_.select("lead", "name", "class").distinct(), "open")
+    apart = _compared(open_.select(F.col("name").alias("a"), F.col("lead").alias("b")), regions, extra=True)
+    apart = apart.withColumnsRenamed({"a": "name", "b": "lead"}).join(open_, ["lead", "name"])
+    apart = staging.table(apart.select("lead", "name", "class", "n", "m", "extra"), "apart")
+    # |x n y| >= share * (|x| + |y|) at the wanted similarity.
+    share = SIMILARITY / (1 + SIMILARITY) * (1 - 1e-12)
+    sides = apart.drop("extra")
+    left, right = sides.alias("l"), sides.alias("r")
+    enough = F.least("l.m", "r.m") >= share * (F.col("l.n") + F.col("r.n"))
+    ends = (F.greatest("l.name", "r.name").alias("a"), F.least("l.name", "r.name").alias("b"))
+    within = left.join(right, (F.col("l.lead") == F.col("r.lead")) & (F.col("l.class") < F.col("r.class")) & enough)
+    outside = apart.withColumn("region", F.explode("extra")).drop("extra")
+    # A region that members of one class alone have tells nothing.
+    mixed = outside.groupBy("lead", "region").agg(F.min("class").alias("c1"), F.max("class").alias("c2"))
+    outside = outside.join(mixed.filter("c1 < c2").select("lead", "region"), ["lead", "region"], "left_semi")
+    left, right = outside.alias("l"), outside.alias("r")
+    same = (F.col("l.lead") == F.col("r.lead")) & (F.col("l.region") == F.col("r.region"))
+    shared = (
+        left.join(right, same & (F.col("l.class") < F.col("r.class")))
+        .groupBy("l.lead", *ends)
+        .agg(
+            F.count("*").alias("common"),
+            F.min(F.least("l.m", "r.m")).alias("m"),
+            F.min(F.col("l.n") + F.col("r.n")).alias("n"),
+        )
+        .filter(F.col("common") + F.col("m") >= share * F.col("n"))
     )
-    more = staging.table(_compared(rest, weights).filter(F.col("s") >= SIMILARITY), "more")
+    rest = within.select(*ends).union(shared.select("a", "b")).distinct()
+    more = staging.table(_compared(rest, regions).filter("similar").select("a", "b"), "more")
     if more.isEmpty():
         return roots
-    return components(links.union(more.select("a", "b")), staging)
+    return components(links.union(more), staging)
 
 
 def near_duplicate_classes(df: DataFrame, staging: Staging, by_count: bool = False) -> DataFrame:

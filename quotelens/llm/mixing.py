@@ -64,9 +64,12 @@ def _targets(cells: DataFrame, margin: str, given: Mapping[str, float] | None) -
     else:
         shares = cells.sparkSession.createDataFrame(list(given.items()), f"{margin} string, x double")
         weighed = present.join(shares, margin, "left").select(margin, F.coalesce("x", F.lit(0.0)).alias("x"))
-    total = weighed.agg(F.sum("x").alias("total"))
-    # One row, by construction.
-    return weighed.crossJoin(F.broadcast(total)).select(margin, (F.col("x") / F.col("total")).alias("target"))
+    return weighed.select(margin, (F.col("x") / _sum(weighed, "x")).alias("target"))
+
+
+def _sum(df: DataFrame, column: str) -> Column:
+    """The sum of a column, as a constant; 1 where there is nothing to divide."""
+    return F.lit(float(df.agg(F.sum(column)).first()[0] or 1.0))
 
 
 def raked_cells(
@@ -86,14 +89,13 @@ def raked_cells(
     cells = df.groupBy(*margins).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
     cells = staging.table(cells, "cells")
     wanted = {m: staging.table(_targets(cells, m, (targets or {}).get(m)), f"target_{m}") for m in margins}
-    whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))
+    whole = _sum(cells, "tokens")
     weights = cells.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(sweeps):
         for m in margins:
             sums = weights.groupBy(m).agg(F.sum("weight").alias("now"))
-            scale = sums.join(wanted[m], m).crossJoin(F.broadcast(whole))
-            scale = scale.select(
-                m, F.when(F.col("now") > 0, F.col("target") * F.col("whole") / F.col("now")).otherwise(0.0).alias("scale")
+            scale = sums.join(wanted[m], m).select(
+                m, F.when(F.col("now") > 0, F.col("target") * whole / F.col("now")).otherwise(0.0).alias("scale")
             )
             weights = weights.join(scale, m).withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
         weights = staging.table(weights.select(*margins, "tokens", "weight"), "weights")
