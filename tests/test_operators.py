@@ -105,12 +105,15 @@ def test_more_than_1000_hot_keys_are_all_spread(spark):
     """Every hot key is dealt by its order, and no task gets all of one that fills a partition."""
     data = [(k, i, i) for k in range(1, 1101) for i in range(3)] + [(0, i, i) for i in range(3000)]
     df = spark.createDataFrame(data, "k int, at int, id int")
+    # At this size adaptive execution would put all partitions together.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     with Staging(spark) as staging:
         out = sequence_index(df, ["k"], "at", out="n", staging=staging, hot_rows=2)
         assert {(r.k, r.id): r.n for r in out.collect()} == _numbered(data)
         written = spark.read.parquet(next(p for p in staging._paths if "hot_rows" in p))
         parts = written.filter("k = 0").groupBy("__part").count().collect()
         assert len(parts) > 1 and max(r["count"] for r in parts) < 2500
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_sequence_index_start(spark):
