@@ -7,7 +7,8 @@ is the other. So each line sends the hash of itself and of itself without each
 word, equal hashes are joined, and what was found is confirmed by the edit
 distance of the texts. A line goes if an earlier one, by ``doc_id`` and place, is
 equal to it or one edit away; the earliest stays. With ``MIN_WORDS`` words or more
-that is a similarity of 0.8 at least; shorter lines recur by chance and stay.
+that is a similarity of 0.8 at least. Shorter lines are compared for equality only,
+and only those of ``least`` words: by default they stay, as in the SQL.
 
 The neighbourhood of a line is as large as the line, so only lines that can have
 a partner send it: two lines one edit apart share their first or their last half
@@ -124,14 +125,17 @@ def _documents(df: DataFrame) -> DataFrame:
     )
 
 
-def line_table(df: DataFrame, halves: bool) -> DataFrame:
-    """``doc``, ``mark``, ``line`` and ``name`` of every line of ``MIN_WORDS`` words, with its half keys if asked."""
+def line_table(df: DataFrame, halves: bool, least: int = MIN_WORDS) -> DataFrame:
+    """``doc``, ``mark``, ``line`` and ``name`` of every line of ``least`` words, with its half keys if asked.
+
+    Lines of less than ``MIN_WORDS`` words have no half keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, owners, number = _lines(batch.column(2))
             lines = Lines(words)
-            long = np.flatnonzero(lines.n >= MIN_WORDS)
+            long = np.flatnonzero(lines.n >= least)
             columns = [
                 batch.column(0).take(pa.array(owners[long])),
                 batch.column(1).take(pa.array(owners[long])),
@@ -139,8 +143,9 @@ def line_table(df: DataFrame, halves: bool) -> DataFrame:
                 _signed(lines.names(long)),
             ]
             if halves:
-                offsets = np.arange(len(long) + 1, dtype=np.int32) * 4
-                columns.append(pa.ListArray.from_arrays(offsets, _signed(lines.halves(long).ravel())))
+                near = lines.n[long] >= MIN_WORDS
+                offsets = np.concatenate([[0], np.cumsum(near * 4)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(offsets, _signed(lines.halves(long[near]).ravel())))
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "line", "name", "keys"][: len(columns)])
 
     schema = "doc long, mark long, line int, name long" + (", keys array<long>" if halves else "")
@@ -193,12 +198,15 @@ def _confirmed(links: DataFrame, texts: DataFrame) -> DataFrame:
     return links.join(a, "name").join(b, "other").select("name", "x", "y").mapInArrow(run, "name long")
 
 
-def removed_lines(df: DataFrame, staging: Staging) -> DataFrame:
-    """``doc``, ``mark`` and ``line`` of the lines that go: equal to, or one edit from, an earlier one."""
-    lines = staging.table(line_table(df, halves=False), "lines")
+def removed_lines(df: DataFrame, staging: Staging, least: int = MIN_WORDS) -> DataFrame:
+    """``doc``, ``mark`` and ``line`` of the lines that go: equal to, or one edit from, an earlier one.
+
+    Lines of ``least`` words to less than ``MIN_WORDS`` go only if they are equal to one.
+    """
+    lines = staging.table(line_table(df, halves=False, least=least), "lines")
     place = F.struct("doc", "mark", "line")
     kinds = (
-        line_table(df, halves=True)
+        line_table(df, halves=True, least=least)
         .groupBy("name")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"), F.any_value("keys").alias("keys"))
     )
@@ -248,10 +256,12 @@ def removed_lines(df: DataFrame, staging: Staging) -> DataFrame:
     return lines.join(flagged, "name").filter(F.col("near") | (place > F.col("first"))).select("doc", "mark", "line")
 
 
-def dedup_lines(df: DataFrame, staging: Staging, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+def dedup_lines(
+    df: DataFrame, staging: Staging, n_lines: str = "n_lines", n_removed: str = "n_removed", least: int = MIN_WORDS
+) -> DataFrame:
     """``df`` with the text of each row without its repeated lines, and how many it had and lost.
 
-    Lines are joined again by line feeds; short and blank lines stay. Rows whose
+    Lines are joined again by line feeds; blank lines and those under ``least`` words stay. Rows whose
     every word went keep an empty text: dropping them is the caller's choice.
     Null texts stay null. A null ``doc_id`` counts as the last. Rows alike in id
     and text keep or lose the same lines. The two counts replace columns of their
@@ -259,7 +269,7 @@ def dedup_lines(df: DataFrame, staging: Staging, n_lines: str = "n_lines", n_rem
     """
     doc, mark, gone, parts = free_name(df, "__doc", "__mark", "__gone", "__parts")
     removed = (
-        removed_lines(df, staging)
+        removed_lines(df, staging, least)
         .groupBy(F.col("doc").alias(doc), F.col("mark").alias(mark))
         .agg(F.collect_set("line").alias(gone))
     )

@@ -176,6 +176,25 @@ def test_line_dedup_of_messy_rows(messy, nothing, stage, monkeypatch):
     assert line_dedup.dedup_lines(nothing, stage).count() == 0
 
 
+def test_short_lines_go_if_equal(spark, stage):
+    rows = [(1, "All rights reserved.\n\nRead on"), (2, "Read on\n\nall rights reserved.\nHome"), (3, "Home\nAll  rights reserved.\nmore")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), stage, least=1).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in out} == {
+        1: (rows[0][1], 0),
+        2: ("\nall rights reserved.\nHome", 1),
+        3: ("more", 2),
+    }
+
+
+def test_pipeline_removes_short_repeats(spark):
+    import corpus_pipeline
+
+    rows = [(i, "All rights reserved.\nonly text %d" % i, "en", "a", 33) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.repeated_lines(spark, docs, "").collect()
+    assert {r.doc_id: r.text for r in out} == {0: rows[0][1], 1: "only text 1", 2: "only text 2"}
+
+
 def test_within_one_edit_is_the_edit_distance():
     words = [list(x) for n in range(5) for x in itertools.product("ab", repeat=n)]
     for a, b in itertools.product(words, words):
