@@ -15,13 +15,20 @@ a partner send it: two lines one edit apart share their first or their last half
 of the shorter one's words, word for word. Halves of all distinct lines are
 joined first, which loses nothing.
 
+If asked (``grow``), the bound grows with the line: one edit in ``EDIT_WORDS`` words
+of the longer one, a similarity of 0.8 at any length. Lines that many edits apart
+share a pair of neighbouring words among the rarest of each that so many edits
+cannot all touch. Which words count as rare comes from a sample and is the same for
+all lines, so it changes the time and not the result. A line is compared with
+the earliest that shares such a pair; those not gone by then with every earlier one.
+
 Hot lines and hot halves cost a row per map task: all that is asked of a group is
 its earliest member. No pairs within a group are made.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +40,10 @@ from quotelens.sources.staging import Staging
 
 MIN_WORDS = 5
 EDITS = 1
+#: With a growing bound, one edit in so many words of the longer line.
+EDIT_WORDS = 5
+#: Texts and words of the sample that says which words are rare.
+SAMPLE_TEXTS, SAMPLE_WORDS = 1_000, 65_536
 #: Documents with a line to compare whose ids (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -113,6 +124,30 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
     return a[first + (len(a) >= len(b)) :] == b[first + (len(b) >= len(a)) :]
 
 
+def edits_between(a: list[str], b: list[str]) -> int:
+    """The edit distance of two word sequences, a column of the table at once as the bits of an integer."""
+    if not a or not b:
+        return len(a) + len(b)
+    full, top, at = (1 << len(a)) - 1, 1 << (len(a) - 1), {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    up, down, found = full, 0, len(a)
+    for w in b:
+        same = at.get(w, 0)
+        level = (((same & up) + up) ^ up) | same
+        more, less = (down | ~(level | up)) & full, up & level
+        found += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & full, (less << 1) & full
+        up, down = (less | ~(same | down | more)) & full, more & (same | down)
+    return found
+
+
+def within_growing_bound(a: list[str], b: list[str]) -> bool:
+    """Whether two word sequences are at most one edit in ``EDIT_WORDS`` words of the longer one apart."""
+    most = max(len(a), len(b)) // EDIT_WORDS
+    return abs(len(a) - len(b)) <= most and edits_between(a, b) <= most
+
+
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
@@ -152,6 +187,30 @@ def line_table(df: DataFrame, halves: bool, least: int = MIN_WORDS) -> DataFrame
     return _documents(df).mapInArrow(run, schema)
 
 
+def _chosen(lines: Lines, owners: np.ndarray, number: np.ndarray, asked: pa.Array) -> np.ndarray:
+    """The lines of a batch whose numbers are asked for."""
+    wanted = {(i, k) for i, some in enumerate(asked.to_pylist()) for k in some}
+    return np.array([j for j in np.flatnonzero(lines.n >= MIN_WORDS) if (owners[j], number[j]) in wanted], np.int64)
+
+
+def _texts(lines: Lines, chosen: np.ndarray) -> list[str]:
+    """The words of each line, with a space between."""
+    words = lines.words
+    return [
+        b" ".join(words.bytes_at(w) for w in range(lines.begin[j], lines.end[j])).decode(errors="replace")
+        for j in chosen
+    ]
+
+
+def _asked_documents(df: DataFrame, firsts: DataFrame, staging: Staging) -> DataFrame:
+    """``text`` and ``asked``, the line numbers, of the documents that ``first`` names."""
+    asked = firsts.groupBy("first.doc", "first.mark").agg(F.collect_set("first.line").alias("asked"))
+    asked = staging.table(asked, "asked")
+    if asked.count() <= BROADCAST_IDS:
+        asked = F.broadcast(asked)
+    return _documents(df).join(asked, ["doc", "mark"])
+
+
 def _neighbourhoods(documents: DataFrame) -> DataFrame:
     """For the asked lines: themselves (``place`` -1, with their words) and themselves without each word."""
 
@@ -159,18 +218,10 @@ def _neighbourhoods(documents: DataFrame) -> DataFrame:
         for batch in batches:
             words, owners, number = _lines(batch.column(0))
             lines = Lines(words)
-            asked = set()
-            for i, some in enumerate(batch.column(1).to_pylist()):
-                asked.update((i, k) for k in some)
-            chosen = np.array(
-                [j for j in np.flatnonzero(lines.n >= MIN_WORDS) if (owners[j], number[j]) in asked], np.int64
-            )
+            chosen = _chosen(lines, owners, number, batch.column(1))
             owner, place, variant = lines.without(chosen)
             names = lines.names(chosen)
-            texts = [
-                b" ".join(words.bytes_at(w) for w in range(lines.begin[j], lines.end[j])).decode(errors="replace")
-                for j in chosen
-            ]
+            texts = _texts(lines, chosen)
             yield pa.RecordBatch.from_arrays(
                 [
                     _signed(np.concatenate([names, variant])),
@@ -184,13 +235,15 @@ def _neighbourhoods(documents: DataFrame) -> DataFrame:
     return documents.select("text", "asked").mapInArrow(run, "variant long, place int, name long, words string")
 
 
-def _confirmed(links: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links whose two lines really are one edit apart."""
+def _confirmed(
+    links: DataFrame, texts: DataFrame, alike: Callable[[list[str], list[str]], bool] = within_one_edit
+) -> DataFrame:
+    """Links whose two lines really are near each other, by default one edit apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            good = [within_one_edit(a.split(" "), b.split(" ")) for a, b in zip(x, y)]
+            good = [alike(a.split(" "), b.split(" ")) for a, b in zip(x, y)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_()))], names=["name"])
 
     a = texts.select("name", F.col("words").alias("x"))
@@ -198,10 +251,136 @@ def _confirmed(links: DataFrame, texts: DataFrame) -> DataFrame:
     return links.join(a, "name").join(b, "other").select("name", "x", "y").mapInArrow(run, "name long")
 
 
-def removed_lines(df: DataFrame, staging: Staging, least: int = MIN_WORDS) -> DataFrame:
+def _rare_pairs(h: np.ndarray, weight: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """For each line the rarest neighbouring pairs of words that a quarter as many edits as words cannot all touch.
+
+    A quarter, as the longer line's fifth is at most a quarter of the shorter one.
+    """
+    n = np.diff(offsets)
+    line = np.repeat(np.arange(len(n)), n)
+    start = np.flatnonzero(line[:-1] == line[1:])
+    value = mix(h[start] * _STEP + mix(h[start + 1]))
+    order = np.lexsort((value, weight[start] + weight[start + 1], line[start]))
+    value, place = value[order], (start[order] - offsets[line[start[order]]]).tolist()
+    ends = np.searchsorted(line[start], np.arange(len(n) + 1))
+    found = []
+    for a, b, most in zip(ends[:-1].tolist(), ends[1:].tolist(), (n // (EDIT_WORDS - 1)).tolist()):
+        # An edit touches two pairs at most, and only neighbours: a run of r pairs takes (r + 1) // 2.
+        runs: dict[int, int] = {}
+        used, edits = a, 0
+        while used < b and edits <= most:
+            p = place[used]
+            left, right = runs.get(p - 1, 0), runs.get(p + 1, 0)
+            run = left + 1 + right
+            edits += (run + 1) // 2 - (left + 1) // 2 - (right + 1) // 2
+            runs[p] = runs[p - left] = runs[p + right] = run
+            used += 1
+        # All places of the last pair, so that what is taken depends on the pair only.
+        while a < used < b and value[used] == value[used - 1]:
+            used += 1
+        found.append(np.unique(value[a:used]))
+    return found
+
+
+def _word_weights(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent words of a sample, ascending, and how frequent they are on a log scale."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, _, _ = _lines(batch.column(0))
+            h, n = np.unique(words.hashes(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(h), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+    counts = df.select(text_of().alias("text")).limit(SAMPLE_TEXTS).mapInArrow(run, "word long, n long")
+    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS).toArrow()
+    h = top["word"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.rint(16 * np.log2(1 + top["n"].to_numpy())).astype(np.int64)[order]
+
+
+def _pair_table(df: DataFrame) -> DataFrame:
+    """``doc``, ``mark``, ``line``, ``name``, words ``n`` and rare ``pairs`` of lines that may be two edits from another."""
+    shared = df.sparkSession.sparkContext.broadcast(_word_weights(df))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, weights = shared.value
+        for batch in batches:
+            words, owners, number = _lines(batch.column(2))
+            lines = Lines(words)
+            h = words.hashes()
+            weight = np.zeros(len(h), np.int64)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                weight = np.where(frequent[at] == h, weights[at], 0)
+            # The longer has twice EDIT_WORDS, the shorter two words less.
+            chosen = np.flatnonzero(lines.n >= 2 * EDIT_WORDS - 2)
+            inside = np.repeat(lines.n >= 2 * EDIT_WORDS - 2, lines.n)
+            offsets = np.concatenate([[0], np.cumsum(lines.n[chosen])])
+            pairs = _rare_pairs(h[inside], weight[inside], offsets)
+            sizes = np.concatenate([[0], np.cumsum([len(x) for x in pairs])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(owners[chosen])),
+                    batch.column(1).take(pa.array(owners[chosen])),
+                    pa.array(number[chosen].astype(np.int32)),
+                    _signed(lines.names(chosen)),
+                    pa.array(lines.n[chosen].astype(np.int32)),
+                    pa.ListArray.from_arrays(sizes, _signed(np.concatenate([np.zeros(0, _U), *pairs]))),
+                ],
+                names=["doc", "mark", "line", "name", "n", "pairs"],
+            )
+
+    return _documents(df).mapInArrow(run, "doc long, mark long, line int, name long, n int, pairs array<long>")
+
+
+def _words_table(documents: DataFrame) -> DataFrame:
+    """``name`` and ``words`` of the asked lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, owners, number = _lines(batch.column(0))
+            lines = Lines(words)
+            chosen = _chosen(lines, owners, number, batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [_signed(lines.names(chosen)), pa.array(_texts(lines, chosen), pa.string())], names=["name", "words"]
+            )
+
+    return documents.select("text", "asked").mapInArrow(run, "name long, words string")
+
+
+def _farther(df: DataFrame, near: DataFrame, staging: Staging) -> DataFrame:
+    """``name`` of lines not in ``near`` that the growing bound allows an earlier line for."""
+    kinds = (
+        _pair_table(df)
+        .groupBy("name")
+        .agg(F.min(F.struct("doc", "mark", "line")).alias("first"), F.any_value("n").alias("n"), F.any_value("pairs").alias("pairs"))
+    )
+    kinds = staging.table(kinds, "pairs")
+    spread = kinds.select("name", F.struct("first", "name", "n").alias("order"), F.explode("pairs").alias("pair"))
+    leads = spread.groupBy("pair").agg(F.min("order").alias("lead"), F.max("order").alias("last")).filter("lead < last")
+    leads = staging.table(leads.select("pair", "lead"), "leads")
+    most = F.floor(F.greatest("order.n", "lead.n") / EDIT_WORDS)
+    allowed = (F.col("lead") < F.col("order")) & (most > EDITS) & (F.abs(F.col("order.n") - F.col("lead.n")) <= most)
+
+    def found(pairs: DataFrame) -> DataFrame:
+        links = pairs.filter(allowed).select("name", F.col("lead.name").alias("other")).distinct()
+        links = staging.table(links, "links")
+        names = links.select("name").union(links.select("other")).distinct()
+        documents = _asked_documents(df, kinds.select("name", "first").join(names, "name", "left_semi"), staging)
+        texts = staging.table(_words_table(documents), "words")
+        return staging.table(_confirmed(links, texts.dropDuplicates(["name"]), within_growing_bound).distinct(), "near")
+
+    first = found(spread.join(near, "name", "left_anti").join(leads, "pair"))
+    others = spread.join(leads.select("pair"), "pair", "left_semi").select("pair", F.col("order").alias("lead"))
+    rest = spread.join(near.union(first), "name", "left_anti")
+    return first.union(found(rest.join(others, "pair")))
+
+
+def removed_lines(df: DataFrame, staging: Staging, least: int = MIN_WORDS, grow: bool = False) -> DataFrame:
     """``doc``, ``mark`` and ``line`` of the lines that go: equal to, or one edit from, an earlier one.
 
-    Lines of ``least`` words to less than ``MIN_WORDS`` go only if they are equal to one.
+    Lines of ``least`` words to less than ``MIN_WORDS`` go only if they are equal to one. With ``grow``
+    a line of n words goes if it is at most n / ``EDIT_WORDS`` edits from an earlier one, n of the longer.
     """
     lines = staging.table(line_table(df, halves=False, least=least), "lines")
     place = F.struct("doc", "mark", "line")
@@ -215,16 +394,7 @@ def removed_lines(df: DataFrame, staging: Staging, least: int = MIN_WORDS) -> Da
     halves = kinds.select("name", F.explode("keys").alias("key"))
     shared = halves.groupBy("key").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a < b")
     possible = halves.join(shared.select("key"), "key", "left_semi").select("name").distinct()
-    asked = (
-        kinds.select("name", "first")
-        .join(possible, "name", "left_semi")
-        .groupBy("first.doc", "first.mark")
-        .agg(F.collect_set("first.line").alias("asked"))
-    )
-    asked = staging.table(asked, "asked")
-    if asked.count() <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
-    documents = _documents(df).join(asked, ["doc", "mark"])
+    documents = _asked_documents(df, kinds.select("name", "first").join(possible, "name", "left_semi"), staging)
     around = staging.table(_neighbourhoods(documents).distinct(), "around")
     firsts = kinds.select("name", F.struct("first", "name").alias("order"))
     around = around.join(firsts, "name")
@@ -247,6 +417,8 @@ def removed_lines(df: DataFrame, staging: Staging, least: int = MIN_WORDS) -> Da
         .distinct()
     )
     near = staging.table(_confirmed(staging.table(links, "links"), whole.select("name", "words")).distinct(), "near")
+    if grow:
+        near = near.union(_farther(df, near, staging))
     flagged = (
         kinds.select("name", "first", "last")
         .join(near.withColumn("near", F.lit(True)), "name", "left")
@@ -257,7 +429,12 @@ def removed_lines(df: DataFrame, staging: Staging, least: int = MIN_WORDS) -> Da
 
 
 def dedup_lines(
-    df: DataFrame, staging: Staging, n_lines: str = "n_lines", n_removed: str = "n_removed", least: int = MIN_WORDS
+    df: DataFrame,
+    staging: Staging,
+    n_lines: str = "n_lines",
+    n_removed: str = "n_removed",
+    least: int = MIN_WORDS,
+    grow: bool = False,
 ) -> DataFrame:
     """``df`` with the text of each row without its repeated lines, and how many it had and lost.
 
@@ -269,7 +446,7 @@ def dedup_lines(
     """
     doc, mark, gone, parts = free_name(df, "__doc", "__mark", "__gone", "__parts")
     removed = (
-        removed_lines(df, staging, least)
+        removed_lines(df, staging, least, grow)
         .groupBy(F.col("doc").alias(doc), F.col("mark").alias(mark))
         .agg(F.collect_set("line").alias(gone))
     )

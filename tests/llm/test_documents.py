@@ -186,6 +186,36 @@ def test_short_lines_go_if_equal(spark, stage):
     }
 
 
+def test_lines_one_word_in_five_apart_equal_all_pairs(spark, stage):
+    rnd = random.Random(12)
+    base = [[rnd.choice(WORDS) for _ in range(n)] for n in (8, 8, 9, 10, 10, 11, 12, 15, 16, 20, 31, 60) * 3]
+    rows = []
+    for i in range(70):
+        found = []
+        for _ in range(rnd.randint(0, 4)):
+            w = list(rnd.choice(base))
+            for _ in range(rnd.randrange(2 + len(w) // 4)):
+                k, p = rnd.choice("dis"), rnd.randrange(len(w) + 1)
+                w[p : p + (k != "i")] = [] if k == "d" else [rnd.choice(WORDS)]
+            found.append(" ".join(w))
+        rows.append((i, "\n".join(found)))
+    lines = [(i, k, x.split()) for i, text in rows for k, x in enumerate(text.split("\n"))]
+    near = lambda a, b: edit_distance(a, b) <= max(1, max(len(a), len(b)) // 5)
+    expected = {
+        (i, k) for n, (i, k, w) in enumerate(lines) if len(w) >= 5 and any(len(v) >= 5 and near(w, v) for _, _, v in lines[:n])
+    }
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = {(r.doc, r.line) for r in line_dedup.removed_lines(df, stage, grow=True).collect()}
+    assert gone == expected and len(gone - brute_removed(rows)) > 10
+
+
+def test_edits_between_is_the_edit_distance():
+    rnd = random.Random(2)
+    for _ in range(300):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randrange(12))] for _ in range(2))
+        assert line_dedup.edits_between(a, b) == edit_distance(a, b)
+
+
 def test_pipeline_removes_short_repeats(spark):
     import corpus_pipeline
 
