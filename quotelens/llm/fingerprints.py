@@ -6,7 +6,8 @@ of a short document that a long one contains can be read off the two of them:
 ``|A n B| / |A|`` over the kept hashes. Sketches of parts merge by union. A text
 none of whose hashes is that low keeps its lowest one, so that any text with a
 word can be told from others; such a hash counts only against another sketch
-that would have kept it, or one of the same kind. Texts without a word have the
+that would have kept it, else containment is unknown. Where both texts are at hand
+and one has few kept hashes, all their shingles are compared. Texts without a word have the
 empty fingerprint.
 
 A fingerprint is base64 of the sorted hashes, eight bytes each, low byte first.
@@ -29,6 +30,8 @@ from quotelens.llm.common import Shingles, free_name, shingles_of, text_of, word
 SHINGLE_WORDS = 5
 #: One hash in so many is kept.
 SCALED = 8
+#: A text with fewer kept hashes is compared by all its shingles.
+FEW_HASHES = 32
 #: Rows of a bucket of :func:`edited_likeness`, about.
 BUCKET_ROWS = 512
 #: Quantiles asked of one aggregate at most; more rows make larger buckets.
@@ -75,10 +78,13 @@ def merge(parts: list[np.ndarray], scaled: int = SCALED) -> np.ndarray:
 def containment(a: np.ndarray, b: np.ndarray, scaled: int = SCALED) -> float:
     """The estimated part of ``a``'s shingles that ``b`` has too, 0 to 1.
 
-    Two texts without a word contain each other; one without contains none.
+    Two texts without a word contain each other; one without contains none. NaN,
+    for unknown, where ``a`` kept only a hash that ``b`` would have left out.
     """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    if a[0] > threshold(scaled) and b[0] < a[0]:
+        return float("nan")
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
 
 
@@ -138,7 +144,8 @@ def edited_likeness(df: DataFrame, scaled: int = SCALED) -> DataFrame:
 
     ``near_edited`` and ``near_next`` estimate the part of the document that the
     edited text and the next document contain; two more columns have the Jaccard
-    similarity.
+    similarity. Documents of less than ``FEW_HASHES`` kept hashes are compared by all
+    shingles, which is exact.
 
     The edited text: the last floor(n/2) of n characters replaced by the first
     as many, or all, of the next document by descending ``doc_id``; after the
@@ -197,18 +204,24 @@ def edited_likeness(df: DataFrame, scaled: int = SCALED) -> DataFrame:
             cut = len(text) // 2
             edited.append(text[: len(text) - cut] + following[:cut])
         changed = sketches(shingles_of(words_of(pa.array(edited, pa.string())), SHINGLE_WORDS), len(edited), scaled)
-        own, after = [a[4] for a, _ in pairs], [b[4] for _, b in pairs]
+        kept = [(a[4], c, b[4], scaled) for (a, b), c in zip(pairs, changed)]
+        few = [i for i, k in enumerate(kept) if len(k[0]) < FEW_HASHES]
+        texts = [t for i in few for t in (pairs[i][0][3], edited[i], pairs[i][1][3])]
+        whole = sketches(shingles_of(words_of(pa.array(texts, pa.string())), SHINGLE_WORDS), len(texts), 1)
+        used = list(kept)
+        for k, i in enumerate(few):
+            used[i] = (*whole[3 * k : 3 * k + 3], 1)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([a[2] for a, _ in pairs], id_type),
                 pa.array([len(a[3]) for a, _ in pairs], pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-                pa.array([encode(s) for s in own]),
+                pa.array([encode(k[0]) for k in kept]),
                 pa.array([encode(s) for s in changed]),
-                pa.array([containment(a, b) for a, b in zip(own, changed)], pa.float64()),
-                pa.array([containment(a, b) for a, b in zip(own, after)], pa.float64()),
-                pa.array([jaccard(a, b) for a, b in zip(own, changed)], pa.float64()),
-                pa.array([jaccard(a, b) for a, b in zip(own, after)], pa.float64()),
+                pa.array([containment(a, c, s) for a, c, _, s in used], pa.float64()),
+                pa.array([containment(a, b, s) for a, _, b, s in used], pa.float64()),
+                pa.array([jaccard(a, c) for a, c, _, _ in used], pa.float64()),
+                pa.array([jaccard(a, b) for a, _, b, _ in used], pa.float64()),
             ],
             names=schema.names,
         )

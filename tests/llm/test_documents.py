@@ -84,6 +84,32 @@ def test_sketches_merge_and_estimate_containment(spark):
     assert fingerprints.containment(x[:0], x[:0]) == 1 and fingerprints.containment(x[:0], x) == 0
 
 
+def test_short_texts_in_long_ones(spark):
+    rnd = random.Random(13)
+    rows = []
+    for i, n in enumerate((5, 6, 8, 10, 10, 12, 20, 40, 70, 100)):
+        short = prose(rnd, n)
+        rows += [(4 * i + 3, short), (4 * i + 2, prose(rnd, 300) + " " + short + " " + prose(rnd, 300)), (4 * i + 1, prose(rnd, n)), (4 * i, prose(rnd, 600))]
+    found = {r.doc_id: r for r in fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for i, r in found.items():
+        if i % 2:
+            a, b = shingle_set(texts[i]), shingle_set(texts[i - 1])
+            assert r.near_next == len(a & b) / len(a) == (i % 4 == 3)
+            assert r.jaccard_next == len(a & b) / len(a | b)
+
+
+def test_a_hash_the_other_sketch_would_not_keep_is_unknown():
+    rnd = random.Random(14)
+    shorts = [prose(rnd, 6) for _ in range(40)]
+    found = fingerprints.sketches(shingles_of(words_of(pa.array([*shorts, " ".join(shorts)]))), 41)
+    for x in found[:40]:
+        unknown = x[0] > fingerprints.threshold()
+        assert math.isnan(fingerprints.containment(x, found[40])) == unknown
+        assert unknown or fingerprints.containment(x, found[40]) == 1
+        assert fingerprints.containment(x, x) == 1
+
+
 # --- quality ----------------------------------------------------------------------
 
 
