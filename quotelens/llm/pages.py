@@ -9,7 +9,15 @@ from dataclasses import dataclass, field
 
 # HTML element names by what they do to the tree.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp svg math object select button".split())
+RAW = frozenset("script style textarea title".split())
+#: Elements within a paragraph that are blocks of their own.
+WITHIN = frozenset("button select object noscript template iframe".split())
+#: Their inner elements are inline, whatever their names, up to one that only HTML has.
+FOREIGN = frozenset(("svg", "math"))
+BREAKS = frozenset(
+    "address article aside blockquote body center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header "
+    "hr html li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split()
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var".split()
@@ -56,13 +64,14 @@ def parse(source: str) -> Page:
 
     Inline elements are part of their block. A paragraph ends where a block
     begins; ends without a beginning count for nothing; what is left open ends
-    with the page. Scripts, styles, controls, titles and comments are left out.
+    with the page. Scripts, styles, text areas, titles and comments are left out.
     White space in a block becomes one space; a line break begins a new run.
     """
     page = Page()
     stack: list[tuple[str, int]] = [("html", 0)]
     run: list[str] = []
     links = at = 0
+    foreign = False
     while True:
         tag = TAG.search(source, at)
         text = source[at : tag.start()] if tag else source[at:]
@@ -78,7 +87,9 @@ def parse(source: str) -> Page:
             continue
         if name == "a":
             links = int(tag["end"] is None)
-        if name in INLINE:
+        if name in FOREIGN or name in BREAKS or (foreign and tag["end"] and any(open_ == name for open_, _ in stack[1:])):
+            foreign = name in FOREIGN and tag["end"] is None and not tag[0].endswith("/>")
+        if name in INLINE or name in FOREIGN or (foreign and name not in RAW):
             continue
         if name == "br" or tag["end"] is None or any(open_ == name for open_, _ in stack[1:]):
             _flush(page, stack[-1][1], run)
@@ -93,7 +104,8 @@ def parse(source: str) -> Page:
             continue
         if name in VOID:
             continue
-        _close(stack, ("p",), CONFINES)
+        if name not in WITHIN:
+            _close(stack, ("p",), CONFINES | WITHIN)
         if name in CLOSES:
             _close(stack, CLOSES[name], CONFINES - {"td", "th"} if name in ("td", "th", "tr", "tbody", "tfoot") else CONFINES)
         attributes = tag["attributes"] if tag["start"] else tag["rest"]

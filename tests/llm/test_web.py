@@ -124,6 +124,16 @@ def test_blocks_of_lists_and_tables():
     assert [t for _, t in pages.parse("<p>a<div>b</div>c").blocks] == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("name", ["button", "select", "object", "svg", "math", "noscript", "iframe", "template"])
+def test_an_unclosed_element_hides_no_article(name):
+    found = " ".join(t for _, t in pages.parse(f"<div><{name}>inner words</div><article><p>one two<p>three").blocks)
+    assert found == "inner words one two three"
+    found = pages.parse(f"<main><summary><{name}>x</summary><p>y</main>")
+    assert [found.tags[n] for n, _ in found.blocks][-1] == "p" and found.depths[found.blocks[-1][0]] == 2
+    found = pages.parse(f"<p>for <{name}>x <mi>y</mi></{name}> holds<p>next").blocks
+    assert " ".join(t for _, t in found).split() == "for x y holds next".split()
+
+
 def test_the_given_pages_give_their_articles(spark, model):
     import duckdb
 
