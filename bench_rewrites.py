@@ -24,9 +24,6 @@ from quotelens.session import configure
 from quotelens.sources import Staging
 from quotelens.sources.schemas import database_of
 
-#: Above this a key is numbered in pieces; low, so that the hot key here is.
-HOT_ROWS = 50_000
-
 
 def best(build) -> float:
     times = []
@@ -68,7 +65,6 @@ def main() -> None:
                         "l_shipdate",
                         tie_breakers=["l_linenumber", "l_partkey"],
                         staging=used,
-                        hot_rows=HOT_ROWS,
                     )
                 )
     print(json.dumps(seconds))

@@ -67,60 +67,75 @@ def first_by_rank(
 def sequence_index(
     df: DataFrame,
     keys: Sequence[str],
-    order_col: str,
+    order_col: ColumnLike,
     start: int = 0,
     out: str = "sequence_index",
-    tie_breakers: Sequence[str] = (),
+    tie_breakers: Sequence[ColumnLike] = (),
     staging: Staging | None = None,
-    hot_rows: int = 4_000_000,
 ) -> DataFrame:
     """Number all rows of each key in ascending order, from ``start``.
 
-    Numbering keeps every row, so a window would sort a hot key in one task. With
-    ``staging``, keys of more than ``hot_rows`` rows, all of them, are numbered
-    another way: their rows are range-partitioned by key and order, so that a key
-    spans as many partitions as it fills, and written with their place in the
-    partition; the counts of a key's partitions before are then added. There are
-    at most ``rows / hot_rows`` such keys, which bounds what is broadcast. Writing
-    is what keeps the places right when a task runs again. Other keys, and all
-    keys without a shared folder, take a plain window.
+    Numbering keeps every row, so a window over the keys alone would sort a hot key
+    in one task. With ``staging`` rows are range-partitioned by key and order, so
+    that a key spans as many partitions as it fills, and written with the number of
+    theirs; writing keeps the numbers right when a task runs again. The window then
+    runs over key and partition, and a key that goes on from an earlier partition
+    adds the rows it has there. Of those there is one per partition at most, which
+    bounds what is broadcast by the number of partitions. Every key, hot or not,
+    takes this way. Without a shared folder all keys take a plain window.
+
+    Rows equal in keys, order and tie-breakers are numbered in any order, and lie
+    in one partition.
     """
     keys, order = list(keys), _ordering([order_col, *tie_breakers], False)
-    window = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    numbered = (window + (start - 1)).cast("long").alias(out)
     if staging is None or not staging.enabled:
-        return df.select(*df.columns, numbered)
-    hidden = [f"__{k}" for k in keys]
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return df.select(*df.columns, (F.row_number().over(window) + (start - 1)).cast("long").alias(out))
+    part, edge, before, rows = free_names(df.columns, "part", "edge", "before", "rows")
+    hidden = free_names(df.columns, *[f"of_{k}" for k in keys])
+    by_key = [F.col(k) for k in keys]
+    placed = staging.table(
+        df.repartitionByRange(*by_key, *order).withColumn(part, F.spark_partition_id()), "placed_rows"
+    )
 
     def same_key(left: DataFrame, right: DataFrame) -> Column:
         pairs = [left[k].eqNullSafe(right[h]) for k, h in zip(keys, hidden)]
         return reduce(lambda a, b: a & b, pairs)
 
     renamed = [F.col(k).alias(h) for k, h in zip(keys, hidden)]
-    hot = df.groupBy(*renamed).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > hot_rows)
-    hot = staging.table(hot.select(*hidden), "hot_keys")
-    if hot.isEmpty():
-        return df.select(*df.columns, numbered)
-    cold = df.join(F.broadcast(hot), same_key(df, hot), "left_anti").select(*df.columns, numbered)
-    # The id counts up within a partition and tells partitions apart.
-    by_key = [F.col(k) for k in keys]
-    placed = (
-        df.join(F.broadcast(hot), same_key(df, hot), "left_semi")
-        .repartitionByRange(*by_key, *order)
-        .sortWithinPartitions(*by_key, *order)
-        .withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()})
+    # A key in several partitions is the lowest or the highest of each of them.
+    key = F.struct(*renamed)
+    ends = placed.groupBy(part).agg(F.min(key).alias("lowest"), F.max(key).alias("highest"))
+    spread = (
+        ends.select(part, F.explode(F.array_distinct(F.array("lowest", "highest"))).alias(edge))
+        .groupBy(edge)
+        .agg(F.count(F.lit(1)).alias(rows))
+        .filter(F.col(rows) > 1)
+        .select(f"{edge}.*")
     )
-    placed = staging.table(placed, "hot_rows")
-    runs = placed.groupBy(*renamed, F.col("__part").alias("__of")).agg(
-        F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n")
+    runs = (
+        placed.select(part, *keys)
+        .join(F.broadcast(spread), same_key(placed, spread), "left_semi")
+        .groupBy(*renamed, F.col(part).alias(edge))
+        .agg(F.count(F.lit(1)).alias(rows))
     )
-    before = Window.partitionBy(*hidden).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(
-        *hidden,
-        "__of",
-        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + start).alias("__shift"),
+    earlier = Window.partitionBy(*hidden).orderBy(edge).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*hidden, edge, F.sum(rows).over(earlier).alias(before)).filter(F.col(before).isNotNull())
+    window = Window.partitionBy(*keys, part).orderBy(*order)
+    on = same_key(placed, runs) & (placed[part] == runs[edge])
+    index = F.row_number().over(window) + F.coalesce(before, F.lit(0)) + (start - 1)
+    return placed.join(F.broadcast(runs), on, "left").select(
+        *[placed[c] for c in df.columns], index.cast("long").alias(out)
     )
-    # A row for each hot key and partition it is in: no more than partitions and hot keys together.
-    on = same_key(placed, runs) & (placed["__part"] == runs["__of"])
-    index = (F.col("__place") + F.col("__shift")).cast("long").alias(out)
-    return cold.union(placed.join(F.broadcast(runs), on).select(*df.columns, index))
+
+
+def free_names(taken: Sequence[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it new."""
+    used = {c.lower() for c in taken}
+    found = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        found.append(name)
+    return found

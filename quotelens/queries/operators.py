@@ -39,7 +39,7 @@ from quotelens.operators import (
 )
 from quotelens.operators.rollup import Measure
 from quotelens.queries.registry import Given, query
-from quotelens.sources.staging import Staging
+from quotelens.sources.staging import Staging, own_folder
 
 AS_OF = dt.date(2000, 12, 31)
 
@@ -117,6 +117,33 @@ def customer_order_sequence(given: Given) -> DataFrame:
     ).drop("placed")
 
 
+@query(
+    "status_order_sequence",
+    """
+    SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus
+        ORDER BY CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate END NULLS LAST, o_orderkey)
+        AS place
+    FROM orders""",
+)
+def status_order_sequence(given: Given) -> DataFrame:
+    """Three keys hold all rows, so every key is numbered over many partitions."""
+    orders = given["orders"].select(
+        "o_orderstatus",
+        "o_orderkey",
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate")).alias("placed"),
+    )
+    own_folder(orders.sparkSession)
+    return sequence_index(
+        orders,
+        ["o_orderstatus"],
+        "placed",
+        start=1,
+        out="place",
+        tie_breakers=["o_orderkey"],
+        staging=Staging(orders.sparkSession, required=True),
+    ).drop("placed")
+
+
 @query(
     "representative_order",
     """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,15 @@ def shared_folder(spark: SparkSession, folder: str | None = None) -> str | None:
     )
 
 
+def own_folder(spark: SparkSession) -> None:
+    """Name a folder where nobody has and all tasks run in this process, as in tests.
+
+    On a cluster nothing is named: only the user knows a folder that all machines see.
+    """
+    if shared_folder(spark) is None and spark.sparkContext.master.split("[")[0] == "local":
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quotelens-"))
+
+
 class Staging:
     """Parquet tables in the shared folder, deleted together after use.
 

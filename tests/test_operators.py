@@ -84,8 +84,8 @@ def _numbered(data):
     }
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 300])
-def test_sequence_index_equals_plain_numbering_with_a_hot_key(spark, hot_rows):
+@pytest.mark.parametrize("clash", [False, True])
+def test_sequence_index_equals_plain_numbering_with_a_hot_key(spark, clash):
     """A third of the rows, all in one key; nulls and long ties in the order."""
     rnd = random.Random(7)
     data = []
@@ -93,29 +93,41 @@ def test_sequence_index_equals_plain_numbering_with_a_hot_key(spark, hot_rows):
         k = None if i % 3 == 0 else (1 if i % 7 == 0 else rnd.randrange(400))
         data.append((k, None if i % 11 == 0 else rnd.randrange(40), i))
     df = spark.createDataFrame(data, "k int, at int, id int")
+    if clash:
+        df = df.selectExpr("*", "1 part", "2 _part", "3 edge", "4 before", "5 rows", "6 of_k")
     with Staging(spark) as staging:
-        out = sequence_index(
-            df, ["k"], "at", tie_breakers=["id"], out="n", staging=staging, hot_rows=hot_rows
-        )
+        out = sequence_index(df, ["k"], "at", tie_breakers=["id"], out="n", staging=staging)
+        assert out.columns == [*df.columns, "n"]
         assert {(r.k, r.id): r.n for r in out.collect()} == _numbered(data)
-        assert len(staging._paths) == (1 if hot_rows == 10**9 else 2)
 
 
-def test_more_than_1000_hot_keys_are_all_spread(spark):
-    """Every hot key is dealt by its order, and no task gets all of one that fills a partition."""
+def test_numbering_spreads_every_hot_key(spark):
+    """Every key is dealt by its order, and no task gets all of one that fills a partition."""
     data = [(k, i, i) for k in range(1, 1101) for i in range(3)] + [(0, i, i) for i in range(3000)]
     df = spark.createDataFrame(data, "k int, at int, id int")
     # At this size adaptive execution would put all partitions together.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     with Staging(spark) as staging:
-        out = sequence_index(df, ["k"], "at", out="n", staging=staging, hot_rows=2)
+        out = sequence_index(df, ["k"], "at", out="n", staging=staging)
         assert {(r.k, r.id): r.n for r in out.collect()} == _numbered(data)
-        written = spark.read.parquet(next(p for p in staging._paths if "hot_rows" in p))
-        parts = written.filter("k = 0").groupBy("__part").count().collect()
+        written = spark.read.parquet(next(p for p in staging._paths if "placed_rows" in p))
+        parts = written.filter("k = 0").groupBy("part").count().collect()
         assert len(parts) > 1 and max(r["count"] for r in parts) < 2500
+        # What goes on from an earlier partition is at most a row per partition.
+        assert "BroadcastNestedLoopJoin" not in plan(out)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_numbering_two_keys_across_partitions(spark):
+    data = [(i % 2, None if i % 3 else "x", i) for i in range(4000)]
+    df = spark.createDataFrame(data, "a int, b string, at int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    with Staging(spark) as staging:
+        ours = rows(sequence_index(df, ["a", "b"], F.col("at").cast("long"), start=5, out="n", staging=staging))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ours == rows(sequence_index(df, ["a", "b"], "at", start=5, out="n"))
+
+
 def test_sequence_index_start(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5)], "k string, at int")
     assert rows(sequence_index(df, ["k"], "at", start=1, out="n")) == [
