@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import bpe, dart_minhash, fingerprints, html_extract, lattice, line_dedup, merkle, mixing, quality, token_counts, urls
+from quotelens.llm import bpe, dart_minhash, fingerprints, html_extract, lattice, line_dedup, merkle, mixing, quality, search, token_counts, urls
 from quotelens.llm.common import read, staging, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,6 +181,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op10_mixing"] = mixing.mix_sql()
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), staging(spark))
+
+
+ORACLES["op11_ranked_search"] = search.search_sql()
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(read(spark, sf_dir, "documents"), staging(spark))
