@@ -34,7 +34,7 @@ from quotelens.llm.common import HashTable, Words, batches_up_to, buffers, gathe
 from quotelens.sources.staging import Staging
 
 #: Documents of a shard, at least (its last batch may go over), and of a block, about.
-SHARD = 4_096
+SHARD = 2_048
 BLOCK = 64
 
 #: Queries are taken in parts of about so many characters, which bounds what each task is sent.
@@ -46,7 +46,7 @@ SKETCH = 32
 EMPTY = (np.zeros(0, np.int64),) * 3
 
 #: Entries that are looked at in one numpy call.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -239,11 +239,19 @@ class Shard:
 
 def _blocks(at, terms, impacts, owner, weights, size) -> np.ndarray:
     """The block of every posting: numbers ascend by term, then by pivot."""
-    signs = ((mix(terms.astype(np.uint64) + np.uint64(1))[:, None] >> np.arange(SKETCH, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
-    gains = (weights[terms] * impacts).astype(np.float32)[:, None] * (2 * signs - 1)
+    kinds, column = np.unique(terms, return_inverse=True)
+    bits = mix(kinds.astype(np.uint64) + np.uint64(1))[:, None] >> np.arange(SKETCH, dtype=np.uint64)
+    signs = (bits & np.uint64(1)).astype(np.float32) * 2 - 1
+    gains = (weights[terms] * impacts).astype(np.float32)
     sketch = np.zeros((len(at) - 1, SKETCH), np.float32)
-    filled = np.flatnonzero(np.diff(at))
-    sketch[filled] = np.add.reduceat(gains, at[:-1][filled], axis=0) if len(filled) else 0
+    i = 0
+    while i < len(sketch):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK // SKETCH)) - 1)
+        own = slice(at[i], at[j])
+        filled = i + np.flatnonzero(np.diff(at[i : j + 1]))
+        if len(filled):
+            sketch[filled] = np.add.reduceat(gains[own, None] * signs[column[own]], at[filled] - at[i], axis=0)
+        i = j
     sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-9)
     order = np.argsort(terms, kind="stable")
     starts = np.flatnonzero(np.diff(terms[order], prepend=-1))
