@@ -43,6 +43,9 @@ QUERY_CHARS = 4_000_000
 #: Coordinates that likeness is judged in.
 SKETCH = 32
 
+#: A coordinate is kept in a block's summary if an item may have both terms; by so many bits.
+MASK_BITS = 1_024
+
 EMPTY = (np.zeros(0, np.int64),) * 3
 
 #: Entries that are looked at in one numpy call.
@@ -104,6 +107,17 @@ class Queries:
         owner = np.repeat(np.arange(len(self.ids)), np.diff(self.at))
         return Queries(self.ids, self.keys, self.at, terms[np.lexsort((terms, owner))])
 
+    def masks(self) -> np.ndarray:
+        """Bits of each term for the items it is in, items so far apart sharing one.
+
+        Terms of one item share a bit; with more items than bits, so may others.
+        """
+        words = -(-min(max(len(self.ids), 1), MASK_BITS) // 64)
+        found = np.zeros((len(self.keys), words), np.uint64)
+        bit = np.repeat(np.arange(len(self.ids)), np.diff(self.at)) % (64 * words)
+        np.bitwise_or.at(found, (self.terms, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+        return found
+
 
 # --- documents ------------------------------------------------------------------
 
@@ -183,16 +197,17 @@ class Shard:
     sum_tops: np.ndarray
 
     @classmethod
-    def of(cls, table: pa.Table, weights: np.ndarray, block_docs: int) -> Shard:
+    def of(cls, table: pa.Table, weights: np.ndarray, masks: np.ndarray, block_docs: int) -> Shard:
         at, terms = _lists(table.column("terms"))
         _, impacts = _lists(table.column("impacts"))
         owner = np.repeat(np.arange(table.num_rows), np.diff(at))
         block = _blocks(at, terms, impacts, owner, weights, block_docs)
         order = np.lexsort((owner, block))
         block_at = np.concatenate([np.searchsorted(block[order], np.arange(block.max(initial=-1) + 1)), [len(order)]])
-        sums = _summaries(at, terms, impacts, owner, block)
+        block_terms = terms[order[block_at[:-1]]]
+        sums = _summaries(at, terms, impacts, owner, block, block_terms, masks)
         docs = table.column("doc_id").combine_chunks()
-        return cls(docs, at, terms, impacts, terms[order[block_at[:-1]]], block_at, owner[order], *sums)
+        return cls(docs, at, terms, impacts, block_terms, block_at, owner[order], *sums)
 
     ARRAYS = (
         ("at", pa.int32()), ("terms", pa.int32()), ("impacts", pa.int32()),
@@ -266,16 +281,20 @@ def _blocks(at, terms, impacts, owner, weights, size) -> np.ndarray:
     return np.unique(terms * (len(at) + 1) + part, return_inverse=True)[1]
 
 
-def _summaries(at, terms, impacts, owner, block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term, block, highest impact) for terms at least as common as the block's own."""
+def _summaries(at, terms, impacts, owner, block, block_terms, masks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, block, highest impact) for terms at least as common as the block's own.
+
+    Only of terms that some item may have together with the block's own.
+    """
     kinds, column = np.unique(terms, return_inverse=True)
     order = np.argsort(block, kind="stable")
+    blocks = block[order]
     # A document's terms ascend, so those not rarer than a posting's follow it.
     lengths = at[owner[order] + 1] - order
     found = []
     i = 0
     while i < len(order):
-        last = np.searchsorted(block[order], block[order[i]] + max(1, CHUNK // len(kinds)))
+        last = np.searchsorted(blocks, block[order[i]] + max(1, CHUNK // len(kinds)))
         tops = np.zeros((block[order[last - 1]] - block[order[i]] + 1) * len(kinds), np.int64)
         ends = np.cumsum(lengths[i:last])
         j = 0
@@ -287,6 +306,11 @@ def _summaries(at, terms, impacts, owner, block) -> tuple[np.ndarray, np.ndarray
             np.maximum.at(tops, cells, impacts[entries])
             j = k
         cells = np.flatnonzero(tops)
+        own, other = block_terms[cells // len(kinds) + block[order[i]]], kinds[cells % len(kinds)]
+        asked = np.zeros(len(cells), bool)
+        for word in masks.T:
+            asked |= (word[own] & word[other]) != 0
+        cells = cells[asked]
         found.append((kinds[cells % len(kinds)], cells // len(kinds) + block[order[i]], tops[cells]))
         i = last
     if not found:
@@ -311,10 +335,11 @@ def _best(docs: pa.Array, places: np.ndarray, scores: np.ndarray, top: int) -> n
 
 def _shards(queries: Queries, weights: np.ndarray, top: int, shard_docs: int, block_docs: int) -> Callable:
     """A row per shard, with the best scores of each item's most promising block."""
+    masks = queries.masks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches_up_to(batches, shard_docs), shard_docs):
-            shard = Shard.of(table, weights, block_docs)
+            shard = Shard.of(table, weights, masks, block_docs)
             items, scores = [], []
             for i in range(len(queries.ids)):
                 terms = queries.terms[queries.at[i] : queries.at[i + 1]]

@@ -98,7 +98,7 @@ def test_summaries_bound_every_document_of_a_block():
     total = sum(len(terms(t)) for _, t in docs)
     batch = rows.append_column("row", pa.array(range(len(docs)))).combine_chunks().to_batches()[0]
     table = pa.Table.from_batches(search._weighed(place, weights, 300, total)([batch]))
-    shard = search.Shard.of(table, weights, 8)
+    shard = search.Shard.of(table, weights, queries.masks(), 8)
     for i in range(len(queries.ids)):
         asked = queries.terms[queries.at[i] : queries.at[i + 1]]
         blocks, bound = shard.bounds(asked, weights)
@@ -109,6 +109,17 @@ def test_summaries_bound_every_document_of_a_block():
                     assert score <= most
 
 
+def test_terms_of_an_item_share_a_bit(monkeypatch):
+    for bits in (1024, 64):
+        monkeypatch.setattr(search, "MASK_BITS", bits)
+        queries = search.Queries.of(list(range(300)), pa.array([f"a{i} b{i % 7} c" for i in range(300)]))
+        masks = queries.masks()
+        assert masks.shape[1] == min(5, bits // 64)
+        for i in range(300):
+            first, *rest = queries.terms[queries.at[i] : queries.at[i + 1]]
+            assert all((masks[first] & masks[t]).any() for t in rest)
+
+
 def test_items_in_parts(spark, stage, monkeypatch):
     monkeypatch.setattr(search, "QUERY_CHARS", 60)
     docs, items = corpus(6, 80)
