@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import bpe, dart_minhash, fingerprints, html_extract, lattice, line_dedup, merkle, mixing, quality, search, token_counts, urls
+from quotelens.llm import bpe, dart_minhash, fingerprints, html_extract, lattice, line_dedup, merkle, mixing, pii, quality, search, token_counts, urls
 from quotelens.llm.common import read, staging, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,6 +189,12 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_ranked_search"] = search.search_sql()
 
 
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.find(documents, pii.trained(spark)))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(read(spark, sf_dir, "documents"), staging(spark))
