@@ -1,6 +1,12 @@
 """Generic DataFrame operators; table and column names are always arguments."""
 
-from quotelens.operators.joins import KeyFilter, key_set, split_by_existence
+from quotelens.operators.joins import (
+    KeyFilter,
+    heavy_keys,
+    key_set,
+    split_by_existence,
+    spread_join,
+)
 from quotelens.operators.ranking import (
     first_by_rank,
     latest_per_key,
@@ -22,6 +28,7 @@ __all__ = [
     "child_totals",
     "first_by_rank",
     "from_units",
+    "heavy_keys",
     "key_set",
     "label_extremes",
     "latest_per_key",
@@ -30,6 +37,7 @@ __all__ = [
     "sequence_index",
     "shared_scale",
     "split_by_existence",
+    "spread_join",
     "to_units",
     "union_disjoint",
     "union_distinct",

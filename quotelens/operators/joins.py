@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotelens.operators.ranking import free_names
 from quotelens.sources.staging import Staging
 
 
@@ -32,6 +33,44 @@ def split_by_existence(
     return left.join(present, on, "left_semi"), left.join(present, on, "left_anti")
 
 
+def heavy_keys(df: DataFrame, key: str, staging: Staging) -> DataFrame:
+    """Keys with more than a fair share of the rows, and the ``parts`` that each makes.
+
+    A fair share is the rows by the session's shuffle partitions, so there are fewer
+    heavy keys than partitions: what joins broadcast of them is bounded by that.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = staging.table(
+        df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("heavy")).agg(F.count(F.lit(1)).alias("rows")),
+        f"rows_by_{key}",
+    )
+    rows = counts.agg(F.sum("rows")).first()[0] or 0
+    fair = max(1, -(-rows // partitions))
+    parts = F.ceil(F.col("rows") / fair).cast("int").alias("parts")
+    return counts.filter(F.col("rows") > fair).select("heavy", parts)
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, how: str = "inner"
+) -> DataFrame:
+    """The join on ``key``, inner or left, the rows of heavy keys dealt over many tasks.
+
+    ``heavy`` is that of :func:`heavy_keys` for ``left``. A left row of a heavy key
+    goes to one of the key's parts, by a hash of the row, so that a task that runs
+    again sends it to the same; a right row goes to every part. Other keys have one
+    part. Each pair of rows meets in one part, so the rows are those of a plain join.
+    """
+    part, parts, whose = free_names([*left.columns, *right.columns], "part", "parts", "heavy")
+    named = heavy.select(F.col("heavy").alias(whose), F.col("parts").alias(parts))
+
+    def with_parts(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(named), df[key] == F.col(whose), "left").drop(whose)
+
+    dealt = with_parts(left).withColumn(part, F.pmod(F.hash(*left.columns), F.coalesce(parts, F.lit(1)))).drop(parts)
+    copied = with_parts(right).withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
+    return dealt.join(copied.drop(parts), [key, part], how).drop(part)
+
+
 class KeyFilter:
     """Cuts large tables down to the keys a driving table needs.
 
@@ -52,6 +91,10 @@ class KeyFilter:
         )
         return df.join(wanted, df[key] == wanted["__wanted"], "left_semi")
 
+    def below(self, df: DataFrame) -> KeyFilter:
+        """The filter that ``df``, whose rows are written already, makes for tables one level below."""
+        return KeyFilter(df, self._staging)
+
     def through(self, df: DataFrame, name: str) -> tuple[DataFrame, KeyFilter]:
         """``df``, already cut, and the filter it makes for tables one level below.
 

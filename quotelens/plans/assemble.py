@@ -16,7 +16,7 @@ from quotelens.functions.exprs import (
     presence_flag,
     rate_change,
 )
-from quotelens.operators.joins import KeyFilter
+from quotelens.operators.joins import KeyFilter, heavy_keys, spread_join
 from quotelens.operators.sets import union_disjoint
 from quotelens.plans.coverage import QUOTE_MEASURES, quote_limits, vehicle_limits
 from quotelens.plans.params import MartParams
@@ -180,53 +180,77 @@ def build_mart(
     A quote with several competitor prices, or on a rate with several requests,
     has a row for each combination.
 
-    With ``staging`` the representative quotes, which everything else is driven
-    by, and the premium totals, which two joins read, are written first, and
-    every child table is cut down to their keys. Delete its tables when the
-    result is written. Without it, or where no shared folder is named, the plan
-    is one lazy query without those cuts. The session must be set up as
+    With ``staging`` the representative quotes, which everything else is driven by,
+    are written first, every child table is cut down to their keys, and the vehicle
+    quotes, read for totals and for limits, are cut and written once. What belongs to
+    a quote is written in buckets of quotes, as are the representative quotes with
+    what they have by other keys, so the last joins shuffle nothing. Requests of a
+    rate that very many share are dealt over tasks. Delete the tables when the result
+    is written. Without it, or where no shared folder is named, the plan is one lazy
+    query without those cuts. The session must be set up as
     :func:`quotelens.session.configure` does.
     """
     t, p = tables, params or MartParams()
     spark = t["quotes"].sparkSession
     check_session(spark)
-    staged = staging is not None and staging.enabled
+    if staging is None or not staging.enabled:
+        return _lazy(t, p)
     base = representative_quotes(t, p, in_study=True, staging=staging)
     base_columns = base.columns
-    keep = None
-    if staged:
-        base = staging.table(base, "representative_quotes")
-        keep = KeyFilter(base, staging)
+    base = staging.table(base, "representative_quotes", by="quote_id")
+    keep = KeyFilter(base, staging)
+    both = ["quote_id", "current_policy_term_revision_quote_id"]
+    vehicles = staging.table(
+        keep.apply(t["vehicle_quotes"], "quote_id", both), "vehicle_quotes", by="quote_id"
+    )
 
-    def totals() -> DataFrame:
-        both = ["quote_id", "current_policy_term_revision_quote_id"]
-        found = premium_totals(t, keep, both)
-        return staging.table(found, "premium_totals") if staged else found
+    def by_quote(build: Callable[[], DataFrame], name: str) -> Callable[[], DataFrame]:
+        return lambda: staging.table(build(), name, by="quote_id")
 
     parts = _side_by_side(
         spark,
         {
-            "totals": totals,
+            "totals": by_quote(lambda: premium_totals(t, keep, both, vehicles), "premium_totals"),
+            "vehicle_limits": by_quote(lambda: vehicle_limits(t, keep=keep, vehicles=vehicles), "vehicle_limits"),
+            "quote_limits": by_quote(lambda: quote_limits(t, keep), "quote_limits"),
+            "competitor": by_quote(
+                lambda: competitor_premiums(t, p, keep, check_quotes=False), "competitor_premiums"
+            ),
             "people": lambda: rated_people(t, p, keep),
             "hypothetical": lambda: hypothetical_wide(t, p, keep),
-            "vehicle_limits": lambda: vehicle_limits(t, keep=keep),
-            "competitor": lambda: competitor_premiums(t, p, keep, check_quotes=False),
+            "heavy": lambda: heavy_keys(base, "rate_id", staging),
         },
     )
-    reasons = t["rating_requests"].select("rate_id", F.col("reason").alias("rating_reason"))
-    if keep is not None:
-        reasons = keep.apply(reasons, "rate_id")
-    # Joins on the other keys come first, while rows are narrow; those on the
-    # quote share one shuffle.
+    # Joins on the other keys come first, while rows are narrow.
+    facts = latest_account_facts(t, keep)
+    reasons = keep.apply(_reasons(t), "rate_id")
+    keyed = _with_current_policy(base, parts["totals"])
+    keyed = keyed.join(facts, "account_id", "left").join(parts["people"], "profile_id", "left")
+    for found in (parts["hypothetical"], reasons):
+        keyed = spread_join(keyed, found, "rate_id", parts["heavy"], "left")
+    wide = staging.table(keyed, "by_other_keys", by="quote_id")
+    for name in ("totals", "vehicle_limits", "quote_limits", "competitor"):
+        wide = wide.join(parts[name], "quote_id", "left")
+    return wide.select(*_output(p, base_columns))
+
+
+def _reasons(t: Tables) -> DataFrame:
+    return t["rating_requests"].select("rate_id", F.col("reason").alias("rating_reason"))
+
+
+def _lazy(t: Tables, p: MartParams) -> DataFrame:
+    base = representative_quotes(t, p, in_study=True)
+    totals = premium_totals(t)
+    # Those on the quote share one shuffle.
     wide = (
-        _with_current_policy(base, parts["totals"])
-        .join(latest_account_facts(t, keep), "account_id", "left")
-        .join(parts["people"], "profile_id", "left")
-        .join(parts["hypothetical"], "rate_id", "left")
-        .join(reasons, "rate_id", "left")
-        .join(parts["totals"], "quote_id", "left")
-        .join(parts["vehicle_limits"], "quote_id", "left")
-        .join(quote_limits(t, keep), "quote_id", "left")
-        .join(parts["competitor"], "quote_id", "left")
+        _with_current_policy(base, totals)
+        .join(latest_account_facts(t), "account_id", "left")
+        .join(rated_people(t, p), "profile_id", "left")
+        .join(hypothetical_wide(t, p), "rate_id", "left")
+        .join(_reasons(t), "rate_id", "left")
+        .join(totals, "quote_id", "left")
+        .join(vehicle_limits(t), "quote_id", "left")
+        .join(quote_limits(t), "quote_id", "left")
+        .join(competitor_premiums(t, p, check_quotes=False), "quote_id", "left")
     )
-    return wide.select(*_output(p, base_columns))
+    return wide.select(*_output(p, base.columns))

@@ -51,18 +51,26 @@ def _labelled(t: Tables, bridge: DataFrame, measures: Sequence[Measure]) -> Data
 
 
 def vehicle_limits(
-    t: Tables, stats: Sequence[str] = ("max",), keep: KeyFilter | None = None
+    t: Tables,
+    stats: Sequence[str] = ("max",),
+    keep: KeyFilter | None = None,
+    vehicles: DataFrame | None = None,
 ) -> DataFrame:
-    """Statistics of the vehicle-level limits, per quote that has any."""
-    vehicles = t["vehicle_quotes"].select(F.col("id").alias("vehicle_quote_id"), "quote_id")
+    """Statistics of the vehicle-level limits, per quote that has any.
+
+    ``vehicles``: the vehicle quotes, where they are written already.
+    """
+    given = t["vehicle_quotes"] if vehicles is None else vehicles
+    held = given.select(F.col("id").alias("vehicle_quote_id"), "quote_id")
     bridge = t["coverages_vehicle_quotes"]
     if keep is not None:
-        vehicles, keep = keep.through(keep.apply(vehicles, "quote_id"), "vehicles")
-        bridge = keep.apply(bridge, "vehicle_quote_id")
+        held = keep.apply(held, "quote_id")
+        held, below = (held, keep.below(held)) if vehicles is not None else keep.through(held, "vehicles")
+        bridge = below.apply(bridge, "vehicle_quote_id")
     rows = _labelled(t, bridge, VEHICLE_MEASURES)
     per_vehicle = label_extremes(rows, "vehicle_quote_id", "symbol", VEHICLE_MEASURES, stats)
     return rollup_extremes(
-        per_vehicle.join(vehicles, "vehicle_quote_id"), "quote_id", VEHICLE_MEASURES, stats
+        per_vehicle.join(held, "vehicle_quote_id"), "quote_id", VEHICLE_MEASURES, stats
     )
 
 

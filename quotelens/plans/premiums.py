@@ -56,15 +56,23 @@ def _with_total(plan: str, scale: int | None, suffix: str = "") -> list[Column]:
 
 
 def premium_totals(
-    t: Tables, keep: KeyFilter | None = None, keep_cols: Sequence[str] = ()
+    t: Tables,
+    keep: KeyFilter | None = None,
+    keep_cols: Sequence[str] = (),
+    vehicles: DataFrame | None = None,
 ) -> DataFrame:
-    """Premium per coverage under both payment plans, and the vehicle count, per quote."""
+    """Premium per coverage under both payment plans, and the vehicle count, per quote.
+
+    ``vehicles``: the vehicle quotes, where they are cut already.
+    """
     umuim = [premium(plan, "umuim") for plan in PAYMENT_PLANS]
     quotes = t["quotes"].select(F.col("id").alias("quote_id"), *umuim)
-    vehicles = t["vehicle_quotes"]
     if keep is not None:
         quotes = keep.apply(quotes, "quote_id", keep_cols)
-        vehicles = keep.apply(vehicles, "quote_id", keep_cols)
+    if vehicles is None:
+        vehicles = t["vehicle_quotes"]
+        if keep is not None:
+            vehicles = keep.apply(vehicles, "quote_id", keep_cols)
     sums = [c for plan in PAYMENT_PLANS for c in _vehicle_premiums(plan)]
     scale = _scale(vehicles, sums, quotes)
     totals = child_totals(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.functions.exprs import matured_flag, rank_from_list
-from quotelens.operators.joins import key_set
+from quotelens.operators.joins import heavy_keys, key_set, spread_join
 from quotelens.operators.ranking import first_by_rank, latest_per_key, sequence_index
 from quotelens.operators.sets import union_disjoint, with_constants
 from quotelens.plans.params import MartParams
@@ -87,13 +87,16 @@ def term_tenure(t: Tables, staging: Staging | None = None) -> DataFrame:
     )
 
 
-def quote_choices(t: Tables, p: MartParams, rates: DataFrame | None = None) -> DataFrame:
+def quote_choices(
+    t: Tables, p: MartParams, rates: DataFrame | None = None, bound: bool | None = None
+) -> DataFrame:
     """The best-ranked bought and the best-ranked unbought quote of each rate.
 
     Every request on a rate sees the same quotes, so choosing per rate gives each
     request the quote it would choose itself, and requests meet one row per set
     where they would meet every quote of the rate. ``rates``: the distinct
-    ``rate_id`` asked for; quotes of others go before anything is shuffled.
+    ``rate_id`` asked for; quotes of others go before anything is shuffled. ``bound``
+    leaves one of the two.
     """
     markers = (
         t["initial_policy_term_revisions"]
@@ -122,15 +125,14 @@ def quote_choices(t: Tables, p: MartParams, rates: DataFrame | None = None) -> D
         .withColumn("bound", F.coalesce("bought", F.lit(False)))
         .drop("bought")
     )
+    if bound is not None:
+        quotes = quotes.filter(F.col("bound") == bound)
     return first_by_rank(quotes, ["rate_id", "bound"], "tier_rank", ["quote_id"])
 
 
-def _requests(
-    t: Tables, p: MartParams, in_study: bool, staging: Staging | None = None
-) -> DataFrame:
-    """New-business and renewal requests in one shape, one row per request and kind."""
+def _new_requests(t: Tables, p: MartParams) -> DataFrame:
     key_type = t["quotes"].schema["id"].dataType.simpleString()
-    new = with_constants(
+    return with_constants(
         latest_nb_requests(t, p).select("rate_id", F.col("id").alias("rating_request_id")),
         {
             "renewal": (False, "boolean"),
@@ -140,6 +142,9 @@ def _requests(
             "current_invoice_period": (None, "string"),
         },
     )
+
+
+def _renewal_requests(t: Tables, p: MartParams, in_study: bool, staging: Staging | None) -> DataFrame:
     # One request may renew several terms; its quotes are the same for each.
     expiring = first_by_rank(
         latest_renewal_requests(t), ["id"], "current_policy_term_id"
@@ -156,19 +161,40 @@ def _requests(
         F.col("id").alias("current_policy_term_id"),
         (F.col("prior_policy_term_count") + 1).alias("prior_policy_term_count"),
     )
-    renewing = (
+    return (
         expiring.withColumn("renewal", F.lit(True))
         .join(tenure, "current_policy_term_id")
-        .select(*new.columns)
+        .drop("current_policy_term_id", "current_policy_term_revision_id")
     )
-    return union_disjoint(new, renewing)
+
+
+def _requests(
+    t: Tables,
+    p: MartParams,
+    in_study: bool,
+    staging: Staging | None = None,
+    renewal: bool | None = None,
+) -> DataFrame:
+    """New-business and renewal requests, or one of them, one row per request and kind.
+
+    They say which quotes are looked at and are then joined to them, so they are
+    staged where they can be.
+    """
+    kinds = []
+    if renewal is not True:
+        kinds.append(_new_requests(t, p))
+    if renewal is not False:
+        kinds.append(_renewal_requests(t, p, in_study, staging))
+    found = union_disjoint(*kinds)
+    return staging.table(found, "requests") if staging is not None else found
 
 
 def _with_customer(quotes: DataFrame, t: Tables) -> DataFrame:
     """Add profile, account and market; drop accounts without facts.
 
     Joined outward from the chosen quotes, so the rates shuffle once, on the key
-    the quotes are already partitioned by, and the rest meets chosen rows only.
+    the quotes are already partitioned by, and the rest meets chosen rows only. There
+    are two of a rate at most here, however many requests it has.
     """
     rates = t["rates"].select(F.col("id").alias("rate_id"), "profile_id", "market")
     profiles = t["profiles"].select(F.col("id").alias("profile_id"), "account_id")
@@ -181,11 +207,19 @@ def _with_customer(quotes: DataFrame, t: Tables) -> DataFrame:
 
 
 def representative_quotes(
-    t: Tables, p: MartParams, in_study: bool = False, staging: Staging | None = None
+    t: Tables,
+    p: MartParams,
+    in_study: bool = False,
+    staging: Staging | None = None,
+    renewal: bool | None = None,
+    bound: bool | None = None,
 ) -> DataFrame:
     """All four sets of representative quotes; ``in_study`` keeps the study dates only.
 
     A request with both a bought and an unbought quote gives one row for each.
+    ``renewal`` and ``bound`` leave some of the sets, and the work for the others.
+    With ``staging`` the requests are worked out once, and those of a rate that very
+    many share are dealt over tasks.
     """
     decided_on = F.when(F.col("renewal"), F.col("expires_on")).otherwise(F.col("created_on"))
     plan = (
@@ -193,12 +227,13 @@ def representative_quotes(
         .when(F.col("bound"), F.col("bought_invoice_period"))
         .otherwise(F.lit(p.unknown_plan))
     )
-    requests = _requests(t, p, in_study, staging)
-    quotes = (
-        quote_choices(t, p, key_set(requests, "rate_id"))
-        .join(requests, "rate_id")
-        .withColumn("decision_date", decided_on)
-    )
+    requests = _requests(t, p, in_study, staging, renewal)
+    choices = _with_customer(quote_choices(t, p, key_set(requests, "rate_id"), bound), t)
+    if staging is not None and staging.enabled:
+        quotes = spread_join(requests, choices, "rate_id", heavy_keys(requests, "rate_id", staging))
+    else:
+        quotes = choices.join(requests, "rate_id")
+    quotes = quotes.withColumn("decision_date", decided_on)
     if in_study:
         quotes = quotes.filter(F.col("decision_date").between(p.study_start, p.study_end))
     labels = [
@@ -207,7 +242,7 @@ def representative_quotes(
         .alias(f"bound_within_{n}_days")
         for n in p.maturity_days
     ]
-    return _with_customer(quotes, t).select(
+    return quotes.select(
         "quote_id",
         "current_policy_term_revision_quote_id",
         "rate_id",
@@ -231,5 +266,4 @@ def quotes_of_kind(
 ) -> DataFrame:
     """One of the four sets named in :data:`KINDS`."""
     renewal, bound = KINDS[kind]
-    chosen = representative_quotes(t, p, staging=staging)
-    return chosen.filter((F.col("renewal") == renewal) & (F.col("bound") == bound))
+    return representative_quotes(t, p, staging=staging, renewal=renewal, bound=bound)

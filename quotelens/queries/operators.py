@@ -38,8 +38,8 @@ from quotelens.operators import (
     with_constants,
 )
 from quotelens.operators.rollup import Measure
-from quotelens.queries.registry import Given, query
-from quotelens.sources.staging import Staging, own_folder
+from quotelens.queries.registry import Given, query, working
+from quotelens.sources.staging import Staging
 
 AS_OF = dt.date(2000, 12, 31)
 
@@ -132,7 +132,6 @@ def status_order_sequence(given: Given) -> DataFrame:
         "o_orderkey",
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate")).alias("placed"),
     )
-    own_folder(orders.sparkSession)
     return sequence_index(
         orders,
         ["o_orderstatus"],
@@ -140,7 +139,7 @@ def status_order_sequence(given: Given) -> DataFrame:
         start=1,
         out="place",
         tie_breakers=["o_orderkey"],
-        staging=Staging(orders.sparkSession, required=True),
+        staging=working(orders.sparkSession),
     ).drop("placed")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelens.session import configure
+from quotelens.sources.staging import Staging, own_folder
 from quotelens.sources.tables import LazyTables
 
 TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -38,6 +39,15 @@ def read_given(spark: SparkSession, sf_dir: str) -> Given:
     )
 
 
+def working(spark: SparkSession) -> Staging:
+    """Staging for a query, in a folder of its own where a local session has none.
+
+    Its tables go when the JVM ends: the caller reads the result after the query returns.
+    """
+    own_folder(spark)
+    return Staging(spark)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Dates and timestamps as text, so that any client compares them alike."""
     texts = [name for name, kind in df.dtypes if kind.startswith(("date", "timestamp"))]

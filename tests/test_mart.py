@@ -257,13 +257,14 @@ def test_staged_mart_equals_lazy_at_any_threshold(spark, tables, threshold):
 
 
 def test_staged_plans_cut_every_child_table(spark, tables, threshold, monkeypatch):
+    """And no table of the vehicles is read twice."""
     plans = {}
     write = Staging.table
 
-    def noted(self, df, name):
+    def noted(self, df, name, by=None):
         # Not plan(): parts are built side by side, and they share one standard output.
         plans[name] = df._jdf.queryExecution().executedPlan().toString()
-        return write(self, df, name)
+        return write(self, df, name, by)
 
     monkeypatch.setattr(Staging, "table", noted)
     with Staging(spark) as staging:
@@ -275,9 +276,61 @@ def test_staged_plans_cut_every_child_table(spark, tables, threshold, monkeypatc
     for text in plans.values():
         for word in ("EvalPython", "CartesianProduct", "NestedLoop"):
             assert word not in text
-    for name in ("premium_totals", "vehicles", "rated_vehicles", "rerate_quotes", "rating_data"):
+    for name in ("premium_totals", "vehicle_quotes", "quote_limits", "rated_vehicles", "rerate_quotes", "rating_data"):
         assert "LeftSemi" in plans[name], name
-    assert plans["mart"].count("Join type: LeftSemi") >= 6
+    assert plans["by_other_keys"].count("LeftSemi") >= 2
+
+
+def test_last_joins_shuffle_nothing(spark, tables):
+    """What belongs to a quote lies in buckets of quotes."""
+    from helpers import final_plan
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with Staging(spark) as staging:
+            out = build_mart(tables, PARAMS, staging)
+            text = plan(out)
+            assert "Exchange" not in text and text.count("SortMergeJoin") >= 4
+            assert "Exchange" not in final_plan(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        if before is not None:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_vehicle_quotes_are_scanned_once(spark, tables, tmp_path):
+    rows_of = tables["vehicle_quotes"]
+    rows_of.write.parquet(str(tmp_path / "vehicle_quotes"))
+    read = spark.read.parquet(str(tmp_path / "vehicle_quotes"))
+    scans = []
+    with Staging(spark) as staging:
+        write = staging.table
+
+        def noted(df, name, by=None):
+            scans.append(df._jdf.queryExecution().executedPlan().toString().count(str(tmp_path)))
+            return write(df, name, by)
+
+        staging.table = noted
+        out = build_mart({**tables, "vehicle_quotes": read}, PARAMS, staging)
+        scans.append(plan(out).count(str(tmp_path)))
+    assert sum(scans) == 1
+
+
+def test_requests_are_planned_once_and_by_kind(spark, tables):
+    def windows(kind):
+        with Staging(spark) as staging:
+            names = []
+            write = staging.table
+            staging.table = lambda df, name, by=None: (names.append(name), write(df, name, by))[1]
+            out = quotes_of_kind(tables, PARAMS, kind, staging)
+            return out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit"), names
+
+    for kind in KINDS:
+        found, names = windows(kind)
+        # The pick of quotes alone is left, in its two steps.
+        assert found <= 2 and names.count("requests") == 1
+        assert ("placed_rows" in names) == kind.endswith("renewal")
 
 
 def test_staged_tables_are_deleted(spark, tables):

@@ -16,6 +16,7 @@ from quotelens.operators import (
     KeyFilter,
     child_totals,
     first_by_rank,
+    heavy_keys,
     from_units,
     key_set,
     label_extremes,
@@ -25,6 +26,7 @@ from quotelens.operators import (
     sequence_index,
     shared_scale,
     split_by_existence,
+    spread_join,
     to_units,
     union_disjoint,
     union_distinct,
@@ -135,6 +137,40 @@ def test_sequence_index_start(spark):
     ]
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_the_plain_join_and_deals_a_hot_key(spark, how):
+    """A third of the left rows on one key, several right rows for some; nulls on both sides."""
+    saved = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in saved}
+    for k, v in saved.items():
+        spark.conf.set(k, v)
+    try:
+        left = [(7 if i % 3 == 0 else None if i % 50 == 1 else i % 900, i, i % 2) for i in range(6000)]
+        right = [(k, v) for k in range(0, 700) for v in range(1 + (k % 5 == 2))] + [(None, 1)]
+        a = spark.createDataFrame(left, "k int, i int, part int")
+        b = spark.createDataFrame(right, "k int, heavy int")
+        with Staging(spark) as staging:
+            heavy = heavy_keys(a, "k", staging)
+            assert rows(heavy) == [(7, 6)]
+            out = spread_join(a, b, "k", heavy, how)
+            assert out.columns == a.join(b, "k", how).columns
+            assert rows(out) == rows(a.join(b, "k", how))
+            hot = out.filter("k = 7").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+            # Parts go to tasks by hash, so two may meet.
+            assert len(hot) >= 3 and max(r["count"] for r in hot) < 0.4 * sum(r["count"] for r in hot)
+            assert "CartesianProduct" not in plan(out) and "NestedLoop" not in plan(out)
+            assert rows(heavy_keys(a.limit(0), "k", staging)) == []
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_split_by_existence(spark):
     left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
     right = spark.createDataFrame([(1,), (1,), (None,)], "r int")

@@ -73,6 +73,48 @@ def test_staging_writes_under_the_named_folder_and_deletes(spark, tmp_path):
         assert str(tmp_path) in own.table(df, "numbers").inputFiles()[0]
 
 
+def test_bucketed_staging_needs_no_exchange(spark):
+    df = spark.range(1000).selectExpr("id % 90 AS k", "id AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with Staging(spark) as staging:
+            a, b = staging.table(df, "a", by="k"), staging.table(df.distinct(), "b", by="k")
+            out = a.groupBy("k").agg(F.count("v").alias("n")).join(b, "k")
+            assert "Exchange" not in plan(out)
+            assert out.count() == 1000 and a.columns == df.columns
+            named = spark.catalog.listTables()
+        assert len(spark.catalog.listTables()) < len(named)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_run_with_a_key_goes_on_after_its_last_table(spark, tmp_path):
+    work = {"done": 0}
+
+    def counted(n):
+        work["done"] += 1
+        return spark.range(n).selectExpr("id AS k", "id * 2 AS v")
+
+    with pytest.raises(RuntimeError):
+        with Staging(spark, str(tmp_path), key="a1") as staging:
+            first = rows(staging.table(counted(5), "plain"))
+            second = rows(staging.table(counted(9), "by_key", by="k"))
+            with pytest.raises(ValueError, match="staged twice"):
+                staging.table(counted(5), "plain")
+            raise RuntimeError("the driver is lost")
+    # A table that was not finished is written again.
+    unfinished = tmp_path / "quotelens" / "run-a1" / "third"
+    unfinished.mkdir()
+    (unfinished / "part-0").write_text("torn")
+    with Staging(spark, str(tmp_path), key="a1") as staging:
+        assert rows(staging.table(spark.range(0).selectExpr("id AS k", "id AS v"), "plain")) == first
+        again = staging.table(spark.range(0).selectExpr("id AS k", "id AS v"), "by_key", by="k")
+        assert rows(again) == second and "Exchange" not in plan(again.groupBy("k").count())
+        assert rows(staging.table(spark.range(2), "third")) == [(0,), (1,)]
+        assert staging.resumed == ["plain", "by_key"]
+    assert not (tmp_path / "quotelens" / "run-a1").exists()
+
+
 ALONE = """
 import sys
 from pyspark.sql import SparkSession
