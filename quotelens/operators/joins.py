@@ -33,19 +33,15 @@ def split_by_existence(
     return left.join(present, on, "left_semi"), left.join(present, on, "left_anti")
 
 
-def heavy_keys(df: DataFrame, key: str, staging: Staging) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys with more than a fair share of the rows, and the ``parts`` that each makes.
 
-    A fair share is the rows by the session's shuffle partitions, so there are fewer
+    ``df`` is one whose rows are written, as they are counted here. A fair share is the rows by the session's shuffle partitions, so there are fewer
     heavy keys than partitions: what joins broadcast of them is bounded by that.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = staging.table(
-        df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("heavy")).agg(F.count(F.lit(1)).alias("rows")),
-        f"rows_by_{key}",
-    )
-    rows = counts.agg(F.sum("rows")).first()[0] or 0
-    fair = max(1, -(-rows // partitions))
+    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("heavy")).agg(F.count(F.lit(1)).alias("rows"))
+    fair = max(1, -(-df.count() // partitions))
     parts = F.ceil(F.col("rows") / fair).cast("int").alias("parts")
     return counts.filter(F.col("rows") > fair).select("heavy", parts)
 

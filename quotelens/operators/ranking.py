@@ -72,6 +72,7 @@ def sequence_index(
     out: str = "sequence_index",
     tie_breakers: Sequence[ColumnLike] = (),
     staging: Staging | None = None,
+    one_task_bytes: int | None = None,
 ) -> DataFrame:
     """Number all rows of each key in ascending order, from ``start``.
 
@@ -82,13 +83,19 @@ def sequence_index(
     runs over key and partition, and a key that goes on from an earlier partition
     adds the rows it has there. Of those there is one per partition at most, which
     bounds what is broadcast by the number of partitions. Every key, hot or not,
-    takes this way. Without a shared folder all keys take a plain window.
+    takes this way. Only a table that Spark takes to be of ``one_task_bytes`` in all,
+    by default what it gives to one task, has no key too large for a window, nor has
+    one a way around it without a shared folder: these take the plain window.
 
     Rows equal in keys, order and tie-breakers are numbered in any order, and lie
     in one partition.
     """
     keys, order = list(keys), _ordering([order_col, *tie_breakers], False)
-    if staging is None or not staging.enabled:
+    if one_task_bytes is None:
+        given = df.sparkSession._jsparkSession.sessionState().conf()
+        one_task_bytes = given.getConfString("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
+        one_task_bytes = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(one_task_bytes)
+    if staging is None or not staging.enabled or planned_bytes(df) <= one_task_bytes:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.select(*df.columns, (F.row_number().over(window) + (start - 1)).cast("long").alias(out))
     part, edge, before, rows = free_names(df.columns, "part", "edge", "before", "rows")
@@ -129,6 +136,11 @@ def sequence_index(
     )
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The size that Spark plans with: that of the files, less the columns not read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def free_names(taken: Sequence[str], *names: str) -> list[str]:
     """``names``, each with as many underscores before it as make it new."""
     used = {c.lower() for c in taken}

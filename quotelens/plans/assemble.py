@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -161,8 +162,8 @@ def _with_current_policy(base: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def _side_by_side(
-    spark: SparkSession, builders: dict[str, Callable[[], DataFrame]]
-) -> dict[str, DataFrame]:
+    spark: SparkSession, builders: dict[str, Callable[[], Any]]
+) -> dict[str, Any]:
     """Run the builders at once: those that stage a table leave no core idle meanwhile."""
     with ThreadPoolExecutor(len(builders)) as pool:
         started = {
@@ -200,27 +201,35 @@ def build_mart(
     base = staging.table(base, "representative_quotes", by="quote_id")
     keep = KeyFilter(base, staging)
     both = ["quote_id", "current_policy_term_revision_quote_id"]
-    vehicles = staging.table(
-        keep.apply(t["vehicle_quotes"], "quote_id", both), "vehicle_quotes", by="quote_id"
-    )
 
     def by_quote(build: Callable[[], DataFrame], name: str) -> Callable[[], DataFrame]:
         return lambda: staging.table(build(), name, by="quote_id")
 
+    def of_vehicles() -> dict[str, DataFrame]:
+        cut = keep.apply(t["vehicle_quotes"], "quote_id", both)
+        vehicles = staging.table(cut, "vehicle_quotes", by="quote_id")
+        return _side_by_side(
+            spark,
+            {
+                "totals": by_quote(lambda: premium_totals(t, keep, both, vehicles), "premium_totals"),
+                "vehicle_limits": by_quote(lambda: vehicle_limits(t, keep=keep, vehicles=vehicles), "vehicle_limits"),
+            },
+        )
+
     parts = _side_by_side(
         spark,
         {
-            "totals": by_quote(lambda: premium_totals(t, keep, both, vehicles), "premium_totals"),
-            "vehicle_limits": by_quote(lambda: vehicle_limits(t, keep=keep, vehicles=vehicles), "vehicle_limits"),
+            "of_vehicles": of_vehicles,
             "quote_limits": by_quote(lambda: quote_limits(t, keep), "quote_limits"),
             "competitor": by_quote(
                 lambda: competitor_premiums(t, p, keep, check_quotes=False), "competitor_premiums"
             ),
             "people": lambda: rated_people(t, p, keep),
-            "hypothetical": lambda: hypothetical_wide(t, p, keep),
-            "heavy": lambda: heavy_keys(base, "rate_id", staging),
+            "hypothetical": lambda: staging.table(hypothetical_wide(t, p, keep), "hypothetical_premiums", by="rate_id"),
+            "heavy": lambda: heavy_keys(base, "rate_id"),
         },
     )
+    parts |= parts.pop("of_vehicles")
     # Joins on the other keys come first, while rows are narrow.
     facts = latest_account_facts(t, keep)
     reasons = keep.apply(_reasons(t), "rate_id")

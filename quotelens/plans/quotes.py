@@ -230,7 +230,7 @@ def representative_quotes(
     requests = _requests(t, p, in_study, staging, renewal)
     choices = _with_customer(quote_choices(t, p, key_set(requests, "rate_id"), bound), t)
     if staging is not None and staging.enabled:
-        quotes = spread_join(requests, choices, "rate_id", heavy_keys(requests, "rate_id", staging))
+        quotes = spread_join(requests, choices, "rate_id", heavy_keys(requests, "rate_id"))
     else:
         quotes = choices.join(requests, "rate_id")
     quotes = quotes.withColumn("decision_date", decided_on)

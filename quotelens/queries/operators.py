@@ -140,6 +140,7 @@ def status_order_sequence(given: Given) -> DataFrame:
         out="place",
         tie_breakers=["o_orderkey"],
         staging=working(orders.sparkSession),
+        one_task_bytes=0,
     ).drop("placed")
 
 

@@ -98,7 +98,7 @@ def test_sequence_index_equals_plain_numbering_with_a_hot_key(spark, clash):
     if clash:
         df = df.selectExpr("*", "1 part", "2 _part", "3 edge", "4 before", "5 rows", "6 of_k")
     with Staging(spark) as staging:
-        out = sequence_index(df, ["k"], "at", tie_breakers=["id"], out="n", staging=staging)
+        out = sequence_index(df, ["k"], "at", tie_breakers=["id"], out="n", staging=staging, one_task_bytes=0)
         assert out.columns == [*df.columns, "n"]
         assert {(r.k, r.id): r.n for r in out.collect()} == _numbered(data)
 
@@ -110,7 +110,7 @@ def test_numbering_spreads_every_hot_key(spark):
     # At this size adaptive execution would put all partitions together.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     with Staging(spark) as staging:
-        out = sequence_index(df, ["k"], "at", out="n", staging=staging)
+        out = sequence_index(df, ["k"], "at", out="n", staging=staging, one_task_bytes=0)
         assert {(r.k, r.id): r.n for r in out.collect()} == _numbered(data)
         written = spark.read.parquet(next(p for p in staging._paths if "placed_rows" in p))
         parts = written.filter("k = 0").groupBy("part").count().collect()
@@ -120,12 +120,22 @@ def test_numbering_spreads_every_hot_key(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_a_table_for_one_task_takes_a_plain_window(spark):
+    small, large = spark.range(50), spark.range(20_000_000)
+    with Staging(spark) as staging:
+        sequence_index(small.selectExpr("id AS k", "id AS at"), ["k"], "at", staging=staging)
+        assert staging._paths == []
+        given = large.filter("id < 40").selectExpr("id % 2 AS k", "id AS at")
+        out = sequence_index(given, ["k"], "at", staging=staging)
+        assert len(staging._paths) == 1 and sorted(r.sequence_index for r in out.collect()) == sorted([*range(20)] * 2)
+
+
 def test_numbering_two_keys_across_partitions(spark):
     data = [(i % 2, None if i % 3 else "x", i) for i in range(4000)]
     df = spark.createDataFrame(data, "a int, b string, at int")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     with Staging(spark) as staging:
-        ours = rows(sequence_index(df, ["a", "b"], F.col("at").cast("long"), start=5, out="n", staging=staging))
+        ours = rows(sequence_index(df, ["a", "b"], F.col("at").cast("long"), start=5, out="n", staging=staging, one_task_bytes=0))
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert ours == rows(sequence_index(df, ["a", "b"], "at", start=5, out="n"))
 
@@ -155,17 +165,16 @@ def test_spread_join_equals_the_plain_join_and_deals_a_hot_key(spark, how):
         right = [(k, v) for k in range(0, 700) for v in range(1 + (k % 5 == 2))] + [(None, 1)]
         a = spark.createDataFrame(left, "k int, i int, part int")
         b = spark.createDataFrame(right, "k int, heavy int")
-        with Staging(spark) as staging:
-            heavy = heavy_keys(a, "k", staging)
-            assert rows(heavy) == [(7, 6)]
-            out = spread_join(a, b, "k", heavy, how)
-            assert out.columns == a.join(b, "k", how).columns
-            assert rows(out) == rows(a.join(b, "k", how))
-            hot = out.filter("k = 7").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
-            # Parts go to tasks by hash, so two may meet.
-            assert len(hot) >= 3 and max(r["count"] for r in hot) < 0.4 * sum(r["count"] for r in hot)
-            assert "CartesianProduct" not in plan(out) and "NestedLoop" not in plan(out)
-            assert rows(heavy_keys(a.limit(0), "k", staging)) == []
+        heavy = heavy_keys(a, "k")
+        assert rows(heavy) == [(7, 6)]
+        out = spread_join(a, b, "k", heavy, how)
+        assert out.columns == a.join(b, "k", how).columns
+        assert rows(out) == rows(a.join(b, "k", how))
+        hot = out.filter("k = 7").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        # Parts go to tasks by hash, so two may meet.
+        assert len(hot) >= 3 and max(r["count"] for r in hot) < 0.4 * sum(r["count"] for r in hot)
+        assert "CartesianProduct" not in plan(out) and "NestedLoop" not in plan(out)
+        assert rows(heavy_keys(a.limit(0), "k")) == []
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
