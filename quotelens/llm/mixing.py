@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.llm.common import SPACES, free_name, text_of
+from quotelens.llm.common import WORD, free_name, text_of
 from quotelens.llm.quality import LETTERS, SYMBOLS
 from quotelens.sources.staging import Staging
 
@@ -36,7 +36,7 @@ MARGINS = ("source", "lang", "topic")
 
 def n_tokens_of(text: Column) -> Column:
     """The number of words of a text."""
-    return F.size(F.filter(F.split(text, f"{SPACES}+"), lambda w: w != "")).cast("long")
+    return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
 def topic_of(text: Column, n_words: Column) -> Column:
@@ -120,41 +120,51 @@ def draw(key: Column, seed: str = SEED) -> Column:
     return F.conv(digits, 16, 10).cast("double") / 4294967296.0
 
 
+#: Columns that are added.
+ADDED = ("topic", "n_tokens", "probability", "sampled")
+
+
 def mix_documents(
     df: DataFrame,
     staging: Staging,
     targets: Mapping[str, Mapping[str, float]] | None = None,
     sweeps: int = SWEEPS,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """``df`` with ``topic``, ``n_tokens``, ``probability`` and whether it is ``sampled``.
 
     Columns of those names are replaced. Draws go by ``doc_id``, or the text where
-    it is null; repeated rows are drawn alike.
+    it is null; repeated rows are drawn alike. Texts are gone over once: what is
+    counted in them is written beside the columns of ``df``, but for those in
+    ``drop``, and read for the cells and for the result.
     """
-    added = ("topic", "n_tokens", "probability", "sampled")
-    t, n, s, g, p = free_name(df, "__text", "__tokens", "__source", "__lang", "__topic")
+    t, n, s, g, p, d, x = free_name(
+        df, "__text", "__tokens", "__source", "__lang", "__topic", "__draw", "__probability"
+    )
     keyed = df.withColumn(t, text_of()).withColumn(n, n_tokens_of(F.col(t)))
-    keyed = keyed.withColumns(
-        {
-            s: F.coalesce(F.col("source").cast("string"), F.lit(NONE)),
-            g: F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
-            p: topic_of(F.col(t), F.col(n)),
-        }
+    given = [c for c in df.columns if c not in (*ADDED, *drop)]
+    keyed = keyed.select(
+        *[F.col(c) for c in given],
+        F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias(s),
+        F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias(g),
+        topic_of(F.col(t), F.col(n)).alias(p),
+        n,
+        draw(F.coalesce(F.col("doc_id").cast("string"), F.col(t))).alias(d),
     )
+    keyed = staging.table(keyed, "keyed")
     rows = keyed.select(F.col(s).alias("source"), F.col(g).alias("lang"), F.col(p).alias("topic"), F.col(n).alias("tokens"))
     cells = raked_cells(rows, staging, targets=targets, sweeps=sweeps)
     cells = staging.table(
         cells.select(F.col("source").alias(s), F.col("lang").alias(g), F.col("topic").alias(p), "probability"), "mix"
-    ).withColumnRenamed("probability", "__probability")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col(t))
+    ).withColumnRenamed("probability", x)
     # A row without a token weighs nothing, even where others of its cell do.
-    chance = F.when(F.col(n) > 0, F.coalesce("__probability", F.lit(0.0))).otherwise(0.0)
+    chance = F.when(F.col(n) > 0, F.coalesce(x, F.lit(0.0))).otherwise(0.0)
     return keyed.join(cells, [s, g, p], "left").select(
-        *[F.col(c) for c in df.columns if c not in added],
+        *[F.col(c) for c in given],
         F.col(p).alias("topic"),
         F.col(n).alias("n_tokens"),
         chance.alias("probability"),
-        (draw(key) < chance).alias("sampled"),
+        (F.col(d) < chance).alias("sampled"),
     )
 
 

@@ -201,6 +201,12 @@ def _repeats(df: DataFrame, hashes: str) -> tuple[DataFrame, Column]:
     return df, F.when(win.isNotNull(), covered).otherwise(0).cast("long")
 
 
+#: Columns that are added.
+ADDED = tuple(
+    "n_words word_chars n_symbols n_dup_lines n_repeat_words char_distance word_distance base_failed kept".split()
+)
+
+
 def judge_documents(df: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """``df`` with the counts, both distances, ``base_failed`` and ``kept``.
 
@@ -211,14 +217,11 @@ def judge_documents(df: DataFrame, text: str = "text", lang: str | None = "lang"
     Two passes over the texts: one sums the references, whose few rows are
     broadcast, and one judges. No text is shuffled.
     """
-    added = (
-        "n_words word_chars n_symbols n_dup_lines n_repeat_words "
-        "char_distance word_distance base_failed kept"
-    ).split()
+    kept = [c for c in df.columns if c not in ADDED]
+    of, chars_of, common_of = free_name(df, "__of", "__chars_of", "__common_of")
     references = language_references(df, text, lang).withColumnsRenamed(
-        {"language": "__of", "chars": "__chars_of", "common": "__common_of"}
+        {"language": of, "chars": chars_of, "common": common_of}
     )
-    kept = [c for c in df.columns if c not in added]
     counted, names = _counts(df, text, lang, kept, full=True)
     counted, repeats = _repeats(counted, names["hashes"])
     symbols = F.col(names["counts"])[list(CLASSES).index("symbol")]
@@ -244,17 +247,17 @@ def judge_documents(df: DataFrame, text: str = "text", lang: str | None = "lang"
         ),
     )
     joined = counted.join(
-        F.broadcast(references), counted[names["language"]] == references["__of"], "left"
+        F.broadcast(references), counted[names["language"]] == references[of], "left"
     )
 
-    def distance(own: str, of: str, total: str) -> Column:
-        return js_distance(F.col(names[own]), F.col(of), F.col(names[total]), _total(F.col(of)))
+    def distance(own: str, other: str, total: str) -> Column:
+        return js_distance(F.col(names[own]), F.col(other), F.col(names[total]), _total(F.col(other)))
 
     result = joined.select(
         *kept,
-        *added[:5],
-        distance("chars", "__chars_of", "size").alias("char_distance"),
-        F.when(F.col(names["language"]) != "", distance("common", "__common_of", "n_tokens")).alias("word_distance"),
+        *ADDED[:5],
+        distance("chars", chars_of, "size").alias("char_distance"),
+        F.when(F.col(names["language"]) != "", distance("common", common_of, "n_tokens")).alias("word_distance"),
     )
     n = F.col("n_words")
     failed = (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)

@@ -172,7 +172,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    mixed = mixing.mix_documents(documents, staging(spark))
+    mixed = mixing.mix_documents(documents, staging(spark), drop=["text"])
     return mixed.select(
         "doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled"
     )

@@ -369,6 +369,28 @@ def test_mix_of_messy_rows(messy, nothing, stage):
     assert mixing.mix_documents(nothing, stage).count() == 0
 
 
+INNER = (
+    "__of __chars_of __common_of __probability __draw __tokens __source __lang __topic "
+    "topic n_tokens probability sampled kept n_words base_failed own_topic"
+).split()
+
+
+def test_inner_names_and_columns_of_ones_own_pass_through(spark, messy, stage):
+    """Every inner name as a column of the input; the pipeline's stages keep columns of their outputs' names."""
+    import corpus_pipeline
+
+    own = messy.select("doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.lit(f"own {c}") for c in INNER})
+    for out, added in ((quality.judge_documents(own), quality.ADDED), (mixing.mix_documents(own, stage), mixing.ADDED)):
+        assert set(out.columns) == {*own.columns, *added}
+        for r in out.collect():
+            assert all(r[c] == f"own {c}" for c in INNER if c not in added)
+    long = own.filter("length(text) > 40")
+    for run in (corpus_pipeline.quality_rules, corpus_pipeline.mix):
+        out = run(spark, long, "")
+        assert out.columns == own.columns
+        assert all(r[c] == f"own {c}" for r in out.collect() for c in INNER)
+
+
 # --- lattice -----------------------------------------------------------------------------
 
 
