@@ -30,6 +30,7 @@ from quotelens.plans.premiums import (
 )
 from quotelens.plans.quotes import Tables, representative_quotes
 from quotelens.session import check_session
+from quotelens.sources.sink import commit, run_key
 from quotelens.sources.staging import Staging
 
 #: Reported coverage groups and the coverages each one adds up.
@@ -243,6 +244,27 @@ def build_mart(
     return wide.select(*_output(p, base_columns))
 
 
+def write_mart(
+    tables: Tables,
+    target: str,
+    params: MartParams | None = None,
+    folder: str | None = None,
+    version: str | None = None,
+) -> bool:
+    """Write the mart to ``target``, ordered by decision date, whole or not at all.
+
+    Tables are staged in ``folder``, or the one the session names, and dropped at the
+    end. See :func:`quotelens.sources.sink.commit` for runs that are cut off or
+    repeated; ``version`` names the inputs instead of their files.
+    """
+    p = params or MartParams()
+    key = run_key(tables, p, version=version)
+    spark = tables["quotes"].sparkSession
+    return commit(
+        spark, lambda staging: build_mart(tables, p, staging), target, key, folder, ("decision_date", "quote_id")
+    )
+
+
 def _reasons(t: Tables) -> DataFrame:
     return t["rating_requests"].select("rate_id", F.col("reason").alias("rating_reason"))
 
