@@ -173,7 +173,7 @@ def prove(
     )
     # Nulls last is the order of numbering; here they are first, so the null flag leads.
     number = rows.withColumns({"some": F.col(f"node.{kept[0]}").isNotNull(), "by": F.col(f"node.{kept[0]}"), "tie": F.col("node.h")})
-    placed = sequence_index(number, ["group"], "some", out="place", tie_breakers=["by", "tie"], staging=staging)
+    placed = sequence_index(number, ["group"], "some", out="place", tie_breakers=["by", "tie"], staging=staging, one_task_bytes=0)
     placed = staging.table(placed.select("group", "place", "node"), "leaves")
     most = placed.agg(F.max("place")).first()[0]
     tiers = _tiers(placed, (most or 0) + 1, staging, "blocks")
@@ -184,7 +184,7 @@ def prove(
         F.col("group").alias("by"),
         F.struct(F.col("node.h").alias("h"), F.col("group").alias("name")).alias("node"),
     )
-    tops = sequence_index(tops, ["group"], "some", out="place", tie_breakers=["by"], staging=staging)
+    tops = sequence_index(tops, ["group"], "some", out="place", tie_breakers=["by"], staging=staging, one_task_bytes=0)
     tops = staging.table(tops.select("group", "place", "node"), "subroots")
     groups = tops.agg(F.max("place")).first()[0]
     crown = _tiers(tops, (groups or 0) + 1, staging, "crown")
