@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from threading import Lock
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotelens.operators.ranking import free_names
+from quotelens.sources.layout import within_ranges
 from quotelens.sources.staging import Staging
 
 
@@ -67,29 +70,73 @@ def spread_join(
     return dealt.join(copied.drop(parts), [key, part], how).drop(part)
 
 
+def _ordered_alike(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> bool:
+    """Whether a range of one key means the same of the other: text and numbers sort differently."""
+    a, b = left.schema[left_key].dataType, right.schema[right_key].dataType
+    return a == b or (isinstance(a, T.NumericType) and isinstance(b, T.NumericType))
+
+
 class KeyFilter:
     """Cuts large tables down to the keys a driving table needs.
 
-    A semi-join on the distinct keys, at any size and without a hint: Spark
-    broadcasts the keys while they are few, which cuts in the scan stage, and
-    else shuffles on the key that the aggregate above needs anyway.
+    The distinct keys are written once for all the tables that they cut, with their
+    least and greatest. A table is first held to that range, which its Parquet
+    statistics prune files and row groups by where ids grow with time, and then
+    semi-joined to the keys, at any size and without a hint: Spark broadcasts the keys
+    while they are few, and else puts a Bloom filter of them, whose size
+    :func:`quotelens.session.configure` bounds, over the scan of the large table, so
+    that most rows without a partner are never shuffled.
+
+    Where no folder is shared nothing is written, and the semi-join stands alone.
+    ``name`` tells the tables written for this filter from those of others.
     """
 
-    def __init__(self, driving: DataFrame, staging: Staging):
+    def __init__(self, driving: DataFrame, staging: Staging, name: str = "driving"):
         self._driving = driving
         self._staging = staging
+        self._name = name
+        self._wanted: dict[tuple[str, ...], tuple[DataFrame, dict | None]] = {}
+        self._locks: dict[tuple[str, ...], Lock] = {}
+        self._lock = Lock()
+
+    def _keys(self, columns: tuple[str, ...]) -> tuple[DataFrame, dict | None]:
+        """The distinct keys of some driving columns, and their range where they are written."""
+        with self._lock:
+            lock = self._locks.setdefault(columns, Lock())
+        # Tables that ask for the same keys wait for them; other keys are written meanwhile.
+        with lock:
+            if columns not in self._wanted:
+                self._wanted[columns] = self._write(columns)
+            return self._wanted[columns]
+
+    def _write(self, columns: tuple[str, ...]) -> tuple[DataFrame, dict | None]:
+        every = F.col(columns[0]) if len(columns) == 1 else F.explode(F.array(*columns))
+        wanted = key_set(self._driving.select(every.alias("__wanted")), "__wanted")
+        if not self._staging.enabled:
+            return wanted, None
+        name = "-".join(["keys", self._name, *columns])
+        ends = [F.min("__wanted").alias("least"), F.max("__wanted").alias("greatest")]
+        seen = Observation()
+        staged = self._staging.table(wanted.observe(seen, *ends), name)
+        # Keys that an earlier run wrote were not seen in this one.
+        return staged, staged.agg(*ends).first().asDict() if name in self._staging.resumed else seen.get
 
     def apply(self, df: DataFrame, key: str, driving_cols: Sequence[str] = ()) -> DataFrame:
-        """Rows of ``df`` whose ``key`` is in some driving column (its namesake by default)."""
-        columns = driving_cols or [key]
-        wanted = key_set(
-            self._driving.select(F.explode(F.array(*columns)).alias("__wanted")), "__wanted"
-        )
+        """Rows of ``df`` whose ``key`` is in some driving column (its namesake by default).
+
+        Null keys have no partner. A table that :func:`quotelens.sources.layout.write_ranges`
+        wrote by ranges of ``key`` is read from the folders of wanted ranges only.
+        """
+        wanted, ends = self._keys(tuple(driving_cols or [key]))
+        if ends is not None and ends["least"] is not None and _ordered_alike(df, key, wanted, "__wanted"):
+            # On both sides: Spark makes Bloom filters of keys that a predicate chose.
+            wanted = wanted.filter(F.col("__wanted").between(ends["least"], ends["greatest"]))
+            df = within_ranges(df, key, ends["least"], ends["greatest"])
         return df.join(wanted, df[key] == wanted["__wanted"], "left_semi")
 
-    def below(self, df: DataFrame) -> KeyFilter:
+    def below(self, df: DataFrame, name: str) -> KeyFilter:
         """The filter that ``df``, whose rows are written already, makes for tables one level below."""
-        return KeyFilter(df, self._staging)
+        return KeyFilter(df, self._staging, name)
 
     def through(self, df: DataFrame, name: str) -> tuple[DataFrame, KeyFilter]:
         """``df``, already cut, and the filter it makes for tables one level below.
@@ -97,4 +144,4 @@ class KeyFilter:
         It is staged, since its keys are read before it is joined.
         """
         staged = self._staging.table(df, name)
-        return staged, KeyFilter(staged, self._staging)
+        return staged, KeyFilter(staged, self._staging, name)

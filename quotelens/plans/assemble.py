@@ -200,7 +200,7 @@ def build_mart(
     base = representative_quotes(t, p, in_study=True, staging=staging)
     base_columns = base.columns
     base = staging.table(base, "representative_quotes", by="quote_id")
-    keep = KeyFilter(base, staging)
+    keep = KeyFilter(base, staging, "representative_quotes")
     both = ["quote_id", "current_policy_term_revision_quote_id"]
 
     def by_quote(build: Callable[[], DataFrame], name: str) -> Callable[[], DataFrame]:
@@ -233,7 +233,7 @@ def build_mart(
     parts |= parts.pop("of_vehicles")
     # Joins on the other keys come first, while rows are narrow.
     facts = latest_account_facts(t, keep)
-    reasons = keep.apply(_reasons(t), "rate_id")
+    reasons = _reasons(t, keep)
     keyed = _with_current_policy(base, parts["totals"])
     keyed = keyed.join(facts, "account_id", "left").join(parts["people"], "profile_id", "left")
     for found in (parts["hypothetical"], reasons):
@@ -265,8 +265,11 @@ def write_mart(
     )
 
 
-def _reasons(t: Tables) -> DataFrame:
-    return t["rating_requests"].select("rate_id", F.col("reason").alias("rating_reason"))
+def _reasons(t: Tables, keep: KeyFilter | None = None) -> DataFrame:
+    requests = t["rating_requests"]
+    if keep is not None:
+        requests = keep.apply(requests, "rate_id")
+    return requests.select("rate_id", F.col("reason").alias("rating_reason"))
 
 
 def _lazy(t: Tables, p: MartParams) -> DataFrame:

@@ -61,11 +61,12 @@ def vehicle_limits(
     ``vehicles``: the vehicle quotes, where they are written already.
     """
     given = t["vehicle_quotes"] if vehicles is None else vehicles
-    held = given.select(F.col("id").alias("vehicle_quote_id"), "quote_id")
     bridge = t["coverages_vehicle_quotes"]
     if keep is not None:
-        held = keep.apply(held, "quote_id")
-        held, below = (held, keep.below(held)) if vehicles is not None else keep.through(held, "vehicles")
+        given = keep.apply(given, "quote_id")
+    held = given.select(F.col("id").alias("vehicle_quote_id"), "quote_id")
+    if keep is not None:
+        held, below = (held, keep.below(held, "vehicle_quotes")) if vehicles is not None else keep.through(held, "vehicles")
         bridge = below.apply(bridge, "vehicle_quote_id")
     rows = _labelled(t, bridge, VEHICLE_MEASURES)
     per_vehicle = label_extremes(rows, "vehicle_quote_id", "symbol", VEHICLE_MEASURES, stats)

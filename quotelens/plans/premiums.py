@@ -66,9 +66,10 @@ def premium_totals(
     ``vehicles``: the vehicle quotes, where they are cut already.
     """
     umuim = [premium(plan, "umuim") for plan in PAYMENT_PLANS]
-    quotes = t["quotes"].select(F.col("id").alias("quote_id"), *umuim)
+    quotes = t["quotes"]
     if keep is not None:
-        quotes = keep.apply(quotes, "quote_id", keep_cols)
+        quotes = keep.apply(quotes, "id", keep_cols or ["quote_id"])
+    quotes = quotes.select(F.col("id").alias("quote_id"), *umuim)
     if vehicles is None:
         vehicles = t["vehicle_quotes"]
         if keep is not None:
@@ -101,10 +102,13 @@ def hypothetical_by_rate(
     It depends on the rate alone, so the quotes of a rate share one computation,
     and both coverages come out of one pass over the option premiums.
     """
-    vehicles = t["vehicle_rates"].select(F.col("id").alias("vehicle_rate_id"), "rate_id")
+    vehicles = t["vehicle_rates"]
     options = t["vehicle_rate_coverages"]
     if keep is not None:
-        vehicles, keep = keep.through(keep.apply(vehicles, "rate_id"), "rated_vehicles")
+        vehicles = keep.apply(vehicles, "rate_id")
+    vehicles = vehicles.select(F.col("id").alias("vehicle_rate_id"), "rate_id")
+    if keep is not None:
+        vehicles, keep = keep.through(vehicles, "rated_vehicles")
         options = keep.apply(options, "vehicle_rate_id")
     deductibles = (
         t["coverages"]
@@ -161,16 +165,12 @@ def hypothetical_wide(t: Tables, p: MartParams, keep: KeyFilter | None = None) -
 
 def latest_rerate_quotes(t: Tables, p: MartParams, keep: KeyFilter | None = None) -> DataFrame:
     """Quote of the newest version of each re-rate made for the price comparison."""
-    rerates = (
-        t["rerates"]
-        .filter(
-            (F.col("reason") == p.rerate_reason)
-            & (F.col("analysis_version") == p.rerate_analysis_version)
-        )
-        .select(F.col("id").alias("rerate_id"), "quote_id")
+    rerates = t["rerates"].filter(
+        (F.col("reason") == p.rerate_reason) & (F.col("analysis_version") == p.rerate_analysis_version)
     )
     if keep is not None:
         rerates = keep.apply(rerates, "quote_id")
+    rerates = rerates.select(F.col("id").alias("rerate_id"), "quote_id")
     versions = t["rerate_rates"].select(F.col("id").alias("rerate_rate_id"), "version")
     quotes = t["rerate_quotes"].join(rerates, "rerate_id").join(versions, "rerate_rate_id")
     return latest_per_key(quotes, ["rerate_id"], F.col("version").cast("int"), ["id"]).select(

@@ -9,6 +9,7 @@ from threading import Lock
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quotelens.sources.layout import range_column
 from quotelens.sources.schemas import SCHEMAS, database_of
 
 
@@ -75,7 +76,8 @@ def checked(name: str, df: DataFrame) -> DataFrame:
     """Project to the columns that are read; fail early if one is missing or of a wrong type.
 
     Types are checked by family and left as found: ids may be whole numbers or
-    text, money a decimal of any precision or a double.
+    text, money a decimal of any precision or a double. Columns that hold the range
+    of a key, as :func:`quotelens.sources.layout.write_ranges` makes them, are kept.
     """
     missing = [c for c in SCHEMAS[name].names if c not in df.columns]
     if missing:
@@ -87,4 +89,5 @@ def checked(name: str, df: DataFrame) -> DataFrame:
     ]
     if wrong:
         raise ValueError(f"{name}: {', '.join(wrong)}")
-    return df.select(*SCHEMAS[name].names)
+    ranges = [found[0] for c in SCHEMAS[name].names if (found := range_column(df, c)) is not None]
+    return df.select(*SCHEMAS[name].names, *ranges)
