@@ -1,14 +1,12 @@
 """Threshold-scaled sketches of documents.
 
 A fingerprint keeps the hash of every shingle of five words that lies below a
-fixed fraction of the hash space, so its size follows the document and the part
-of a short document that a long one contains can be read off the two of them:
-``|A n B| / |A|`` over the kept hashes. Sketches of parts merge by union. A text
-none of whose hashes is that low keeps its lowest one, so that any text with a
-word can be told from others; such a hash counts only against another sketch
-that would have kept it, else containment is unknown. Where both texts are at hand
-and one has few kept hashes, all their shingles are compared. Texts without a word have the
-empty fingerprint.
+fixed fraction of the hash space, and its ``LOWEST`` lowest hashes in any case. Its size
+follows the document, a text of few shingles is kept whole, and sketches of parts
+merge by union. Two sketches are compared up to the hash to which both are without
+gaps, so the part of a short document that a long one contains is ``|A n B| / |A|`` over
+the hashes up to there, and exact where both are whole. Nothing but the two
+fingerprints goes into it. Texts without a word have the empty fingerprint.
 
 A fingerprint is base64 of the sorted hashes, eight bytes each, low byte first.
 """
@@ -29,9 +27,9 @@ from quotelens.llm.common import Shingles, free_name, shingles_of, text_of, word
 
 SHINGLE_WORDS = 5
 #: One hash in so many is kept.
-SCALED = 8
-#: A text with fewer kept hashes is compared by all its shingles.
-FEW_HASHES = 32
+SCALED = 2
+#: So many of a text's lowest hashes are kept wherever they lie.
+LOWEST = 64
 #: Rows of a bucket of :func:`edited_likeness`, about.
 BUCKET_ROWS = 512
 #: Quantiles asked of one aggregate at most; more rows make larger buckets.
@@ -42,22 +40,27 @@ def threshold(scaled: int = SCALED) -> np.uint64:
     return np.uint64((2**64 - 1) // scaled)
 
 
-def sketches(shingles: Shingles, n: int, scaled: int = SCALED) -> list[np.ndarray]:
-    """The sketch of each of ``n`` texts: its distinct kept hashes, ascending."""
-    kept = shingles.values <= threshold(scaled)
-    values, texts = shingles.values[kept], shingles.texts[kept]
+def _distinct(values: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes once, ascending, text by text."""
     order = np.lexsort((values, texts))
     values, texts = values[order], texts[order]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (texts[1:] != texts[:-1])
-    values, texts = values[new], texts[new]
-    found = np.split(values, np.searchsorted(texts, np.arange(1, n))) if n else []
-    first = np.searchsorted(shingles.texts, np.arange(n))
-    last = np.searchsorted(shingles.texts, np.arange(n), "right")
-    for i in range(n):
-        if not len(found[i]) and last[i] > first[i]:
-            found[i] = shingles.values[first[i] : last[i]].min(keepdims=True)
-    return found
+    return values[new], texts[new]
+
+
+def sketches(shingles: Shingles, n: int, scaled: int = SCALED) -> list[np.ndarray]:
+    """The sketch of each of ``n`` texts: its distinct kept hashes, ascending."""
+    if not n:
+        return []
+    low = shingles.values <= threshold(scaled)
+    values, texts = _distinct(shingles.values[low], shingles.texts[low])
+    found = np.split(values, np.searchsorted(texts, np.arange(1, n)))
+    short = np.bincount(texts, minlength=n) < LOWEST
+    of_short = short[shingles.texts]
+    values, texts = _distinct(shingles.values[of_short], shingles.texts[of_short])
+    whole = np.split(values, np.searchsorted(texts, np.arange(1, n)))
+    return [whole[i][:LOWEST] if short[i] else found[i] for i in range(n)]
 
 
 def encode(sketch: np.ndarray) -> str:
@@ -71,28 +74,43 @@ def decode(fingerprint: str) -> np.ndarray:
 def merge(parts: list[np.ndarray], scaled: int = SCALED) -> np.ndarray:
     """The sketch of all parts together."""
     whole = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
-    kept = whole[whole <= threshold(scaled)]
-    return kept if len(kept) else whole[:1]
+    return whole[: max(LOWEST, int(np.searchsorted(whole, threshold(scaled), "right")))]
+
+
+def _reach(sketch: np.ndarray, scaled: int) -> np.uint64:
+    """The hash up to which a sketch has every hash of its text."""
+    if len(sketch) < LOWEST:
+        return np.uint64(2**64 - 1)
+    return max(threshold(scaled), sketch[-1])
+
+
+def _comparable(a: np.ndarray, b: np.ndarray, scaled: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both up to the hash to which neither has gaps."""
+    reach = min(_reach(a, scaled), _reach(b, scaled))
+    return tuple(s[: np.searchsorted(s, reach, "right")] for s in (a, b))
 
 
 def containment(a: np.ndarray, b: np.ndarray, scaled: int = SCALED) -> float:
     """The estimated part of ``a``'s shingles that ``b`` has too, 0 to 1.
 
     Two texts without a word contain each other; one without contains none. NaN,
-    for unknown, where ``a`` kept only a hash that ``b`` would have left out.
+    for unknown, where all hashes of ``a`` lie beyond those that ``b`` has kept.
     """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    if a[0] > threshold(scaled) and b[0] < a[0]:
+    a, b = _comparable(a, b, scaled)
+    if not len(a):
         return float("nan")
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+def jaccard(a: np.ndarray, b: np.ndarray, scaled: int = SCALED) -> float:
+    """The estimated Jaccard similarity; 1 for two texts without a word."""
     if not len(a) and not len(b):
         return 1.0
+    a, b = _comparable(a, b, scaled)
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    return both / max(1, len(a) + len(b) - both)
 
 
 def fingerprint_documents(
@@ -144,8 +162,8 @@ def edited_likeness(df: DataFrame, scaled: int = SCALED) -> DataFrame:
 
     ``near_edited`` and ``near_next`` estimate the part of the document that the
     edited text and the next document contain; two more columns have the Jaccard
-    similarity. Documents of less than ``FEW_HASHES`` kept hashes are compared by all
-    shingles, which is exact.
+    similarity. All four are worked out from the two fingerprints alone. A containment
+    that they do not tell is 0: no hash of the one was found in the other.
 
     The edited text: the last floor(n/2) of n characters replaced by the first
     as many, or all, of the next document by descending ``doc_id``; after the
@@ -204,13 +222,7 @@ def edited_likeness(df: DataFrame, scaled: int = SCALED) -> DataFrame:
             cut = len(text) // 2
             edited.append(text[: len(text) - cut] + following[:cut])
         changed = sketches(shingles_of(words_of(pa.array(edited, pa.string())), SHINGLE_WORDS), len(edited), scaled)
-        kept = [(a[4], c, b[4], scaled) for (a, b), c in zip(pairs, changed)]
-        few = [i for i, k in enumerate(kept) if len(k[0]) < FEW_HASHES]
-        texts = [t for i in few for t in (pairs[i][0][3], edited[i], pairs[i][1][3])]
-        whole = sketches(shingles_of(words_of(pa.array(texts, pa.string())), SHINGLE_WORDS), len(texts), 1)
-        used = list(kept)
-        for k, i in enumerate(few):
-            used[i] = (*whole[3 * k : 3 * k + 3], 1)
+        kept = [(a[4], c, b[4]) for (a, b), c in zip(pairs, changed)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([a[2] for a, _ in pairs], id_type),
@@ -218,10 +230,10 @@ def edited_likeness(df: DataFrame, scaled: int = SCALED) -> DataFrame:
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
                 pa.array([encode(k[0]) for k in kept]),
                 pa.array([encode(s) for s in changed]),
-                pa.array([containment(a, c, s) for a, c, _, s in used], pa.float64()),
-                pa.array([containment(a, b, s) for a, _, b, s in used], pa.float64()),
-                pa.array([jaccard(a, c) for a, c, _, _ in used], pa.float64()),
-                pa.array([jaccard(a, b) for a, _, b, _ in used], pa.float64()),
+                pa.array(np.nan_to_num([containment(a, c, scaled) for a, c, _ in kept])),
+                pa.array(np.nan_to_num([containment(a, b, scaled) for a, _, b in kept])),
+                pa.array([jaccard(a, c, scaled) for a, c, _ in kept], pa.float64()),
+                pa.array([jaccard(a, b, scaled) for a, _, b in kept], pa.float64()),
             ],
             names=schema.names,
         )

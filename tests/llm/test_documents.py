@@ -84,30 +84,44 @@ def test_sketches_merge_and_estimate_containment(spark):
     assert fingerprints.containment(x[:0], x[:0]) == 1 and fingerprints.containment(x[:0], x) == 0
 
 
-def test_short_texts_in_long_ones(spark):
+def test_likeness_comes_from_the_two_fingerprints(spark):
     rnd = random.Random(13)
     rows = []
-    for i, n in enumerate((5, 6, 8, 10, 10, 12, 20, 40, 70, 100)):
+    for i, n in enumerate((5, 6, 8, 10, 10, 12, 20, 40, 60, 68, 90, 150, 400)):
         short = prose(rnd, n)
         rows += [(4 * i + 3, short), (4 * i + 2, prose(rnd, 300) + " " + short + " " + prose(rnd, 300)), (4 * i + 1, prose(rnd, n)), (4 * i, prose(rnd, 600))]
+    rows += [(-1, ""), (-2, None), (-3, "one"), (-4, "one")]
     found = {r.doc_id: r for r in fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    texts = dict(rows)
-    for i, r in found.items():
-        if i % 2:
-            a, b = shingle_set(texts[i]), shingle_set(texts[i - 1])
-            assert r.near_next == len(a & b) / len(a) == (i % 4 == 3)
-            assert r.jaccard_next == len(a & b) / len(a | b)
-
-
-def test_a_hash_the_other_sketch_would_not_keep_is_unknown():
+    texts = {i: text or "" for i, text in rows}
+    order = sorted(texts, reverse=True)
+    for i, after in zip(order, [*order[1:], order[0]]):
+        r = found[i]
+        ours, edited, following = (
+            fingerprints.decode(f) for f in (r.fingerprint, r.edited_fingerprint, found[after].fingerprint)
+        )
+        for near, alike, other in ((r.near_edited, r.jaccard_edited, edited), (r.near_next, r.jaccard_next, following)):
+            told = fingerprints.containment(ours, other)
+            assert near == (0 if math.isnan(told) else told) and alike == fingerprints.jaccard(ours, other)
+        a, b = shingle_set(texts[i]), shingle_set(texts[after])
+        if max(len(a), len(b)) < fingerprints.LOWEST and a:
+            # Both are whole: exact.
+            assert r.near_next == len(a & b) / len(a) and r.jaccard_next == len(a & b) / len(a | b)
+        elif i % 4 == 3 and i > 0 and len(a) > 5:
+            assert r.near_next == 1
+    assert found[-3].near_next == found[-1].near_next == 1 and found[-2].near_next == 0
+
+
+def test_texts_whose_hashes_lie_beyond_the_other_sketch_are_unknown():
     rnd = random.Random(14)
     shorts = [prose(rnd, 6) for _ in range(40)]
     found = fingerprints.sketches(shingles_of(words_of(pa.array([*shorts, " ".join(shorts)]))), 41)
+    reach = max(fingerprints.threshold(), found[40][-1])
     for x in found[:40]:
-        unknown = x[0] > fingerprints.threshold()
+        assert len(x) == 2
+        unknown = x[0] > reach
         assert math.isnan(fingerprints.containment(x, found[40])) == unknown
         assert unknown or fingerprints.containment(x, found[40]) == 1
-        assert fingerprints.containment(x, x) == 1
+        assert fingerprints.containment(x, x) == 1 == fingerprints.jaccard(x, x)
 
 
 # --- quality ----------------------------------------------------------------------
