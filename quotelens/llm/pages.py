@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 # HTML element names by what they do to the tree.
@@ -59,6 +60,45 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
+class _Open:
+    """The open elements, outermost first, and where those of each name stand.
+
+    Whether a name is open, which element of some names is the innermost, and what
+    would confine it are each told without going through the others, so a page takes
+    time in proportion to its length however deep it is.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, node))
+
+    def node(self) -> int:
+        return self.stack[-1][1]
+
+    def has(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def _innermost(self, names: Iterable[str]) -> int:
+        return max((places[-1] for n in names if (places := self.places.get(n))), default=0)
+
+    def close(self, names: tuple[str, ...], confines: frozenset[str]) -> None:
+        """End the innermost of ``names``, and all in it, unless something else confines it.
+
+        Several names are ended again and again, as long as there is one.
+        """
+        others = confines.difference(names)
+        while (at := self._innermost(names)) and at > self._innermost(others):
+            for name, _ in self.stack[at:]:
+                self.places[name].pop()
+            del self.stack[at:]
+            if len(names) == 1:
+                return
+
+
 def parse(source: str) -> Page:
     """The tree of a page, however it is marked up.
 
@@ -68,7 +108,7 @@ def parse(source: str) -> Page:
     White space in a block becomes one space; a line break begins a new run.
     """
     page = Page()
-    stack: list[tuple[str, int]] = [("html", 0)]
+    open_ = _Open()
     run: list[str] = []
     links = at = 0
     foreign = False
@@ -78,7 +118,7 @@ def parse(source: str) -> Page:
         if text:
             run.append(text)
             if links and not text.isspace():
-                page.linked[stack[-1][1]] += len(text)
+                page.linked[open_.node()] += len(text)
         if tag is None:
             break
         at = tag.end()
@@ -87,16 +127,16 @@ def parse(source: str) -> Page:
             continue
         if name == "a":
             links = int(tag["end"] is None)
-        if name in FOREIGN or name in BREAKS or (foreign and tag["end"] and any(open_ == name for open_, _ in stack[1:])):
+        if name in FOREIGN or name in BREAKS or (foreign and tag["end"] and open_.has(name)):
             foreign = name in FOREIGN and tag["end"] is None and not tag[0].endswith("/>")
         if name in INLINE or name in FOREIGN or (foreign and name not in RAW):
             continue
-        if name == "br" or tag["end"] is None or any(open_ == name for open_, _ in stack[1:]):
-            _flush(page, stack[-1][1], run)
+        if name == "br" or tag["end"] is None or open_.has(name):
+            _flush(page, open_.node(), run)
             links = 0
         if tag["end"] is not None:
             if name != "html":
-                _close(stack, (name,), frozenset(("table",)) if name in ("td", "th", "tr", "li") else frozenset())
+                open_.close((name,), frozenset(("table",)) if name in ("td", "th", "tr", "li") else frozenset())
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -105,23 +145,23 @@ def parse(source: str) -> Page:
         if name in VOID:
             continue
         if name not in WITHIN:
-            _close(stack, ("p",), CONFINES | WITHIN)
+            open_.close(("p",), CONFINES | WITHIN)
         if name in CLOSES:
-            _close(stack, CLOSES[name], CONFINES - {"td", "th"} if name in ("td", "th", "tr", "tbody", "tfoot") else CONFINES)
+            open_.close(CLOSES[name], CONFINES - {"td", "th"} if name in ("td", "th", "tr", "tbody", "tfoot") else CONFINES)
         attributes = tag["attributes"] if tag["start"] else tag["rest"]
         found = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(attributes)} if "=" in attributes else {}
         if name == "html":
             page.labels[0] = int(found.get("data-label", 0))
             continue
-        parent = stack[-1][1]
+        parent = open_.node()
         page.tags.append(name)
         page.parents.append(parent)
         page.depths.append(page.depths[parent] + 1)
         page.names.append(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower())
         page.labels.append(int(found["data-label"]) if "data-label" in found else page.labels[parent])
         page.linked.append(0)
-        stack.append((name, len(page.tags) - 1))
-    _flush(page, stack[-1][1], run)
+        open_.push(name, len(page.tags) - 1)
+    _flush(page, open_.node(), run)
     return page
 
 
@@ -133,18 +173,6 @@ def _flush(page: Page, node: int, run: list[str]) -> None:
             page.blocks.append((node, text))
 
 
-def _close(stack: list[tuple[str, int]], names: tuple[str, ...], confines: frozenset[str]) -> None:
-    """End the innermost open element of ``names``, and all in it, unless something confines it."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][0] in names:
-            del stack[i:]
-            if len(names) > 1:
-                _close(stack, names, confines)
-            return
-        if stack[i][0] in confines:
-            return
-
-
 # --- labelled pages -------------------------------------------------------------
 
 SYLLABLES = "an ber cho da el fi gen ha in ka lo mi nor os pra qui ra sten tu ul va wen".split()

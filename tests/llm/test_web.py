@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -118,6 +119,53 @@ def test_pages_of_any_kind_parse(spark, model):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+class _Listed(pages._Open):
+    """Looks through all open elements, one by one."""
+
+    def has(self, name):
+        return any(n == name for n, _ in self.stack[1:])
+
+    def push(self, name, node):
+        self.stack.append((name, node))
+
+    def close(self, names, confines):
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i][0] in names:
+                del self.stack[i:]
+                if len(names) > 1:
+                    self.close(names, confines)
+                return
+            if self.stack[i][0] in confines:
+                return
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_soup_gives_the_tree_of_looking_through_what_is_open(monkeypatch, seed):
+    rnd = random.Random(seed)
+    names = "html body head div p ul li table tr td th tbody tfoot dl dt dd section button svg g span a br form".split()
+    soups = []
+    for _ in range(150):
+        tags = rnd.choices(names, k=rnd.randrange(1, 60))
+        soups.append("".join(f"<{'/' * (rnd.random() < 0.4)}{t}>{rnd.choice(('', 'x', 'y z'))}" for t in tags))
+    ours = [pages.parse(s) for s in soups]
+    monkeypatch.setattr(pages, "_Open", _Listed)
+    assert ours == [pages.parse(s) for s in soups]
+
+
+@pytest.mark.parametrize("opening, ending", [("<div>", "</p>"), ("<section>", "</li>"), ("<div>", "<td>"), ("<button>", "<p>x")])
+def test_deep_pages_take_time_in_proportion(opening, ending):
+    def seconds(n):
+        start = time.process_time()
+        page = pages.parse(opening * n + "x" + ending * n)
+        assert len(page.tags) > n
+        return time.process_time() - start
+
+    seconds(1_000)
+    few, many = seconds(25_000), seconds(100_000)
+    # In proportion it is four times as long, by looking through all sixteen times.
+    assert many < 9 * few + 0.5 and many < 20
+
+
 def test_blocks_of_lists_and_tables():
     assert [t for _, t in pages.parse("<table><tr><td>a<td>b<tr><td>c</table>d").blocks] == ["a", "b", "c", "d"]
     assert [t for _, t in pages.parse("<ul><li>one <i>x</i><li>two</ul>").blocks] == ["one x", "two"]
