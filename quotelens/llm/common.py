@@ -279,3 +279,23 @@ class HashTable:
             out.flat[going[hit]] = self.values[at.flat[going[hit]]]
             going = going[~hit & (found != self._FREE)]
         return out
+
+
+def most_frequent(counts: DataFrame, n: str, entries: int) -> DataFrame:
+    """The rows with the largest ``n``, at most ``entries`` of them, in no order.
+
+    ``counts`` is a written table, as it is read twice. Numbers are counted by
+    sixteenths of a doubling, of which there are about a thousand at most, and rows are
+    kept from the least such step on with which ``entries`` are not exceeded. So no task
+    sends more than its part of the result, however many tasks there are. Rows of the
+    step that does not fit are left out, and those without a count.
+    """
+    step = F.floor(F.log2(n) * 16)
+    sizes = counts.filter(F.col(n) > 0).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    least, held = None, 0
+    for size in sorted(sizes, key=lambda r: -r.step):
+        held += size.rows
+        if held > entries:
+            break
+        least = size.step
+    return counts.filter((F.col(n) > 0) & (step >= least)) if least is not None else counts.limit(0)

@@ -379,7 +379,7 @@ def _matched(df: DataFrame, scored: DataFrame, languages: int, entries: int) ->
     its own hash for ``hash``, a null ``n``, and the sums ``n_tokens``, ``n_known``,
     ``base`` (of log10 of the count plus one) and one score per language.
     """
-    top = scored.orderBy(F.desc("n"), "hash").limit(entries).collect()
+    top = most_frequent(scored, "n", entries).collect()
     keys = np.array([r.hash for r in top], np.int64).view(_U)
     order = np.argsort(keys)
     given = ["n", *[f"p{k}" for k in range(languages)]]

@@ -52,7 +52,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select(
         "doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), "text"
     )
-    counted = token_counts.count_tokens(documents, path)
+    counted = token_counts.count_tokens(documents, path, staging(spark))
     return counted.select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")
     )

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.llm.common import Words, free_name, text_of, words_of
+from quotelens.llm.common import Words, free_name, most_frequent, text_of, words_of
+from quotelens.sources.staging import Staging
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-tokens in the broadcast table (16 bytes each), in a task's summary, and in a worker's cache.
@@ -51,11 +52,14 @@ def library_counts(path: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((len(e) for e in found), np.int32, len(words))
 
 
-def frequent_pretokens(df: DataFrame, text: str = "text", entries: int = TABLE_ENTRIES) -> list[bytes]:
-    """The ``entries`` most frequent pre-tokens, as the summaries of all map tasks have them.
+def frequent_pretokens(
+    df: DataFrame, staging: Staging, text: str = "text", entries: int = TABLE_ENTRIES
+) -> list[bytes]:
+    """The most frequent pre-tokens, ``entries`` at most, as the summaries of all map tasks have them.
 
     A summary counts the pre-tokens that a batch holds twice or more, and keeps
-    the ``SUMMARY_ENTRIES`` most frequent. At most ``entries`` rows reach the driver.
+    the ``SUMMARY_ENTRIES`` most frequent. Their sums are written, and the rows above a
+    count that the table holds reach the driver: ``entries`` at most, from all tasks together.
     """
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,16 +77,9 @@ def frequent_pretokens(df: DataFrame, text: str = "text", entries: int = TABLE_E
             names=["word", "n"],
         )
 
-    rows = (
-        df.select(text_of(text))
-        .mapInArrow(summarize, "word binary, n long")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word")
-        .limit(entries)
-        .collect()
-    )
-    return [bytes(r.word) for r in rows]
+    counts = df.select(text_of(text)).mapInArrow(summarize, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = most_frequent(staging.table(counts, "pretokens"), "n", entries).select("word").collect()
+    return sorted(bytes(r.word) for r in rows)
 
 
 class LengthTable:
@@ -118,16 +115,18 @@ def _miss_counts(path: str, words: list[bytes]) -> list[int]:
 
 
 def count_tokens(
-    df: DataFrame, path: str, text: str = "text", out: str = "n_tokens", entries: int = TABLE_ENTRIES
+    df: DataFrame, path: str, staging: Staging, text: str = "text", out: str = "n_tokens", entries: int = TABLE_ENTRIES
 ) -> DataFrame:
     """``df`` with the number of tokens of each text, in one pass without a shuffle.
 
+    The frequent pre-tokens are counted in a pass before, and their sums staged.
+
     ``path``: a tokenizer file of the tokenizers library whose pre-tokens end at
     white space. ``out`` replaces a column of that name.
     """
     if not path.endswith(".json"):
         raise ValueError(f"not a file of the tokenizers library: {path}")
-    words = frequent_pretokens(df, text, entries)
+    words = frequent_pretokens(df, staging, text, entries)
     table = LengthTable(words, library_counts(path, words))
     shared = df.sparkSession.sparkContext.broadcast(table)
     kept = [c for c in df.columns if c != out]

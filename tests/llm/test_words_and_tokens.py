@@ -14,7 +14,7 @@ import tiktoken
 from corpus_fixture import messy_rows
 
 from quotelens.llm import bpe, token_counts
-from quotelens.llm.common import WORD, HashTable, shingles_of, words_of
+from quotelens.llm.common import WORD, HashTable, most_frequent, shingles_of, words_of
 
 TEXTS = [r[1] for r in messy_rows()]
 ENCODER = bpe.load(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
@@ -97,17 +97,29 @@ def test_digests(messy, reference):
 
 
 @pytest.mark.parametrize("entries", [0, 3, token_counts.TABLE_ENTRIES])
-def test_token_counts_equal_the_library_whatever_the_table_holds(messy, nothing, entries):
+def test_token_counts_equal_the_library_whatever_the_table_holds(messy, nothing, stage, entries):
     path = public_tokenizers.path(token_counts.VOCABULARY)
     library = token_counts.tokenizer(path)
-    out = token_counts.count_tokens(messy, path, out="Band", entries=max(entries, 1))
+    out = token_counts.count_tokens(messy, path, stage, out="Band", entries=max(entries, 1))
     for r in out.collect():
         assert r.Band == len(library.encode(r.text or "", add_special_tokens=False).ids)
-    assert token_counts.count_tokens(nothing, path).count() == 0
+    assert token_counts.count_tokens(nothing, path, stage).count() == 0
 
 
-def test_frequent_pretokens_come_from_all_texts(spark):
+def test_frequent_pretokens_come_from_all_texts(spark, stage):
     df = spark.createDataFrame([("often often often rare",)] * 50 + [("seldom seldom",)], "text string")
-    assert token_counts.frequent_pretokens(df.repartition(3), entries=1) == [b"often"]
+    assert token_counts.frequent_pretokens(df.repartition(3), stage, entries=1) == [b"often"]
     with pytest.raises(ValueError, match="tokenizers"):
-        token_counts.count_tokens(df, "some.model")
+        token_counts.count_tokens(df, "some.model", stage)
+
+
+def test_the_most_frequent_fit_and_lose_to_none_outside(spark):
+    rnd = random.Random(8)
+    numbers = [0, 0, 1, 1, 1, 1] + [int(2 ** rnd.uniform(0, 40)) for _ in range(300)]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long").repartition(7)
+    for entries in (0, 1, 3, 50, 300, 304, 305, 1000):
+        kept = sorted((r.n for r in most_frequent(df, "n", entries).collect()), reverse=True)
+        assert len(kept) <= entries and kept == sorted(numbers, reverse=True)[: len(kept)]
+        # Only one step of a sixteenth of a doubling may be missing.
+        left = sorted((n for n in numbers if n > 0), reverse=True)[len(kept) :]
+        assert not left or len(kept) + sum(n >= left[0] / 2 ** (1 / 16) for n in left) > entries
