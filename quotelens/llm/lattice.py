@@ -47,6 +47,7 @@ from quotelens.llm.common import (
     Words,
     buffers,
     gathered,
+    most_frequent,
     power_tables,
     text_of,
     words_in,
