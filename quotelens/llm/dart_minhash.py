@@ -12,10 +12,18 @@ misses a coordinate, which one in ten does, is thrown at with twice the bound.
 
 Coordinates are joined in ``BANDS`` bands of ``ROWS``: two documents at similarity
 0.8 share no band with probability 1e-4. In each band every document is compared
-with the band's smallest one, exactly, on its shingles; where some are less than
-similar to it, pairs that the triangle inequality of the Jaccard distance does
-not rule out and that no link so far connects are compared as well. So a group
-of many copies costs its size and not its square, and no link is lost.
+with one that leads it, exactly, on its shingles: the one that meets most others in
+its bands, which in a family of copies is close to what they were copied from.
+
+Where some are less than similar to their lead, links among its followers are found
+by what they and the lead do not share. Two texts x and y of sizes |x| and |y| are
+similar if and only if they differ in at most (|x| + |y|) / 9 shingles, and they
+differ where exactly one of them differs from the lead. So x and y, with differences
+X and Y, have at least (|X| + |Y| - (|x| + |y|) / 9) / 2 of these in common. That is
+more than half of Y if x is not similar to the lead, and edits of their own, which
+come first as the rarest, fill the other half of it. So a prefix of each text's
+differences is joined, the rarest first, and what meets there is compared, if no
+link so far connects it. No link is lost, and pairs within a group are not made.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +40,7 @@ from quotelens.llm.common import Words, free_name, shingles_of, text_of, words_o
 from quotelens.sources.staging import Staging
 
 SHINGLE_WORDS = 5
+#: The numbers in :func:`_other_candidates` follow from it.
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
@@ -62,6 +71,12 @@ def weighted(values: np.ndarray, texts: np.ndarray, by_count: bool) -> tuple[np.
     return values[at], texts[at], weight
 
 
+def _units(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A hash of each unit of weight of each shingle."""
+    within = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    return _mixed(np.repeat(values, weight) + _STEP * (within.astype(_U) + _U(1)))
+
+
 def dart_signatures(
     values: np.ndarray, texts: np.ndarray, weight: np.ndarray, n: int, k: int = K
 ) -> np.ndarray:
@@ -70,8 +85,7 @@ def dart_signatures(
     ``values`` of ``texts``, ascending by text, with whole-number ``weight``.
     """
     unit_text = np.repeat(texts, weight)
-    within = np.arange(len(unit_text)) - np.repeat(np.cumsum(weight) - weight, weight)
-    region = _mixed(np.repeat(values, weight) + _STEP * (within.astype(_U) + _U(1)))
+    region = _units(values, weight)
     total = np.bincount(unit_text, minlength=n).astype(np.float64)
     signature = np.zeros((n, k), _U)
     todo, darts = total > 0, k * (np.log(k) + 2)
@@ -173,28 +187,56 @@ def _weights(df: DataFrame, by_count: bool) -> DataFrame:
     return df.select(text_of()).mapInArrow(run, "name long, shingles array<long>, weights array<int>")
 
 
-def _compared(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``pairs`` of names ``a`` and ``b`` with their exact similarity ``s``."""
+def _arrays(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
+    cell = column[i]
+    return (
+        cell["shingles"].values.to_numpy(zero_copy_only=False).view(_U),
+        cell["weights"].values.to_numpy(zero_copy_only=False),
+    )
+
+
+def _side_by_side(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """``pairs`` of names ``a`` and ``b`` with the weighted shingles ``x`` and ``y`` of each."""
     ours = weights.select(F.col("name").alias("a"), F.struct("shingles", "weights").alias("x"))
     theirs = weights.select(F.col("name").alias("b"), F.struct("shingles", "weights").alias("y"))
+    return pairs.join(ours, "a").join(theirs, "b").select("a", "b", "x", "y")
+
+
+def _compared(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """``pairs`` of names ``a`` and ``b`` with their exact similarity ``s``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def arrays(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
-            cell = column[i]
-            return (
-                cell["shingles"].values.to_numpy(zero_copy_only=False).view(_U),
-                cell["weights"].values.to_numpy(zero_copy_only=False),
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            found = [jaccard(*_arrays(x, i), *_arrays(y, i)) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "s"]
             )
 
+    return _side_by_side(pairs, weights).mapInArrow(run, "a long, b long, s double")
+
+
+def _differences(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """``pairs`` with the total weights ``n`` of ``a`` and ``m`` of ``b``, and ``differ``, the units that one of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            found = [jaccard(*arrays(x, i), *arrays(y, i)) for i in range(batch.num_rows)]
+            units = [(_units(*_arrays(x, i)), _units(*_arrays(y, i))) for i in range(batch.num_rows)]
+            differ = [np.setxor1d(p, q, assume_unique=True) for p, q in units]
+            offsets = np.cumsum([0, *map(len, differ)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "s"]
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([len(p) for p, _ in units], pa.int64()),
+                    pa.array([len(q) for _, q in units], pa.int64()),
+                    pa.ListArray.from_arrays(offsets, _signed(np.concatenate([np.zeros(0, _U), *differ]))),
+                ],
+                names=["a", "b", "n", "m", "differ"],
             )
 
-    joined = pairs.join(ours, "a").join(theirs, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long, s double")
+    return _side_by_side(pairs, weights).mapInArrow(run, "a long, b long, n long, m long, differ array<long>")
 
 
 def components(links: DataFrame, staging: Staging) -> DataFrame:
@@ -231,49 +273,74 @@ def text_classes(df: DataFrame, texts: DataFrame, staging: Staging, by_count: bo
     smallest name among them.
     """
     bands = staging.table(texts.select("name", F.explode("keys").alias("band")), "bands")
-    # A band's summary is as wide as its smallest name, so a hot band costs a row per task.
-    met = bands.groupBy("band").agg(F.min("name").alias("lead"), F.max("name").alias("last"))
-    met = staging.table(bands.join(met.filter("lead < last").select("band", "lead"), "band"), "met")
-    known = met.select("name").distinct()
+    # A band's summary is a few numbers wide, so a hot band costs a row per task.
+    sizes = bands.groupBy("band").agg(
+        F.min("name").alias("a"), F.max("name").alias("b"), F.count("*").alias("size")
+    )
+    met = staging.table(bands.join(sizes.filter("a < b").select("band", "size"), "band"), "met")
+    # Who meets most others leads.
+    known = staging.table(met.groupBy("name").agg(F.sum("size").alias("meets")), "known")
+    leads = met.join(known, "name").groupBy("band").agg(F.max(F.struct("meets", "name"))["name"].alias("lead"))
+    to_lead = met.join(leads, "band").filter("name <> lead").select(F.col("name").alias("a"), F.col("lead").alias("b"))
     ids = texts.select("name", F.col("first").alias("doc_id")).join(known, "name", "left_semi")
     weights = _weights(df.join(ids, "doc_id", "left_semi"), by_count)
     weights = weights.join(known, "name", "left_semi").dropDuplicates(["name"])
     weights = staging.table(weights, "weights")
-    to_lead = met.filter("name <> lead").select(F.col("name").alias("a"), F.col("lead").alias("b")).distinct()
-    scored = staging.table(_compared(to_lead, weights), "scored")
+    scored = staging.table(_compared(to_lead.distinct(), weights), "scored")
     links = scored.filter(F.col("s") >= SIMILARITY).select("a", "b")
-    roots = components(links, staging)
+    roots = staging.table(components(links, staging), "roots")
+    rest = _other_candidates(scored, roots, weights, staging)
+    more = staging.table(_compared(rest, weights).filter(F.col("s") >= SIMILARITY), "more")
+    if more.isEmpty():
+        return roots
+    return components(links.union(more.select("a", "b")), staging)
 
-    # What is left: bands where someone is not similar to the smallest, in more than one class.
+
+def _other_candidates(scored: DataFrame, roots: DataFrame, weights: DataFrame, staging: Staging) -> DataFrame:
+    """Pairs ``a`` and ``b`` of different classes that follow one lead and that may be similar.
+
+    ``scored``: texts ``a`` with their leads ``b`` and how similar they are; ``roots``: classes so far.
+    Of two followers in different classes one at least, ``apart``, is not in the class of the lead.
+    """
+    ours = roots.select(F.col("name").alias("a"), F.col("root").alias("class"))
+    theirs = roots.select(F.col("name").alias("b"), F.col("root").alias("lead_class"))
     placed = (
-        met.join(roots, "name", "left")
-        .join(scored.withColumnsRenamed({"a": "name", "b": "lead"}), ["name", "lead"], "left")
+        scored.join(ours, "a", "left")
+        .join(theirs, "b", "left")
         .select(
-            "band",
-            "name",
-            F.coalesce("root", "name").alias("class"),
-            F.coalesce(F.lit(1.0) - F.col("s"), F.lit(0.0)).alias("d"),
+            "a", "b", "s",
+            F.coalesce("class", "a").alias("class"),
+            (F.coalesce("class", "a") != F.coalesce("lead_class", "b")).alias("apart"),
         )
     )
-    split = placed.groupBy("band").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).filter("c1 < c2")
-    # At distance 0 of the smallest, all that is to be known is known from it.
-    open_ = staging.table(placed.join(split.select("band"), "band", "left_semi").filter("d > 0"), "open")
-    # |d(x, lead) - d(y, lead)| <= d(x, y), which a link needs to be at most 0.2.
-    step = 1 - SIMILARITY
-    slot = F.floor(F.col("d") / step)
-    left = open_.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1))).alias("l")
-    right = open_.withColumn("slot", slot).alias("r")
-    rest = (
-        left.join(right, ["band", "slot"])
-        .filter("l.class < r.class")
-        .filter(F.abs(F.col("l.d") - F.col("r.d")) <= step + 1e-9)
-        .select(F.col("l.name").alias("a"), F.col("r.name").alias("b"))
+    # Who has just the shingles of the lead is as near to anyone as the lead itself.
+    placed = staging.table(placed.filter("s < 1"), "placed")
+    open_ = placed.join(placed.filter("apart").select("b").distinct(), "b", "left_semi")
+    differ = staging.table(_differences(open_.select("a", "b"), weights), "differ")
+    parts = (
+        differ.join(open_.select("a", "b", "class", "apart"), ["a", "b"])
+        .withColumn("k", F.size("differ").cast("long"))
+        .select("a", "b", "n", "m", "k", "class", "apart", F.explode("differ").alias("part"))
+    )
+    shared = parts.groupBy("b", "part").agg(F.count("*").alias("held"), F.bool_or("apart").alias("asked"))
+    # ``left``: how many shared differences there are from this one on, the rarest being the first.
+    last_first = Window.partitionBy("b", "a").orderBy(F.desc("held"), F.desc("part"))
+    ranked = (
+        parts.join(shared.filter("held > 1 and asked").select("b", "part", "held"), ["b", "part"])
+        .withColumn("left", F.row_number().over(last_first))
+        # A similar text has at most a quarter of n other differences.
+        .filter("4 * left >= 4 * k - n")
+    )
+    ranked = staging.table(ranked, "ranked")
+    x = ranked.filter("apart").alias("x")
+    y = ranked.filter("18 * left > 9 * k + m - n").alias("y")
+    need = F.expr("9 * (x.k + y.k) - x.n - y.n")
+    return (
+        x.join(y, ["b", "part"])
+        .filter((F.col("x.class") != F.col("y.class")) & (18 * F.col("x.left") >= need) & (18 * F.col("y.left") >= need))
+        .select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
         .distinct()
     )
-    more = staging.table(_compared(rest, weights).filter(F.col("s") >= SIMILARITY), "more")
-    if more.isEmpty():
-        return roots
-    return components(links.union(more.select("a", "b")), staging)
 
 
 def near_duplicate_classes(df: DataFrame, staging: Staging, by_count: bool = False) -> DataFrame:

@@ -310,6 +310,31 @@ def test_near_duplicates_equal_all_pairs(spark, stage, by_count):
     assert kept == {c for _, c in brute_classes(rows)}
 
 
+def test_families_of_one_base_equal_all_pairs(spark, stage, monkeypatch):
+    """Copies with edits in common are similar to each other and not to what leads them."""
+    rnd, rows = random.Random(5), []
+
+    def edited(words, times):
+        words = list(words)
+        for _ in range(times):
+            p = rnd.randrange(len(words))
+            words[p : p + 1] = rnd.choice(([], ["new" + str(rnd.randrange(400))], [words[p], "more"]))
+        return words
+
+    base = prose(rnd, 90).split()
+    for family in range(14):
+        w = edited(base, rnd.randrange(9))
+        rows += [(len(rows) + k, " ".join(edited(w, rnd.randrange(4)))) for k in range(rnd.choice((1, 5, 12)))]
+    asked, compared = [], dart_minhash._other_candidates
+    monkeypatch.setattr(dart_minhash, "_other_candidates", lambda *a: asked.append(compared(*a).cache()) or asked[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = dart_minhash.near_duplicate_classes(df, stage).collect()
+    assert sorted((r.doc_id, r.class_id) for r in found) == brute_classes(rows)
+    # Many pairs are similar there, and few of those that are not are looked at.
+    assert 0 < asked[0].count() < len(rows) ** 2 // 20
+    asked[0].unpersist()
+
+
 def test_near_duplicates_of_messy_rows(messy, nothing, stage):
     kept = dart_minhash.drop_near_duplicates(messy, stage)
     assert kept.columns == messy.columns
