@@ -298,39 +298,80 @@ def _word_weights(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.rint(16 * np.log2(1 + top["n"].to_numpy())).astype(np.int64)[order]
 
 
-def _pair_table(df: DataFrame) -> DataFrame:
-    """``doc``, ``mark``, ``line``, ``name``, words ``n`` and rare ``pairs`` of lines that may be two edits from another."""
+def _pair_rows(df: DataFrame) -> DataFrame:
+    """``pair``, ``name`` and ``code`` of the rare pairs of lines that may be two edits from another.
+
+    ``code`` is four times the words of the line, and 2 more if another line of the batch has the
+    pair as well; of such lines all but one have 3.
+    """
     shared = df.sparkSession.sparkContext.broadcast(_word_weights(df))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, weights = shared.value
         for batch in batches:
-            words, owners, number = _lines(batch.column(2))
+            words, _, _ = _lines(batch.column(0))
             lines = Lines(words)
+            # The longer has twice EDIT_WORDS, the shorter two words less.
+            chosen = np.flatnonzero(lines.n >= 2 * EDIT_WORDS - 2)
+            name, first = np.unique(lines.names(chosen), return_index=True)
+            chosen = np.sort(chosen[first])
+            name = lines.names(chosen)
             h = words.hashes()
             weight = np.zeros(len(h), np.int64)
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
                 weight = np.where(frequent[at] == h, weights[at], 0)
-            # The longer has twice EDIT_WORDS, the shorter two words less.
-            chosen = np.flatnonzero(lines.n >= 2 * EDIT_WORDS - 2)
-            inside = np.repeat(lines.n >= 2 * EDIT_WORDS - 2, lines.n)
+            wanted = np.zeros(len(lines.n), bool)
+            wanted[chosen] = True
+            inside = np.repeat(wanted, lines.n)
             offsets = np.concatenate([[0], np.cumsum(lines.n[chosen])])
             pairs = _rare_pairs(h[inside], weight[inside], offsets)
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in pairs])]).astype(np.int32)
+            line = np.repeat(np.arange(len(chosen)), [len(x) for x in pairs])
+            pair = np.concatenate([np.zeros(0, _U), *pairs])
+            order = np.lexsort((name[line], pair))
+            pair, line = pair[order], line[order]
+            again = np.append(False, pair[1:] == pair[:-1])
+            met = again | np.append(again[1:], False)
+            code = 4 * lines.n[chosen][line] + 2 * met + again
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(owners[chosen])),
-                    batch.column(1).take(pa.array(owners[chosen])),
-                    pa.array(number[chosen].astype(np.int32)),
-                    _signed(lines.names(chosen)),
-                    pa.array(lines.n[chosen].astype(np.int32)),
-                    pa.ListArray.from_arrays(sizes, _signed(np.concatenate([np.zeros(0, _U), *pairs]))),
-                ],
-                names=["doc", "mark", "line", "name", "n", "pairs"],
+                [_signed(pair), _signed(name[line]), pa.array(code.astype(np.int64))], names=["pair", "name", "code"]
             )
 
-    return _documents(df).mapInArrow(run, "doc long, mark long, line int, name long, n int, pairs array<long>")
+    return df.select(text_of().alias("text")).mapInArrow(run, "pair long, name long, code long")
+
+
+def _shared_pairs(rows: DataFrame) -> DataFrame:
+    """``pair``, ``name`` and words ``n`` of the rare pairs that several lines have.
+
+    A pair's rows meet in one task, a row per batch: the others of a batch are known to share it and
+    go elsewhere by their names. So each pair and name is shuffled once, and a hot pair is spread.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row so far, which the next batch may have a partner for.
+        held = np.zeros((3, 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], 1)
+            new = np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(0))
+            at = np.flatnonzero(new)
+            rows = np.concatenate([rows[:2, at], np.bitwise_or.reduceat(rows[2:], at, 1)])
+            again = np.append(False, rows[0, 1:] == rows[0, :-1])
+            rows[2] |= 2 * (again | np.append(again[1:], False))
+            held, rows = rows[:, -1:], rows[:, :-1]
+            yield out(rows)
+        yield out(held)
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        pair, name, code = rows[:, rows[2] & 2 > 0]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(pair), pa.array(name), pa.array((code >> 2).astype(np.int32))], names=["pair", "name", "n"]
+        )
+
+    spare = F.col("code").bitwiseAND(1) == 1
+    met = rows.repartition(F.when(spare, F.xxhash64("name")).otherwise(F.col("pair")))
+    return met.sortWithinPartitions("pair", "name").mapInArrow(run, "pair long, name long, n int")
 
 
 def _words_table(documents: DataFrame) -> DataFrame:
@@ -348,15 +389,11 @@ def _words_table(documents: DataFrame) -> DataFrame:
     return documents.select("text", "asked").mapInArrow(run, "name long, words string")
 
 
-def _farther(df: DataFrame, near: DataFrame, staging: Staging) -> DataFrame:
+def _farther(df: DataFrame, kinds: DataFrame, near: DataFrame, staging: Staging) -> DataFrame:
     """``name`` of lines not in ``near`` that the growing bound allows an earlier line for."""
-    kinds = (
-        _pair_table(df)
-        .groupBy("name")
-        .agg(F.min(F.struct("doc", "mark", "line")).alias("first"), F.any_value("n").alias("n"), F.any_value("pairs").alias("pairs"))
-    )
-    kinds = staging.table(kinds, "pairs")
-    spread = kinds.select("name", F.struct("first", "name", "n").alias("order"), F.explode("pairs").alias("pair"))
+    rows = staging.table(_shared_pairs(_pair_rows(df)), "pairs")
+    order = F.struct("first", "name", "n").alias("order")
+    spread = staging.table(rows.join(kinds.select("name", "first"), "name").select("name", order, "pair"), "spread")
     leads = spread.groupBy("pair").agg(F.min("order").alias("lead"), F.max("order").alias("last")).filter("lead < last")
     leads = staging.table(leads.select("pair", "lead"), "leads")
     most = F.floor(F.greatest("order.n", "lead.n") / EDIT_WORDS)
@@ -418,7 +455,7 @@ def removed_lines(df: DataFrame, staging: Staging, least: int = MIN_WORDS, grow:
     )
     near = staging.table(_confirmed(staging.table(links, "links"), whole.select("name", "words")).distinct(), "near")
     if grow:
-        near = near.union(_farther(df, near, staging))
+        near = near.union(_farther(df, kinds, near, staging))
     flagged = (
         kinds.select("name", "first", "last")
         .join(near.withColumn("near", F.lit(True)), "name", "left")
