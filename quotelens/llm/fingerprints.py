@@ -157,6 +157,43 @@ def _order_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
 
 
+def _place(rank):
+    """Falls as the hash of a text rises, in 53 bits, which quantiles tell apart."""
+    return F.shiftright(F.bitwise_not(rank), 11) if isinstance(rank, Column) else ~rank >> 11
+
+
+def _existing(source: DataFrame, bounds: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``bounds`` of ids beyond 53 bits, which quantiles round, replaced by the greatest id up to each."""
+    if not (np.abs(bounds[bounds > -(2**63)].astype(float)) >= 2.0**53).any():
+        return bounds, times
+    shared = source.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("int")
+    def bucket(keys):
+        return type(keys)(np.searchsorted(shared.value, keys.to_numpy()))
+
+    rows = source.groupBy(bucket("key").alias("i")).agg(F.max("key").alias("most")).orderBy("i").collect()
+    return np.array([r.most for r in rows], np.int64), times[[r.i for r in rows]]
+
+
+def _cuts(source: DataFrame, bounds: np.ndarray, times: np.ndarray) -> dict[int, np.ndarray]:
+    """For ids that are several quantiles at once, where to cut their rows, by :func:`_place`.
+
+    Cuts are numbers of rows that exist, the greatest being the last, so no bucket is empty. Nothing
+    is read if no id is that frequent; else the texts are hashed once per doubling of the frequency.
+    """
+    found, place = {}, _place(F.xxhash64("text"))
+    for size in np.unique(np.log2(times[times > 1]).astype(int)).tolist():
+        keys = bounds[np.log2(times).astype(int) == size].tolist()
+        parts = 2 ** (size + 1)
+        rows = source.filter(F.col("key").isin(keys)).groupBy("key").agg(
+            F.percentile_approx(place, [(i + 1) / parts for i in range(parts)], 10 * parts).alias("q"),
+            F.max(place).alias("most"),
+        )
+        found |= {r.key: np.unique(np.array([*r.q, r.most], np.int64)) for r in rows.collect()}
+    return found
+
+
 def edited_likeness(df: DataFrame, scaled: int = SCALED) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how alike they are.
 
@@ -173,7 +210,8 @@ def edited_likeness(df: DataFrame, scaled: int = SCALED) -> DataFrame:
     Ids are cut into buckets at quantiles, of about ``BUCKET_ROWS`` rows, so each
     text is shuffled once and read once, in order; memory is that of a batch. The
     rows at a bucket's upper end travel twice, the second time as the successor of
-    the bucket above it.
+    the bucket above it. An id of several buckets' rows, a null one for instance, is
+    cut by the hash of its texts; only rows alike in id and text are never parted.
     """
     spark = df.sparkSession
     source = df.select(_order_key(F.col("doc_id")).alias("key"), "doc_id", text_of().alias("text"))
@@ -183,20 +221,30 @@ def edited_likeness(df: DataFrame, scaled: int = SCALED) -> DataFrame:
         F.percentile_approx("key", [(i + 1) / buckets for i in range(buckets)], 10 * buckets).alias("q"),
         F.max("key").alias("most"),
     ).first()
-    bounds = np.unique(np.array([*(ends.q or []), ends.most if n else 0], np.int64))
-    shared = spark.sparkContext.broadcast(bounds)
+    bounds, times = np.unique(np.array(ends.q or [0], np.int64), return_counts=True)
+    if n and bounds[-1] < ends.most:
+        bounds, times = np.append(bounds, ends.most), np.append(times, 1)
+    bounds, times = _existing(source, bounds, times)
+    cuts = _cuts(source, bounds, times)
+    # A key's upper ends stand in its place, in ascending order; most keys have one.
+    limits = np.repeat(bounds, [len(cuts.get(b, ())) or 1 for b in bounds.tolist()])
+    shared = spark.sparkContext.broadcast((limits, cuts))
 
     @F.pandas_udf("array<int>")
-    def places(keys):
+    def places(keys, ranks):
         """Its own bucket, and for an upper end the next one, whose last row it follows."""
-        limits = shared.value
-        at = np.searchsorted(limits, keys.to_numpy())
-        top = limits[at] == keys.to_numpy()
-        return type(keys)([[i, (i + 1) % len(limits)] if t else [i] for i, t in zip(at.tolist(), top.tolist())])
+        limits, cuts = shared.value
+        keys, place = keys.to_numpy(), _place(ranks.to_numpy())
+        at = np.searchsorted(limits, keys)
+        top = limits[at] == keys
+        for key in cuts.keys() & set(keys[top].tolist()) if cuts else ():
+            of = keys == key
+            at[of] += np.searchsorted(cuts[key], place[of])
+        return type(ranks)([[i, (i + 1) % len(limits)] if t else [i] for i, t in zip(at.tolist(), top.tolist())])
 
     dealt = (
-        source.select("*", F.posexplode(places("key")).alias("copy", "bucket"))
-        .withColumn("rank", F.xxhash64("text"))
+        source.withColumn("rank", F.xxhash64("text"))
+        .select("*", F.posexplode(places("key", "rank")).alias("copy", "bucket"))
         .repartition("bucket")
         # In a bucket ids descend; successors from the bucket below come last.
         .sortWithinPartitions("bucket", "copy", F.desc("key"), "rank")

@@ -55,6 +55,28 @@ def test_edited_texts_follow_the_descending_order(spark, monkeypatch):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def test_frequent_ids_are_cut_by_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 4)
+    rnd = random.Random(4)
+    ids = [None] * 40 + [7] * 30 + [9] * 9 + [*range(20), *(2**60 + rnd.randrange(300) for _ in range(40))]
+    rows = [(i, prose(rnd, rnd.choice((0, 3, 30)))) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    # The largest bucket has no more than a few times BUCKET_ROWS distinct rows.
+    cuts = fingerprints._cuts(
+        df.select(fingerprints._order_key(F.col("doc_id")).alias("key"), "text"), np.array([-(2**63), 3, 7, 2**61]), np.array([10, 1, 8, 1])
+    )
+    assert set(cuts) == {-(2**63), 7} and len(cuts[7]) > 4
+    numbered = df.withColumn("rank", F.xxhash64("text")).collect()
+    ordered = sorted(numbered, key=lambda r: (-(2**63) if r.doc_id is None else r.doc_id, ~r.rank), reverse=True)
+    expected = []
+    for k, r in enumerate(ordered):
+        text, following = r.text, ordered[(k + 1) % len(ordered)].text
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        expected.append((str(r.doc_id), len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    out = fingerprints.edited_likeness(df).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in out) == sorted(expected)
+
+
 def test_fingerprints_of_messy_rows(messy, nothing):
     out = fingerprints.edited_likeness(messy).collect()
     assert len(out) == len(messy_rows()) and sum(r.doc_id is None for r in out) == 2
