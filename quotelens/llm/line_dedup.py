@@ -28,6 +28,7 @@ its earliest member. No pairs within a group are made.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ EDITS = 1
 EDIT_WORDS = 5
 #: Texts and words of the sample that says which words are rare.
 SAMPLE_TEXTS, SAMPLE_WORDS = 1_000, 65_536
+#: Words of a line and places of its pairs are told apart up to these numbers; a greater one fits any.
+MOST_WORDS, MOST_PLACE = 2**21 - 1, 2**20 - 1
 #: Documents with a line to compare whose ids (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -144,8 +147,10 @@ def edits_between(a: list[str], b: list[str]) -> int:
 
 def within_growing_bound(a: list[str], b: list[str]) -> bool:
     """Whether two word sequences are at most one edit in ``EDIT_WORDS`` words of the longer one apart."""
-    most = max(len(a), len(b)) // EDIT_WORDS
-    return abs(len(a) - len(b)) <= most and edits_between(a, b) <= most
+    longer = max(len(a), len(b))
+    most = longer // EDIT_WORDS
+    # Each word of the longer one that the other lacks is an edit.
+    return longer - (Counter(a) & Counter(b)).total() <= most and edits_between(a, b) <= most
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -251,10 +256,11 @@ def _confirmed(
     return links.join(a, "name").join(b, "other").select("name", "x", "y").mapInArrow(run, "name long")
 
 
-def _rare_pairs(h: np.ndarray, weight: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+def _rare_pairs(h: np.ndarray, weight: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each line the rarest neighbouring pairs of words that a quarter as many edits as words cannot all touch.
 
-    A quarter, as the longer line's fifth is at most a quarter of the shorter one.
+    A quarter, as the longer line's fifth is at most a quarter of the shorter one. With
+    each pair its first and its last place in the line.
     """
     n = np.diff(offsets)
     line = np.repeat(np.arange(len(n)), n)
@@ -278,7 +284,10 @@ def _rare_pairs(h: np.ndarray, weight: np.ndarray, offsets: np.ndarray) -> list[
         # All places of the last pair, so that what is taken depends on the pair only.
         while a < used < b and value[used] == value[used - 1]:
             used += 1
-        found.append(np.unique(value[a:used]))
+        # By weight, then by value, so the places of a pair are neighbours.
+        at = np.flatnonzero(np.append(True, value[a + 1 : used] != value[a : used - 1]))
+        places = np.array(place[a:used], np.int64)
+        found.append((value[a:used][at], np.minimum.reduceat(places, at), np.maximum.reduceat(places, at)))
     return found
 
 
@@ -301,8 +310,8 @@ def _word_weights(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _pair_rows(df: DataFrame) -> DataFrame:
     """``pair``, ``name`` and ``code`` of the rare pairs of lines that may be two edits from another.
 
-    ``code`` is four times the words of the line, and 2 more if another line of the batch has the
-    pair as well; of such lines all but one have 3.
+    ``code`` has, from its high bits on, the words of the line, the first and the last place of the
+    pair, whether other lines of the batch have the pair as well, and whether one of them stands before.
     """
     shared = df.sparkSession.sparkContext.broadcast(_word_weights(df))
 
@@ -326,13 +335,19 @@ def _pair_rows(df: DataFrame) -> DataFrame:
             inside = np.repeat(wanted, lines.n)
             offsets = np.concatenate([[0], np.cumsum(lines.n[chosen])])
             pairs = _rare_pairs(h[inside], weight[inside], offsets)
-            line = np.repeat(np.arange(len(chosen)), [len(x) for x in pairs])
-            pair = np.concatenate([np.zeros(0, _U), *pairs])
+            line = np.repeat(np.arange(len(chosen)), [len(x) for x, _, _ in pairs])
+            pair = np.concatenate([np.zeros(0, _U), *(x for x, _, _ in pairs)])
+            places = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in pairs)]) for i in (1, 2)]
+            code = np.minimum(lines.n[chosen][line], MOST_WORDS)
+            for x in places:
+                code = code << 20 | np.minimum(x, MOST_PLACE)
             order = np.lexsort((name[line], pair))
-            pair, line = pair[order], line[order]
-            again = np.append(False, pair[1:] == pair[:-1])
-            met = again | np.append(again[1:], False)
-            code = 4 * lines.n[chosen][line] + 2 * met + again
+            pair, line, code = pair[order], line[order], code[order]
+            again = np.zeros(len(pair), bool)
+            again[1:] = pair[1:] == pair[:-1]
+            met = again.copy()
+            met[:-1] |= again[1:]
+            code = code << 2 | met << 1 | again
             yield pa.RecordBatch.from_arrays(
                 [_signed(pair), _signed(name[line]), pa.array(code.astype(np.int64))], names=["pair", "name", "code"]
             )
@@ -341,7 +356,7 @@ def _pair_rows(df: DataFrame) -> DataFrame:
 
 
 def _shared_pairs(rows: DataFrame) -> DataFrame:
-    """``pair``, ``name`` and words ``n`` of the rare pairs that several lines have.
+    """``pair`` and ``name`` of the rare pairs that several lines have, words ``n``, places from ``low`` to ``high``.
 
     A pair's rows meet in one task, a row per batch: the others of a batch are known to share it and
     go elsewhere by their names. So each pair and name is shuffled once, and a hot pair is spread.
@@ -365,13 +380,14 @@ def _shared_pairs(rows: DataFrame) -> DataFrame:
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
         pair, name, code = rows[:, rows[2] & 2 > 0]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(pair), pa.array(name), pa.array((code >> 2).astype(np.int32))], names=["pair", "name", "n"]
-        )
+        low, high = code >> 22 & MOST_PLACE, code >> 2 & MOST_PLACE
+        high[high == MOST_PLACE] = 2**30
+        numbers = [pa.array(x.astype(np.int32)) for x in (code >> 42, low, high)]
+        return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(name), *numbers], names=["pair", "name", "n", "low", "high"])
 
     spare = F.col("code").bitwiseAND(1) == 1
     met = rows.repartition(F.when(spare, F.xxhash64("name")).otherwise(F.col("pair")))
-    return met.sortWithinPartitions("pair", "name").mapInArrow(run, "pair long, name long, n int")
+    return met.sortWithinPartitions("pair", "name").mapInArrow(run, "pair long, name long, n int, low int, high int")
 
 
 def _words_table(documents: DataFrame) -> DataFrame:
@@ -392,12 +408,19 @@ def _words_table(documents: DataFrame) -> DataFrame:
 def _farther(df: DataFrame, kinds: DataFrame, near: DataFrame, staging: Staging) -> DataFrame:
     """``name`` of lines not in ``near`` that the growing bound allows an earlier line for."""
     rows = staging.table(_shared_pairs(_pair_rows(df)), "pairs")
-    order = F.struct("first", "name", "n").alias("order")
+    order = F.struct("first", "name", "n", "low", "high").alias("order")
     spread = staging.table(rows.join(kinds.select("name", "first"), "name").select("name", order, "pair"), "spread")
     leads = spread.groupBy("pair").agg(F.min("order").alias("lead"), F.max("order").alias("last")).filter("lead < last")
     leads = staging.table(leads.select("pair", "lead"), "leads")
     most = F.floor(F.greatest("order.n", "lead.n") / EDIT_WORDS)
-    allowed = (F.col("lead") < F.col("order")) & (most > EDITS) & (F.abs(F.col("order.n") - F.col("lead.n")) <= most)
+    # If the pair is what edits leave alone, they make up for the words that one has more of before and after it.
+    n, low, high = (F.col(f"order.{x}") for x in ("n", "low", "high"))
+    of_n, of_low, of_high = (F.col(f"lead.{x}") for x in ("n", "low", "high"))
+    before = F.greatest(F.lit(0), low - of_high, of_low - high)
+    after = F.greatest(F.lit(0), n - high - of_n + of_low, of_n - of_high - n + low)
+    fits = (F.abs(F.col("order.n") - F.col("lead.n")) <= most) & (before + after <= most)
+    endless = F.greatest("order.n", "lead.n") >= MOST_WORDS
+    allowed = (F.col("lead") < F.col("order")) & (most > EDITS) & (fits | endless)
 
     def found(pairs: DataFrame) -> DataFrame:
         links = pairs.filter(allowed).select("name", F.col("lead.name").alias("other")).distinct()
