@@ -25,13 +25,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts go to Python in batches of so many rows, if the session doesn't say otherwise.
 BATCH_ROWS = 1_024
+#: Bloom filters of join keys have 8 MB here, over scans from 1 GB on: Python takes part of an executor's memory.
+BLOOM_FILTERS = {
+    f"spark.sql.optimizer.runtime.bloomFilter.{name}": value
+    for name, value in {
+        "applicationSideScanSizeThreshold": "1GB",
+        "creationSideThreshold": "64MB",
+        "expectedNumItems": "4000000",
+        "maxNumItems": "8000000",
+        "numBits": "67108864",
+        "maxNumBits": "67108864",
+    }.items()
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that the operators count on, where the user set nothing."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if name not in spark.conf.getAll:
-        spark.conf.set(name, BATCH_ROWS)
+    given = spark.conf.getAll
+    for name, value in {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, **BLOOM_FILTERS}.items():
+        if name not in given:
+            spark.conf.set(name, value)
     return configure(spark)
 
 

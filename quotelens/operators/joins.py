@@ -50,24 +50,27 @@ def heavy_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, how: str = "inner"
+    left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, how: str = "inner", *more: DataFrame
 ) -> DataFrame:
     """The join on ``key``, inner or left, the rows of heavy keys dealt over many tasks.
 
+    What is joined to ``more`` frames after ``right`` is dealt, and shuffled, once for all.
     ``heavy`` is that of :func:`heavy_keys` for ``left``. A left row of a heavy key
     goes to one of the key's parts, by a hash of the row, so that a task that runs
     again sends it to the same; a right row goes to every part. Other keys have one
     part. Each pair of rows meets in one part, so the rows are those of a plain join.
     """
-    part, parts, whose = free_names([*left.columns, *right.columns], "part", "parts", "heavy")
+    part, parts, whose = free_names([c for df in (left, right, *more) for c in df.columns], "part", "parts", "heavy")
     named = heavy.select(F.col("heavy").alias(whose), F.col("parts").alias(parts))
 
     def with_parts(df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(named), df[key] == F.col(whose), "left").drop(whose)
 
     dealt = with_parts(left).withColumn(part, F.pmod(F.hash(*left.columns), F.coalesce(parts, F.lit(1)))).drop(parts)
-    copied = with_parts(right).withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
-    return dealt.join(copied.drop(parts), [key, part], how).drop(part)
+    for other in (right, *more):
+        copied = with_parts(other).withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
+        dealt = dealt.join(copied.drop(parts), [key, part], how)
+    return dealt.drop(part)
 
 
 def _ordered_alike(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> bool:
@@ -91,7 +94,7 @@ class KeyFilter:
     ``name`` tells the tables written for this filter from those of others.
     """
 
-    def __init__(self, driving: DataFrame, staging: Staging, name: str = "driving"):
+    def __init__(self, driving: DataFrame, staging: Staging | None, name: str = "driving"):
         self._driving = driving
         self._staging = staging
         self._name = name
@@ -112,7 +115,7 @@ class KeyFilter:
     def _write(self, columns: tuple[str, ...]) -> tuple[DataFrame, dict | None]:
         every = F.col(columns[0]) if len(columns) == 1 else F.explode(F.array(*columns))
         wanted = key_set(self._driving.select(every.alias("__wanted")), "__wanted")
-        if not self._staging.enabled:
+        if self._staging is None or not self._staging.enabled:
             return wanted, None
         name = "-".join(["keys", self._name, *columns])
         ends = [F.min("__wanted").alias("least"), F.max("__wanted").alias("greatest")]
@@ -134,6 +137,19 @@ class KeyFilter:
             df = within_ranges(df, key, ends["least"], ends["greatest"])
         return df.join(wanted, df[key] == wanted["__wanted"], "left_semi")
 
+    def joined(self, df: DataFrame, key: str) -> DataFrame:
+        """``df`` joined, inner, to the rows of the driving table, whose rows are written, on their common ``key``.
+
+        For what would be cut and then joined to the same rows: it is shuffled once, and
+        where ``df`` is a union Spark would put the cut into each of its parts.
+        """
+        least, greatest = self._driving.agg(F.min(key), F.max(key)).first()
+        driving = self._driving
+        if least is not None and _ordered_alike(df, key, driving, key):
+            driving = driving.filter(F.col(key).between(least, greatest))
+            df = within_ranges(df, key, least, greatest)
+        return df.join(driving, key)
+
     def below(self, df: DataFrame, name: str) -> KeyFilter:
         """The filter that ``df``, whose rows are written already, makes for tables one level below."""
         return KeyFilter(df, self._staging, name)

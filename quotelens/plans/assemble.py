@@ -232,12 +232,17 @@ def build_mart(
     )
     parts |= parts.pop("of_vehicles")
     # Joins on the other keys come first, while rows are narrow.
-    facts = latest_account_facts(t, keep)
-    reasons = _reasons(t, keep)
+    customer = ["profile_id", "account_id"]
+    # Customers are fewer than quotes and get what is known of them before they meet those.
+    customers = (
+        base.select(*customer)
+        .distinct()
+        .join(latest_account_facts(t, keep), "account_id", "left")
+        .join(parts["people"], "profile_id", "left")
+    )
     keyed = _with_current_policy(base, parts["totals"])
-    keyed = keyed.join(facts, "account_id", "left").join(parts["people"], "profile_id", "left")
-    for found in (parts["hypothetical"], reasons):
-        keyed = spread_join(keyed, found, "rate_id", parts["heavy"], "left")
+    keyed = spread_join(keyed, parts["hypothetical"], "rate_id", parts["heavy"], "left", _reasons(t, keep))
+    keyed = keyed.join(customers, customer, "left")
     wide = staging.table(keyed, "by_other_keys", by="quote_id")
     for name in ("totals", "vehicle_limits", "quote_limits", "competitor"):
         wide = wide.join(parts[name], "quote_id", "left")

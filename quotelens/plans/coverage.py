@@ -66,8 +66,13 @@ def vehicle_limits(
         given = keep.apply(given, "quote_id")
     held = given.select(F.col("id").alias("vehicle_quote_id"), "quote_id")
     if keep is not None:
-        held, below = (held, keep.below(held, "vehicle_quotes")) if vehicles is not None else keep.through(held, "vehicles")
-        bridge = below.apply(bridge, "vehicle_quote_id")
+        held, below = keep.through(held, "vehicles")
+        if "avg" in stats:
+            bridge = below.apply(bridge, "vehicle_quote_id")
+    if keep is not None and "avg" not in stats:
+        # Rows go on without the vehicle, as extremes are those of all rows of a quote.
+        of_quotes = below.joined(bridge, "vehicle_quote_id").select("quote_id", "coverage_id")
+        return label_extremes(_labelled(t, of_quotes, VEHICLE_MEASURES), "quote_id", "symbol", VEHICLE_MEASURES, stats)
     rows = _labelled(t, bridge, VEHICLE_MEASURES)
     per_vehicle = label_extremes(rows, "vehicle_quote_id", "symbol", VEHICLE_MEASURES, stats)
     return rollup_extremes(

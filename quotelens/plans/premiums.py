@@ -109,23 +109,30 @@ def hypothetical_by_rate(
     vehicles = vehicles.select(F.col("id").alias("vehicle_rate_id"), "rate_id")
     if keep is not None:
         vehicles, keep = keep.through(vehicles, "rated_vehicles")
-        options = keep.apply(options, "vehicle_rate_id")
+        options = keep.joined(options, "vehicle_rate_id")
     deductibles = (
         t["coverages"]
         .filter(F.col("symbol").isin(*coverages) & F.col("deductible").isNotNull())
         .select(F.col("id").alias("coverage_id"), "symbol", "deductible")
     )
     scale = _scale(options, list(OPTION_PREMIUMS.values()))
-    # Summed per vehicle first: the big option table is combined in the scan
-    # stage and meets the vehicles with one row per deductible.
-    per_vehicle = (
-        options.join(deductibles, "coverage_id")
-        .groupBy("vehicle_rate_id", "symbol", "deductible")
-        .agg(*[F.sum(to_units(c, scale)).alias(plan) for plan, c in OPTION_PREMIUMS.items()])
-    )
+    if keep is not None:
+        # Options go on as rows of rates, without the vehicle, and are summed per rate in
+        # the stage that joins the deductibles.
+        amounts = [to_units(c, scale).alias(plan) for plan, c in OPTION_PREMIUMS.items()]
+        of_rates = options.select("rate_id", "coverage_id", *amounts)
+        summands = of_rates.join(deductibles, "coverage_id")
+    else:
+        # Summed per vehicle first: the big option table is combined in the scan
+        # stage and meets the vehicles with one row per deductible.
+        per_vehicle = (
+            options.join(deductibles, "coverage_id")
+            .groupBy("vehicle_rate_id", "symbol", "deductible")
+            .agg(*[F.sum(to_units(c, scale)).alias(plan) for plan, c in OPTION_PREMIUMS.items()])
+        )
+        summands = per_vehicle.join(vehicles, "vehicle_rate_id")
     per_rate = (
-        per_vehicle.join(vehicles, "vehicle_rate_id")
-        .groupBy("rate_id", "symbol", "deductible")
+        summands.groupBy("rate_id", "symbol", "deductible")
         .agg(*[from_units(F.sum(plan), scale).alias(plan) for plan in OPTION_PREMIUMS])
     )
     return nth_per_key(per_rate, ["rate_id", "symbol"], "deductible", p.hypothetical_rank)
@@ -172,7 +179,11 @@ def latest_rerate_quotes(t: Tables, p: MartParams, keep: KeyFilter | None = None
         rerates = keep.apply(rerates, "quote_id")
     rerates = rerates.select(F.col("id").alias("rerate_id"), "quote_id")
     versions = t["rerate_rates"].select(F.col("id").alias("rerate_rate_id"), "version")
-    quotes = t["rerate_quotes"].join(rerates, "rerate_id").join(versions, "rerate_rate_id")
+    quotes = t["rerate_quotes"]
+    if keep is not None:
+        rerates, keep = keep.through(rerates, "rerates")
+        quotes = keep.apply(quotes, "rerate_id")
+    quotes = quotes.join(rerates, "rerate_id").join(versions, "rerate_rate_id")
     return latest_per_key(quotes, ["rerate_id"], F.col("version").cast("int"), ["id"]).select(
         "id", "rerate_id", "quote_id", premium("monthly", "umuim")
     )

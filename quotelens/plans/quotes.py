@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.functions.exprs import matured_flag, rank_from_list
-from quotelens.operators.joins import heavy_keys, key_set, spread_join
+from quotelens.operators.joins import KeyFilter, heavy_keys, key_set, spread_join
 from quotelens.operators.ranking import first_by_rank, latest_per_key, sequence_index
 from quotelens.operators.sets import union_disjoint, with_constants
 from quotelens.plans.params import MartParams
@@ -88,14 +88,14 @@ def term_tenure(t: Tables, staging: Staging | None = None) -> DataFrame:
 
 
 def quote_choices(
-    t: Tables, p: MartParams, rates: DataFrame | None = None, bound: bool | None = None
+    t: Tables, p: MartParams, keep: KeyFilter | None = None, bound: bool | None = None
 ) -> DataFrame:
     """The best-ranked bought and the best-ranked unbought quote of each rate.
 
     Every request on a rate sees the same quotes, so choosing per rate gives each
     request the quote it would choose itself, and requests meet one row per set
-    where they would meet every quote of the rate. ``rates``: the distinct
-    ``rate_id`` asked for; quotes of others go before anything is shuffled. ``bound``
+    where they would meet every quote of the rate. ``keep``: the filter that the
+    requests make; most quotes of other rates go before anything is shuffled. ``bound``
     leaves one of the two.
     """
     markers = (
@@ -111,8 +111,8 @@ def quote_choices(
         "quote_id", "bought_invoice_period", F.lit(True).alias("bought")
     )
     offered = t["quotes"].filter(F.col("rate_id").isNotNull())
-    if rates is not None:
-        offered = offered.join(rates, "rate_id", "left_semi")
+    if keep is not None:
+        offered = keep.apply(offered, "rate_id")
     quotes = (
         offered.select(
             F.col("id").alias("quote_id"),
@@ -228,7 +228,7 @@ def representative_quotes(
         .otherwise(F.lit(p.unknown_plan))
     )
     requests = _requests(t, p, in_study, staging, renewal)
-    choices = _with_customer(quote_choices(t, p, key_set(requests, "rate_id"), bound), t)
+    choices = _with_customer(quote_choices(t, p, KeyFilter(requests, staging, "requests"), bound), t)
     if staging is not None and staging.enabled:
         quotes = spread_join(requests, choices, "rate_id", heavy_keys(requests, "rate_id"))
     else:

@@ -14,15 +14,17 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Bloom filters of join keys, over scans from 1 GB on. Keys of up to 64 MB, some 8
-    # million, make filters of 8 MB, which is what one broadcasts at most; more make none.
+    # Bloom filters of join keys, over scans of what is no longer broadcast. Filters have
+    # 32 MB, and each key sets two bits (for so many items Spark takes two), as each task
+    # sends its filter: of 25 million keys they pass three in a hundred rows without a
+    # partner. Key sets of over 1 GB make none.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1GB",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "64MB",
-    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
-    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "8000000",
-    "spark.sql.optimizer.runtime.bloomFilter.numBits": "67108864",
-    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "67108864",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "10MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "96000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "96000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "268435456",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "268435456",
 }
 
 #: Ways to write the zone that timestamps are meant in.

@@ -153,3 +153,43 @@ def test_a_resumed_run_reads_the_keys_it_wrote(spark, tmp_path):
     again = Staging(spark, str(tmp_path), key="r")
     assert rows(KeyFilter(driving, again, "some").apply(table, "k")) == [(3,), (5,)]
     assert again.resumed == ["keys-some-k"]
+
+
+def exchanges(said: str) -> int:
+    return said.count("Exchange hashpartitioning")
+
+
+def test_a_table_joined_to_the_rows_that_cut_it_is_shuffled_once_behind_a_bloom_filter(spark, tmp_path):
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        configure(spark)
+        spark.range(3_000).selectExpr("id AS k", "id % 9 AS v").write.parquet(str(tmp_path / "children"))
+        child = spark.read.parquet(str(tmp_path / "children"))
+        children = child.union(child.selectExpr("k", "v + 100"))
+        driving = spark.createDataFrame([(500, "a"), (503, "b"), (503, "c"), (None, "d")], "k long, name string")
+        with Staging(spark) as staging:
+            _, keep = KeyFilter(driving, staging).through(driving, "driving_rows")
+            met = keep.joined(children, "k")
+            said = met._jdf.queryExecution().executedPlan().toString()
+            assert "might_contain" in said and exchanges(said) == 2
+            assert rows(met.select("k", "v", "name")) == sorted(
+                ((k, k % 9 + more, name) for k, name in ((500, "a"), (503, "b"), (503, "c")) for more in (0, 100)), key=repr
+            )
+            none = KeyFilter(driving, staging).through(driving.filter("name = 'd'"), "no_rows")[1]
+            assert rows(none.joined(children, "k")) == []
+    finally:
+        for name in {**wanted, **DEFAULTS}:
+            if name != "spark.sql.session.timeZone":
+                spark.conf.unset(name)
+
+
+def test_bloom_filters_reach_scans_and_keys_of_a_large_mart():
+    size = {n.rsplit(".", 1)[1]: v for n, v in DEFAULTS.items() if ".bloomFilter." in n}
+    # Tables that are not broadcast are filtered, and 25 million keys leave most bits unset.
+    assert size["applicationSideScanSizeThreshold"] == "10MB" and size["creationSideThreshold"] == "1GB"
+    assert 2 * 25_000_000 < int(size["numBits"]) / 4 and size["numBits"] == size["maxNumBits"]
