@@ -47,6 +47,8 @@ EDIT_WORDS = 5
 SAMPLE_TEXTS, SAMPLE_WORDS = 1_000, 65_536
 #: Words of a line and places of its pairs are told apart up to these numbers; a greater one fits any.
 MOST_WORDS, MOST_PLACE = 2**21 - 1, 2**20 - 1
+#: Texts are gone over in pieces of so many bytes, as numbers of their words take some fifty times that.
+PIECE_BYTES = 1 << 18
 #: Documents with a line to compare whose ids (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -57,6 +59,17 @@ _WORD_CHARACTER = SPACES.replace("[", "[^", 1)
 _LAST = 2**63 - 1
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``PIECE_BYTES`` of text at most, or of one row."""
+    for batch in batches:
+        _, at = buffers(batch.column(texts))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(at, at[first] + PIECE_BYTES, "right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def _lines(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     """The words of all lines of a batch, with the text and the number of each line."""
     data, at = buffers(texts)
@@ -172,7 +185,7 @@ def line_table(df: DataFrame, halves: bool, least: int = MIN_WORDS) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 2):
             words, owners, number = _lines(batch.column(2))
             lines = Lines(words)
             long = np.flatnonzero(lines.n >= least)
@@ -220,7 +233,7 @@ def _neighbourhoods(documents: DataFrame) -> DataFrame:
     """For the asked lines: themselves (``place`` -1, with their words) and themselves without each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 0):
             words, owners, number = _lines(batch.column(0))
             lines = Lines(words)
             chosen = _chosen(lines, owners, number, batch.column(1))
@@ -295,7 +308,7 @@ def _word_weights(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of frequent words of a sample, ascending, and how frequent they are on a log scale."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 0):
             words, _, _ = _lines(batch.column(0))
             h, n = np.unique(words.hashes(), return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(h), pa.array(n.astype(np.int64))], names=["word", "n"])
@@ -315,42 +328,47 @@ def _pair_rows(df: DataFrame) -> DataFrame:
     """
     shared = df.sparkSession.sparkContext.broadcast(_word_weights(df))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_piece(piece: pa.RecordBatch) -> np.ndarray:
         frequent, weights = shared.value
+        words, _, _ = _lines(piece.column(0))
+        lines = Lines(words)
+        # The longer has twice EDIT_WORDS, the shorter two words less.
+        chosen = np.flatnonzero(lines.n >= 2 * EDIT_WORDS - 2)
+        name, first = np.unique(lines.names(chosen), return_index=True)
+        chosen = np.sort(chosen[first])
+        name = lines.names(chosen)
+        h = words.hashes()
+        weight = np.zeros(len(h), np.int64)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+            weight = np.where(frequent[at] == h, weights[at], 0)
+        wanted = np.zeros(len(lines.n), bool)
+        wanted[chosen] = True
+        inside = np.repeat(wanted, lines.n)
+        offsets = np.concatenate([[0], np.cumsum(lines.n[chosen])])
+        pairs = _rare_pairs(h[inside], weight[inside], offsets)
+        line = np.repeat(np.arange(len(chosen)), [len(x) for x, _, _ in pairs])
+        pair = np.concatenate([np.zeros(0, _U), *(x for x, _, _ in pairs)])
+        places = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in pairs)]) for i in (1, 2)]
+        code = np.minimum(lines.n[chosen][line], MOST_WORDS)
+        for x in places:
+            code = code << 20 | np.minimum(x, MOST_PLACE)
+        return np.stack([pair, name[line], code.astype(_U)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, _, _ = _lines(batch.column(0))
-            lines = Lines(words)
-            # The longer has twice EDIT_WORDS, the shorter two words less.
-            chosen = np.flatnonzero(lines.n >= 2 * EDIT_WORDS - 2)
-            name, first = np.unique(lines.names(chosen), return_index=True)
-            chosen = np.sort(chosen[first])
-            name = lines.names(chosen)
-            h = words.hashes()
-            weight = np.zeros(len(h), np.int64)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                weight = np.where(frequent[at] == h, weights[at], 0)
-            wanted = np.zeros(len(lines.n), bool)
-            wanted[chosen] = True
-            inside = np.repeat(wanted, lines.n)
-            offsets = np.concatenate([[0], np.cumsum(lines.n[chosen])])
-            pairs = _rare_pairs(h[inside], weight[inside], offsets)
-            line = np.repeat(np.arange(len(chosen)), [len(x) for x, _, _ in pairs])
-            pair = np.concatenate([np.zeros(0, _U), *(x for x, _, _ in pairs)])
-            places = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in pairs)]) for i in (1, 2)]
-            code = np.minimum(lines.n[chosen][line], MOST_WORDS)
-            for x in places:
-                code = code << 20 | np.minimum(x, MOST_PLACE)
-            order = np.lexsort((name[line], pair))
-            pair, line, code = pair[order], line[order], code[order]
+            found = np.concatenate([np.zeros((3, 0), _U), *map(of_piece, _pieces(iter([batch]), 0))], 1)
+            found = found[:, np.lexsort((found[1], found[0]))]
+            # A line that several pieces have has the same rows in each.
+            new = np.ones(found.shape[1], bool)
+            new[1:] = (found[:2, 1:] != found[:2, :-1]).any(0)
+            pair, name, code = found[:, new]
             again = np.zeros(len(pair), bool)
             again[1:] = pair[1:] == pair[:-1]
             met = again.copy()
             met[:-1] |= again[1:]
-            code = code << 2 | met << 1 | again
-            yield pa.RecordBatch.from_arrays(
-                [_signed(pair), _signed(name[line]), pa.array(code.astype(np.int64))], names=["pair", "name", "code"]
-            )
+            code = code.astype(np.int64) << 2 | met << 1 | again
+            yield pa.RecordBatch.from_arrays([_signed(pair), _signed(name), pa.array(code)], names=["pair", "name", "code"])
 
     return df.select(text_of().alias("text")).mapInArrow(run, "pair long, name long, code long")
 
@@ -394,7 +412,7 @@ def _words_table(documents: DataFrame) -> DataFrame:
     """``name`` and ``words`` of the asked lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 0):
             words, owners, number = _lines(batch.column(0))
             lines = Lines(words)
             chosen = _chosen(lines, owners, number, batch.column(1))

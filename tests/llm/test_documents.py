@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -546,3 +547,55 @@ def test_pipeline(spark, tmp_path, messy, nothing):
             docs = spark.read.parquet(path)
             assert name == "byte-level BPE" or docs.columns == columns
     assert spark.createDataFrame(messy_rows(), SCHEMA).count() == len(messy_rows())
+
+
+# --- memory of line comparison --------------------------------------------------------------
+
+
+def test_pieces_hold_every_row_in_few_bytes(monkeypatch):
+    monkeypatch.setattr(line_dedup, "PIECE_BYTES", 10)
+    texts = ["abc", None, "", "äöü", "x" * 30, "tail", "more", "words", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["n", "text"])
+    empty = batch.slice(0, 0)
+    found = list(line_dedup._pieces(iter([batch, empty, batch.slice(2, 5)]), 1))
+    assert [r for b in found for r in b.to_pylist()] == batch.to_pylist() + batch.to_pylist()[2:7]
+    for b in found:
+        size = sum(len((t or "").encode()) for t in b.column(1).to_pylist())
+        assert b.num_rows == 1 or size <= 10
+
+
+def test_pairs_of_a_large_batch_take_little_memory():
+    class Given:
+        """Stands for a frame: gives back the function that would run in a task."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3_000)]
+    texts = ["\n".join(" ".join(rng.choice(words, 40)) for _ in range(12)) for _ in range(1_000)]
+    texts += texts[:20]
+    given = Given()
+    given.sparkSession = Given()
+    given.sparkSession.sparkContext = Given()
+    given.sparkSession.sparkContext.broadcast = lambda value: type("Shared", (), {"value": value})
+    frequent = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def run(patch):
+        patch.setattr(line_dedup, "_word_weights", lambda _: frequent)
+        patch.setattr(line_dedup, "text_of", lambda: type("Text", (), {"alias": lambda self, _: None})())
+        (out,) = line_dedup._pair_rows(given)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        tracemalloc.start()
+        out = run(patch)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out.num_rows > 100_000 and peak < 40e6
+        # Pieces change nothing: a line of several of them is told from others as in one.
+        patch.setattr(line_dedup, "PIECE_BYTES", 1 << 40)
+        assert run(patch).equals(out)
