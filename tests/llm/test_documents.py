@@ -516,9 +516,9 @@ def test_queries_equal_their_sql(spark):
     from quotelens.llm.queries import ORACLES, QUERIES
 
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
-    assert len(QUERIES) == 10 and len(ORACLES) >= 4
+    assert len(QUERIES) == 13 and len(ORACLES) >= 4
     for name, sql in ORACLES.items():
         df, expected = QUERIES[name](spark, SF_DIR), duck.sql(sql)
         assert sorted(df.columns) == sorted(expected.columns)
