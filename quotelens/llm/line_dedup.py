@@ -166,6 +166,13 @@ def within_growing_bound(a: list[str], b: list[str]) -> bool:
     return longer - (Counter(a) & Counter(b)).total() <= most and edits_between(a, b) <= most
 
 
+def _settled(df: DataFrame, staging: Staging, name: str) -> DataFrame:
+    """``df`` written, and its shuffle files gone: Spark deletes them when the driver's JVM collects its garbage."""
+    written = staging.table(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return written
+
+
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
@@ -205,10 +212,14 @@ def line_table(df: DataFrame, halves: bool, least: int = MIN_WORDS) -> DataFrame
     return _documents(df).mapInArrow(run, schema)
 
 
-def _chosen(lines: Lines, owners: np.ndarray, number: np.ndarray, asked: pa.Array) -> np.ndarray:
-    """The lines of a batch whose numbers are asked for."""
-    wanted = {(i, k) for i, some in enumerate(asked.to_pylist()) for k in some}
-    return np.array([j for j in np.flatnonzero(lines.n >= MIN_WORDS) if (owners[j], number[j]) in wanted], np.int64)
+def _chosen(
+    lines: Lines, owners: np.ndarray, number: np.ndarray, asked: pa.Array
+) -> tuple[np.ndarray, np.ndarray]:
+    """The lines of a batch that are asked for, and the halves they share, as bits."""
+    wanted = {(i, k >> 2): k & 3 for i, some in enumerate(asked.to_pylist()) for k in some}
+    sides = np.array([wanted.get(x, -1) for x in zip(owners.tolist(), number.tolist())], np.int64)
+    chosen = np.flatnonzero((lines.n >= MIN_WORDS) & (sides >= 0))
+    return chosen, sides[chosen]
 
 
 def _texts(lines: Lines, chosen: np.ndarray) -> list[str]:
@@ -221,36 +232,98 @@ def _texts(lines: Lines, chosen: np.ndarray) -> list[str]:
 
 
 def _asked_documents(df: DataFrame, firsts: DataFrame, staging: Staging) -> DataFrame:
-    """``text`` and ``asked``, the line numbers, of the documents that ``first`` names."""
-    asked = firsts.groupBy("first.doc", "first.mark").agg(F.collect_set("first.line").alias("asked"))
+    """``text`` and ``asked`` of the documents that ``first`` names: four times a line's number, and its ``sides``."""
+    sides = F.col("sides") if "sides" in firsts.columns else F.lit(0)
+    line = F.shiftleft(F.col("first.line").cast("long"), 2).bitwiseOR(sides.cast("long"))
+    asked = firsts.groupBy("first.doc", "first.mark").agg(F.collect_set(line).alias("asked"))
     asked = staging.table(asked, "asked")
     if asked.count() <= BROADCAST_IDS:
         asked = F.broadcast(asked)
     return _documents(df).join(asked, ["doc", "mark"])
 
 
+def _marked(rows: np.ndarray) -> np.ndarray:
+    """Rows of key, name and code of a batch by key and name, each once, with two bits after the code.
+
+    They say whether the batch has other rows of the key as well, and whether one of them stands before.
+    """
+    rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+    key, name, code = rows[:, new]
+    again = np.zeros(len(key), bool)
+    again[1:] = key[1:] == key[:-1]
+    met = again.copy()
+    met[:-1] |= again[1:]
+    return np.stack([key, name, code << _U(2) | met.astype(_U) << _U(1) | again.astype(_U)])
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """``key``, ``name`` and ``code`` of marked rows (see ``_marked``) whose key others have, without the two bits.
+
+    A key's rows meet in one task, a row per batch: the others of a batch are known to share it and
+    go elsewhere by their names. So each key and name is shuffled once, and a hot key is spread.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row so far, which the next batch may have a partner for.
+        held = np.zeros((3, 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], 1)
+            kind = np.stack([rows[0], rows[1], rows[2] >> 2])
+            at = np.flatnonzero(np.append(True, (kind[:, 1:] != kind[:, :-1]).any(0)))
+            rows = np.concatenate([rows[:2, at], np.bitwise_or.reduceat(rows[2:], at, 1)])
+            again = np.append(False, rows[0, 1:] == rows[0, :-1])
+            rows[2] |= 2 * (again | np.append(again[1:], False))
+            held, rows = rows[:, -1:], rows[:, :-1]
+            yield out(rows)
+        yield out(held)
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        key, name, code = rows[:, rows[2] & 2 > 0]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(name), pa.array(code >> 2)], names=["key", "name", "code"])
+
+    spare = F.col("code").bitwiseAND(1) == 1
+    met = rows.repartition(F.when(spare, F.xxhash64("name")).otherwise(F.col("key")))
+    return met.sortWithinPartitions("key", "name", "code").mapInArrow(run, "key long, name long, code long")
+
+
 def _neighbourhoods(documents: DataFrame) -> DataFrame:
-    """For the asked lines: themselves (``place`` -1, with their words) and themselves without each word."""
+    """For the asked lines: themselves (``code`` 0, with their words) and themselves without each word (its place from 1).
+
+    A line that shares its first half only has its edit in the rest, and the other way round. Codes are marked.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, 0):
             words, owners, number = _lines(batch.column(0))
             lines = Lines(words)
-            chosen = _chosen(lines, owners, number, batch.column(1))
+            chosen, sides = _chosen(lines, owners, number, batch.column(1))
             owner, place, variant = lines.without(chosen)
+            n, shares = lines.n[owner], np.repeat(sides, lines.n[chosen])
+            # Where the shorter one may be a word shorter, its half is the least that is known to be equal.
+            first, last = place >= (n - 1) // 2, place < n - (n - 1) // 2
+            told = ((shares & 1 > 0) & first) | ((shares & 2 > 0) & last)
             names = lines.names(chosen)
-            texts = _texts(lines, chosen)
+            rows = _marked(
+                np.stack(
+                    [
+                        np.concatenate([names, variant[told]]),
+                        np.concatenate([names, np.repeat(names, lines.n[chosen])[told]]),
+                        np.concatenate([np.zeros(len(chosen), _U), place[told].astype(_U) + _U(1)]),
+                    ]
+                )
+            )
+            texts = dict(zip(names.tolist(), _texts(lines, chosen)))
+            whole = rows[2] >> _U(2) == 0
+            written = [texts[x] if w else None for x, w in zip(rows[1].tolist(), whole.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [
-                    _signed(np.concatenate([names, variant])),
-                    pa.array(np.concatenate([np.full(len(chosen), -1), place]).astype(np.int32)),
-                    _signed(np.concatenate([names, np.repeat(names, lines.n[chosen])])),
-                    pa.array(texts + [None] * len(variant), pa.string()),
-                ],
-                names=["variant", "place", "name", "words"],
+                [*map(_signed, rows), pa.array(written, pa.string())], names=["key", "name", "code", "words"]
             )
 
-    return documents.select("text", "asked").mapInArrow(run, "variant long, place int, name long, words string")
+    return documents.select("text", "asked").mapInArrow(run, "key long, name long, code long, words string")
 
 
 def _confirmed(
@@ -323,8 +396,8 @@ def _word_weights(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _pair_rows(df: DataFrame) -> DataFrame:
     """``pair``, ``name`` and ``code`` of the rare pairs of lines that may be two edits from another.
 
-    ``code`` has, from its high bits on, the words of the line, the first and the last place of the
-    pair, whether other lines of the batch have the pair as well, and whether one of them stands before.
+    ``code`` has, from its high bits on, the words of the line and the first and the last place of the
+    pair, and is marked.
     """
     shared = df.sparkSession.sparkContext.broadcast(_word_weights(df))
 
@@ -358,54 +431,22 @@ def _pair_rows(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.concatenate([np.zeros((3, 0), _U), *map(of_piece, _pieces(iter([batch]), 0))], 1)
-            found = found[:, np.lexsort((found[1], found[0]))]
             # A line that several pieces have has the same rows in each.
-            new = np.ones(found.shape[1], bool)
-            new[1:] = (found[:2, 1:] != found[:2, :-1]).any(0)
-            pair, name, code = found[:, new]
-            again = np.zeros(len(pair), bool)
-            again[1:] = pair[1:] == pair[:-1]
-            met = again.copy()
-            met[:-1] |= again[1:]
-            code = code.astype(np.int64) << 2 | met << 1 | again
-            yield pa.RecordBatch.from_arrays([_signed(pair), _signed(name), pa.array(code)], names=["pair", "name", "code"])
+            yield pa.RecordBatch.from_arrays([*map(_signed, _marked(found))], names=["pair", "name", "code"])
 
     return df.select(text_of().alias("text")).mapInArrow(run, "pair long, name long, code long")
 
 
 def _shared_pairs(rows: DataFrame) -> DataFrame:
-    """``pair`` and ``name`` of the rare pairs that several lines have, words ``n``, places from ``low`` to ``high``.
-
-    A pair's rows meet in one task, a row per batch: the others of a batch are known to share it and
-    go elsewhere by their names. So each pair and name is shuffled once, and a hot pair is spread.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last row so far, which the next batch may have a partner for.
-        held = np.zeros((3, 0), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], 1)
-            new = np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(0))
-            at = np.flatnonzero(new)
-            rows = np.concatenate([rows[:2, at], np.bitwise_or.reduceat(rows[2:], at, 1)])
-            again = np.append(False, rows[0, 1:] == rows[0, :-1])
-            rows[2] |= 2 * (again | np.append(again[1:], False))
-            held, rows = rows[:, -1:], rows[:, :-1]
-            yield out(rows)
-        yield out(held)
-
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        pair, name, code = rows[:, rows[2] & 2 > 0]
-        low, high = code >> 22 & MOST_PLACE, code >> 2 & MOST_PLACE
-        high[high == MOST_PLACE] = 2**30
-        numbers = [pa.array(x.astype(np.int32)) for x in (code >> 42, low, high)]
-        return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(name), *numbers], names=["pair", "name", "n", "low", "high"])
-
-    spare = F.col("code").bitwiseAND(1) == 1
-    met = rows.repartition(F.when(spare, F.xxhash64("name")).otherwise(F.col("pair")))
-    return met.sortWithinPartitions("pair", "name").mapInArrow(run, "pair long, name long, n int, low int, high int")
+    """``pair`` and ``name`` of the rare pairs that several lines have, words ``n``, places from ``low`` to ``high``."""
+    low, high = (F.shiftright("code", k).bitwiseAND(MOST_PLACE) for k in (20, 0))
+    return _shared(rows.withColumnRenamed("pair", "key")).select(
+        F.col("key").alias("pair"),
+        "name",
+        F.shiftright("code", 40).cast("int").alias("n"),
+        low.cast("int").alias("low"),
+        F.when(high == MOST_PLACE, 2**30).otherwise(high).cast("int").alias("high"),
+    )
 
 
 def _words_table(documents: DataFrame) -> DataFrame:
@@ -415,7 +456,7 @@ def _words_table(documents: DataFrame) -> DataFrame:
         for batch in _pieces(batches, 0):
             words, owners, number = _lines(batch.column(0))
             lines = Lines(words)
-            chosen = _chosen(lines, owners, number, batch.column(1))
+            chosen, _ = _chosen(lines, owners, number, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [_signed(lines.names(chosen)), pa.array(_texts(lines, chosen), pa.string())], names=["name", "words"]
             )
@@ -425,11 +466,11 @@ def _words_table(documents: DataFrame) -> DataFrame:
 
 def _farther(df: DataFrame, kinds: DataFrame, near: DataFrame, staging: Staging) -> DataFrame:
     """``name`` of lines not in ``near`` that the growing bound allows an earlier line for."""
-    rows = staging.table(_shared_pairs(_pair_rows(df)), "pairs")
+    rows = _settled(_shared_pairs(_pair_rows(df)), staging, "pairs")
     order = F.struct("first", "name", "n", "low", "high").alias("order")
-    spread = staging.table(rows.join(kinds.select("name", "first"), "name").select("name", order, "pair"), "spread")
+    spread = _settled(rows.join(kinds.select("name", "first"), "name").select("name", order, "pair"), staging, "spread")
     leads = spread.groupBy("pair").agg(F.min("order").alias("lead"), F.max("order").alias("last")).filter("lead < last")
-    leads = staging.table(leads.select("pair", "lead"), "leads")
+    leads = _settled(leads.select("pair", "lead"), staging, "leads")
     most = F.floor(F.greatest("order.n", "lead.n") / EDIT_WORDS)
     # If the pair is what edits leave alone, they make up for the words that one has more of before and after it.
     n, low, high = (F.col(f"order.{x}") for x in ("n", "low", "high"))
@@ -442,11 +483,12 @@ def _farther(df: DataFrame, kinds: DataFrame, near: DataFrame, staging: Staging)
 
     def found(pairs: DataFrame) -> DataFrame:
         links = pairs.filter(allowed).select("name", F.col("lead.name").alias("other")).distinct()
-        links = staging.table(links, "links")
+        links = _settled(links, staging, "links")
         names = links.select("name").union(links.select("other")).distinct()
         documents = _asked_documents(df, kinds.select("name", "first").join(names, "name", "left_semi"), staging)
         texts = staging.table(_words_table(documents), "words")
-        return staging.table(_confirmed(links, texts.dropDuplicates(["name"]), within_growing_bound).distinct(), "near")
+        near = _confirmed(links, texts.dropDuplicates(["name"]), within_growing_bound).distinct()
+        return _settled(near, staging, "near")
 
     first = found(spread.join(near, "name", "left_anti").join(leads, "pair"))
     others = spread.join(leads.select("pair"), "pair", "left_semi").select("pair", F.col("order").alias("lead"))
@@ -460,24 +502,24 @@ def removed_lines(df: DataFrame, staging: Staging, least: int = MIN_WORDS, grow:
     Lines of ``least`` words to less than ``MIN_WORDS`` go only if they are equal to one. With ``grow``
     a line of n words goes if it is at most n / ``EDIT_WORDS`` edits from an earlier one, n of the longer.
     """
-    lines = staging.table(line_table(df, halves=False, least=least), "lines")
+    lines = staging.table(line_table(df, halves=True, least=least), "lines")
     place = F.struct("doc", "mark", "line")
-    kinds = (
-        line_table(df, halves=True, least=least)
-        .groupBy("name")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"), F.any_value("keys").alias("keys"))
+    kinds = lines.groupBy("name").agg(
+        F.min(place).alias("first"), F.max(place).alias("last"), F.any_value("keys").alias("keys")
     )
-    kinds = staging.table(kinds, "kinds")
+    kinds = _settled(kinds, staging, "kinds")
     # Lines that share a half with a different line; the other lines are alone.
-    halves = kinds.select("name", F.explode("keys").alias("key"))
+    halves = kinds.select("name", F.posexplode("keys").alias("at", "key"))
     shared = halves.groupBy("key").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a < b")
-    possible = halves.join(shared.select("key"), "key", "left_semi").select("name").distinct()
-    documents = _asked_documents(df, kinds.select("name", "first").join(possible, "name", "left_semi"), staging)
-    around = staging.table(_neighbourhoods(documents).distinct(), "around")
-    firsts = kinds.select("name", F.struct("first", "name").alias("order"))
-    around = around.join(firsts, "name")
-    whole = around.filter("place < 0").select("name", "order", "words")
-    cut = around.filter("place >= 0").select("variant", "place", "name", "order")
+    side = F.when(F.col("at") % 2 == 0, 1).otherwise(2)
+    possible = halves.join(shared.select("key"), "key", "left_semi").groupBy("name").agg(F.bit_or(side).alias("sides"))
+    possible = _settled(kinds.select("name", "first").join(possible, "name"), staging, "possible")
+    around = staging.table(_neighbourhoods(_asked_documents(df, possible, staging)), "around")
+    texts = around.filter("words IS NOT NULL").select("name", "words").dropDuplicates(["name"])
+    firsts = possible.select("name", F.struct("first", "name").alias("order"))
+    around = _settled(_shared(around.select("key", "name", "code")).join(firsts, "name"), staging, "met")
+    whole = around.filter("code = 0").select("name", "order")
+    cut = around.filter("code > 0").select(F.col("key").alias("variant"), F.col("code").alias("place"), "name", "order")
     earliest = cut.groupBy("variant", "place").agg(F.min("order").alias("lead"))
     # Replaced: both are equal without the word at one place.
     replaced = cut.join(earliest, ["variant", "place"]).select("name", "order", "lead")
@@ -494,7 +536,7 @@ def removed_lines(df: DataFrame, staging: Staging, least: int = MIN_WORDS, grow:
         .select("name", F.col("lead.name").alias("other"))
         .distinct()
     )
-    near = staging.table(_confirmed(staging.table(links, "links"), whole.select("name", "words")).distinct(), "near")
+    near = _settled(_confirmed(staging.table(links, "links"), texts).distinct(), staging, "near")
     if grow:
         near = near.union(_farther(df, kinds, near, staging))
     flagged = (

@@ -599,3 +599,26 @@ def test_pairs_of_a_large_batch_take_little_memory():
         # Pieces change nothing: a line of several of them is told from others as in one.
         patch.setattr(line_dedup, "PIECE_BYTES", 1 << 40)
         assert run(patch).equals(out)
+
+
+# --- work of line comparison ------------------------------------------------------------------
+
+
+def test_only_variants_that_lines_share_are_joined(spark, stage, monkeypatch):
+    start, other = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    ends = [" ".join(f"{x}{i}" for i in range(20)) for x in "cd"]
+    # Two lines share their first half alone, two are one word apart, one is alone.
+    rows = [(0, f"{start} {ends[0]}"), (1, f"{start} {ends[1]}"), (2, f"{other} x y"), (3, f"{other} x z"), (4, f"{ends[0]} end")]
+    seen, table = {}, stage.table
+
+    def kept(df, name, by=None):
+        seen[name] = table(df, name, by)
+        return seen[name]
+
+    monkeypatch.setattr(stage, "table", kept)
+    gone = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), stage)
+    assert [(r.doc, r.line) for r in gone.collect()] == [(3, 0)]
+    # Each of four lines, and itself without a word of its last half or of the word before.
+    assert seen["around"].count() == 4 + 2 * 21 + 2 * 12
+    met = seen["met"].collect()
+    assert len({r.name for r in met}) == 2 and all(sum(x.key == r.key for x in met) > 1 for r in met)
