@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.llm.common import SPACES, Words, buffers, free_name, mix, text_of, words_in
@@ -47,6 +47,8 @@ EDIT_WORDS = 5
 SAMPLE_TEXTS, SAMPLE_WORDS = 1_000, 65_536
 #: Words of a line and places of its pairs are told apart up to these numbers; a greater one fits any.
 MOST_WORDS, MOST_PLACE = 2**21 - 1, 2**20 - 1
+#: Before the words of two lines are compared, so many times 64 bits that tell of their words are.
+SKETCH_LONGS = 4
 #: Texts are gone over in pieces of so many bytes, as numbers of their words take some fifty times that.
 PIECE_BYTES = 1 << 18
 #: Documents with a line to compare whose ids (16 bytes each) are broadcast; more are joined by shuffle.
@@ -120,6 +122,22 @@ class Lines:
             keys.append(mix(self.backward[e] - self.backward[e - half] + tag + _SIDE))
         return np.stack(keys, 1) if len(lines) else np.zeros((0, 4), _U)
 
+    def sketches(self, lines: np.ndarray, size: int) -> np.ndarray:
+        """``size`` (a power of two) times 64 bits a line, each the parity of the words with that hash.
+
+        An edit changes two of them at most.
+        """
+        b, n = self.begin[lines], self.n[lines]
+        ends = np.cumsum(n)
+        at = np.repeat(b - ends + n, n) + np.arange(n.sum())
+        h = self.words.hashes()[at]
+        bits, part = _U(1) << (h & _U(63)), h >> _U(6) & _U(size - 1)
+        found = np.zeros((len(lines), size), _U)
+        for k in range(size):
+            run = np.concatenate([np.zeros(1, _U), np.bitwise_xor.accumulate(np.where(part == _U(k), bits, _U(0)))])
+            found[:, k] = run[ends] ^ run[ends - n]
+        return found
+
     def without(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The line, the place taken out, and the hash of what is left, for every word of the lines."""
         n = self.n[lines]
@@ -185,8 +203,8 @@ def _documents(df: DataFrame) -> DataFrame:
     )
 
 
-def line_table(df: DataFrame, halves: bool, least: int = MIN_WORDS) -> DataFrame:
-    """``doc``, ``mark``, ``line`` and ``name`` of every line of ``least`` words, with its half keys if asked.
+def line_table(df: DataFrame, halves: bool, least: int = MIN_WORDS, sketch: bool = False) -> DataFrame:
+    """``doc``, ``mark``, ``line`` and ``name`` of every line of ``least`` words, with half keys and a sketch if asked.
 
     Lines of less than ``MIN_WORDS`` words have no half keys.
     """
@@ -206,9 +224,12 @@ def line_table(df: DataFrame, halves: bool, least: int = MIN_WORDS) -> DataFrame
                 near = lines.n[long] >= MIN_WORDS
                 offsets = np.concatenate([[0], np.cumsum(near * 4)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(offsets, _signed(lines.halves(long[near]).ravel())))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "line", "name", "keys"][: len(columns)])
+            if sketch:
+                columns.append(_signed(lines.sketches(long, 1).ravel()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc long, mark long, line int, name long" + (", keys array<long>" if halves else "")
+    names = ["doc", "mark", "line", "name"] + ["keys"] * halves + ["sketch"] * sketch
+    schema = "doc long, mark long, line int, name long" + ", keys array<long>" * halves + ", sketch long" * sketch
     return _documents(df).mapInArrow(run, schema)
 
 
@@ -343,10 +364,12 @@ def _confirmed(
 
 
 def _rare_pairs(h: np.ndarray, weight: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each line the rarest neighbouring pairs of words that a quarter as many edits as words cannot all touch.
+    """For each line the rarest neighbouring pairs of words that the edits to a line it may go with cannot all touch.
 
-    A quarter, as the longer line's fifth is at most a quarter of the shorter one. With
-    each pair its first and its last place in the line.
+    To a line not longer, of n words these are a fifth of n. To a longer one they are a quarter at
+    most, as its fifth is at most a quarter of n; each word that it has more touches a single
+    pair, so one edit more than a fifth comes with the words up to the next multiple of five, and
+    the further ones with five words each. With each pair its first and its last place in the line.
     """
     n = np.diff(offsets)
     line = np.repeat(np.arange(len(n)), n)
@@ -356,11 +379,14 @@ def _rare_pairs(h: np.ndarray, weight: np.ndarray, offsets: np.ndarray) -> list[
     value, place = value[order], (start[order] - offsets[line[start[order]]]).tolist()
     ends = np.searchsorted(line[start], np.arange(len(n) + 1))
     found = []
-    for a, b, most in zip(ends[:-1].tolist(), ends[1:].tolist(), (n // (EDIT_WORDS - 1)).tolist()):
+    for a, b, size in zip(ends[:-1].tolist(), ends[1:].tolist(), n.tolist()):
+        fifth, most = size // EDIT_WORDS, size // (EDIT_WORDS - 1)
+        # Pairs that an edit more can touch, some of which each take a single one.
+        touched = 2 * (fifth + 1) - (EDIT_WORDS - size % EDIT_WORDS)
         # An edit touches two pairs at most, and only neighbours: a run of r pairs takes (r + 1) // 2.
         runs: dict[int, int] = {}
         used, edits = a, 0
-        while used < b and edits <= most:
+        while used < b and edits <= most and (edits <= fifth or used - a <= touched):
             p = place[used]
             left, right = runs.get(p - 1, 0), runs.get(p + 1, 0)
             run = left + 1 + right
@@ -437,87 +463,106 @@ def _pair_rows(df: DataFrame) -> DataFrame:
     return df.select(text_of().alias("text")).mapInArrow(run, "pair long, name long, code long")
 
 
-def _shared_pairs(rows: DataFrame) -> DataFrame:
-    """``pair`` and ``name`` of the rare pairs that several lines have, words ``n``, places from ``low`` to ``high``."""
-    low, high = (F.shiftright("code", k).bitwiseAND(MOST_PLACE) for k in (20, 0))
-    return _shared(rows.withColumnRenamed("pair", "key")).select(
-        F.col("key").alias("pair"),
-        "name",
-        F.shiftright("code", 40).cast("int").alias("n"),
-        low.cast("int").alias("low"),
-        F.when(high == MOST_PLACE, 2**30).otherwise(high).cast("int").alias("high"),
-    )
-
-
 def _words_table(documents: DataFrame) -> DataFrame:
-    """``name`` and ``words`` of the asked lines."""
+    """``name``, number ``n`` of words, sketch ``bits`` and ``words`` of the asked lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, 0):
             words, owners, number = _lines(batch.column(0))
             lines = Lines(words)
             chosen, _ = _chosen(lines, owners, number, batch.column(1))
+            offsets = np.arange(len(chosen) + 1, dtype=np.int32) * SKETCH_LONGS
             yield pa.RecordBatch.from_arrays(
-                [_signed(lines.names(chosen)), pa.array(_texts(lines, chosen), pa.string())], names=["name", "words"]
+                [
+                    _signed(lines.names(chosen)),
+                    pa.array(lines.n[chosen].astype(np.int64)),
+                    pa.ListArray.from_arrays(offsets, _signed(lines.sketches(chosen, SKETCH_LONGS).ravel())),
+                    pa.array(_texts(lines, chosen), pa.string()),
+                ],
+                names=["name", "n", "bits", "words"],
             )
 
-    return documents.select("text", "asked").mapInArrow(run, "name long, words string")
+    return documents.select("text", "asked").mapInArrow(run, "name long, n long, bits array<long>, words string")
 
 
 def _farther(df: DataFrame, kinds: DataFrame, near: DataFrame, staging: Staging) -> DataFrame:
-    """``name`` of lines not in ``near`` that the growing bound allows an earlier line for."""
-    rows = _settled(_shared_pairs(_pair_rows(df)), staging, "pairs")
-    order = F.struct("first", "name", "n", "low", "high").alias("order")
-    spread = _settled(rows.join(kinds.select("name", "first"), "name").select("name", order, "pair"), staging, "spread")
-    leads = spread.groupBy("pair").agg(F.min("order").alias("lead"), F.max("order").alias("last")).filter("lead < last")
-    leads = _settled(leads.select("pair", "lead"), staging, "leads")
-    most = F.floor(F.greatest("order.n", "lead.n") / EDIT_WORDS)
+    """``name`` of lines not in ``near`` that the growing bound allows an earlier line for.
+
+    Lines are told by their rank in order of place, which is one number.
+    """
+    with staging.inner() as own:
+        return _farther_in(own, df, kinds, near, staging)
+
+
+def _farther_in(own: Staging, df: DataFrame, kinds: DataFrame, near: DataFrame, staging: Staging) -> DataFrame:
+    ranks = kinds.select("name", "first", "sketch").orderBy("first").withColumn("rank", F.monotonically_increasing_id())
+    ranks = _settled(ranks, own, "ranks")
+    gone = near.withColumn("gone", F.lit(True))
+    told = ranks.select("name", "rank", "sketch").join(gone, "name", "left")
+    with staging.inner() as part:
+        rows = _settled(_shared(_pair_rows(df).withColumnRenamed("pair", "key")), part, "pairs")
+        spread = rows.join(told, "name").select(
+            "key", "rank", "code", "sketch", F.coalesce("gone", F.lit(False)).alias("gone")
+        )
+        spread = _settled(spread, own, "spread")
+    line = F.struct("rank", "code", "sketch")
+    leads = _settled(spread.groupBy("key").agg(F.min(line).alias("lead")), own, "leads")
+
+    def parts(side: str) -> list[Column]:
+        code = F.col(f"{side}code")
+        low, high = (F.shiftright(code, k).bitwiseAND(MOST_PLACE) for k in (20, 0))
+        return [F.shiftright(code, 40), low, F.when(high == MOST_PLACE, 2**30).otherwise(high)]
+
+    (n, low, high), (of_n, of_low, of_high) = parts(""), parts("lead.")
+    longer = F.greatest(n, of_n)
+    most = F.floor(longer / EDIT_WORDS)
     # If the pair is what edits leave alone, they make up for the words that one has more of before and after it.
-    n, low, high = (F.col(f"order.{x}") for x in ("n", "low", "high"))
-    of_n, of_low, of_high = (F.col(f"lead.{x}") for x in ("n", "low", "high"))
     before = F.greatest(F.lit(0), low - of_high, of_low - high)
     after = F.greatest(F.lit(0), n - high - of_n + of_low, of_n - of_high - n + low)
-    fits = (F.abs(F.col("order.n") - F.col("lead.n")) <= most) & (before + after <= most)
-    endless = F.greatest("order.n", "lead.n") >= MOST_WORDS
-    allowed = (F.col("lead") < F.col("order")) & (most > EDITS) & (fits | endless)
-
-    def found(pairs: DataFrame) -> DataFrame:
-        links = pairs.filter(allowed).select("name", F.col("lead.name").alias("other")).distinct()
-        links = _settled(links, staging, "links")
-        names = links.select("name").union(links.select("other")).distinct()
-        documents = _asked_documents(df, kinds.select("name", "first").join(names, "name", "left_semi"), staging)
-        texts = staging.table(_words_table(documents), "words")
-        near = _confirmed(links, texts.dropDuplicates(["name"]), within_growing_bound).distinct()
-        return _settled(near, staging, "near")
+    fits = (F.abs(n - of_n) <= most) & (before + after <= most)
+    alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("lead.sketch"))) <= 2 * most
+    allowed = (F.col("lead.rank") < F.col("rank")) & (most > EDITS) & ((fits & alike) | (longer >= MOST_WORDS))
 
-    first = found(spread.join(near, "name", "left_anti").join(leads, "pair"))
-    others = spread.join(leads.select("pair"), "pair", "left_semi").select("pair", F.col("order").alias("lead"))
-    rest = spread.join(near.union(first), "name", "left_anti")
-    return first.union(found(rest.join(others, "pair")))
+    of_other = [F.col("n").alias("other_n"), F.col("bits").alias("other_bits")]
+    differing = sum(F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("other_bits")[k])) for k in range(SKETCH_LONGS))
+    alike_in_all = differing <= 2 * F.floor(F.greatest("n", "other_n") / EDIT_WORDS)
 
-
-def removed_lines(df: DataFrame, staging: Staging, least: int = MIN_WORDS, grow: bool = False) -> DataFrame:
-    """``doc``, ``mark`` and ``line`` of the lines that go: equal to, or one edit from, an earlier one.
-
-    Lines of ``least`` words to less than ``MIN_WORDS`` go only if they are equal to one. With ``grow``
-    a line of n words goes if it is at most n / ``EDIT_WORDS`` edits from an earlier one, n of the longer.
-    """
-    lines = staging.table(line_table(df, halves=True, least=least), "lines")
-    place = F.struct("doc", "mark", "line")
-    kinds = lines.groupBy("name").agg(
-        F.min(place).alias("first"), F.max(place).alias("last"), F.any_value("keys").alias("keys")
-    )
-    kinds = _settled(kinds, staging, "kinds")
+    def found(pairs: DataFrame) -> DataFrame:
+        with staging.inner() as part:
+            links = pairs.filter(allowed).select("rank", F.col("lead.rank").alias("other")).distinct()
+            links = _settled(links, part, "links")
+            asked = links.select("rank").union(links.select("other")).distinct()
+            asked = _settled(ranks.join(asked, "rank").select("rank", "name", "first"), part, "linked")
+            name = asked.select("rank", "name")
+            named = links.join(name, "rank").select("name", F.col("other").alias("rank"))
+            named = named.join(name.withColumnRenamed("name", "other"), "rank").select("name", "other")
+            texts = part.table(_words_table(_asked_documents(df, asked, part)), "words").dropDuplicates(["name"])
+            bits = texts.select("name", "n", "bits")
+            close = named.join(bits, "name").join(bits.select(F.col("name").alias("other"), *of_other), "other")
+            close = _settled(close.filter(alike_in_all).select("name", "other"), part, "close")
+            compared = close.select("name").union(close.select("other")).distinct()
+            alike = _confirmed(close, texts.join(compared, "name", "left_semi"), within_growing_bound).distinct()
+            return _settled(alike, staging, "near")
+
+    left = spread.filter("NOT gone").drop("gone")
+    first = found(left.join(leads, "key"))
+    others = spread.select("key", line.alias("lead"))
+    left = left.join(ranks.join(first, "name").select("rank"), "rank", "left_anti")
+    return first.union(found(left.join(others, "key")))
+
+
+def _one_edit_apart(df: DataFrame, kinds: DataFrame, part: Staging, staging: Staging) -> DataFrame:
+    """``name`` of lines that are one edit from an earlier one."""
     # Lines that share a half with a different line; the other lines are alone.
     halves = kinds.select("name", F.posexplode("keys").alias("at", "key"))
     shared = halves.groupBy("key").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a < b")
     side = F.when(F.col("at") % 2 == 0, 1).otherwise(2)
     possible = halves.join(shared.select("key"), "key", "left_semi").groupBy("name").agg(F.bit_or(side).alias("sides"))
-    possible = _settled(kinds.select("name", "first").join(possible, "name"), staging, "possible")
-    around = staging.table(_neighbourhoods(_asked_documents(df, possible, staging)), "around")
+    possible = _settled(kinds.select("name", "first").join(possible, "name"), part, "possible")
+    around = part.table(_neighbourhoods(_asked_documents(df, possible, part)), "around")
     texts = around.filter("words IS NOT NULL").select("name", "words").dropDuplicates(["name"])
     firsts = possible.select("name", F.struct("first", "name").alias("order"))
-    around = _settled(_shared(around.select("key", "name", "code")).join(firsts, "name"), staging, "met")
+    around = _settled(_shared(around.select("key", "name", "code")).join(firsts, "name"), part, "met")
     whole = around.filter("code = 0").select("name", "order")
     cut = around.filter("code > 0").select(F.col("key").alias("variant"), F.col("code").alias("place"), "name", "order")
     earliest = cut.groupBy("variant", "place").agg(F.min("order").alias("lead"))
@@ -536,7 +581,24 @@ def removed_lines(df: DataFrame, staging: Staging, least: int = MIN_WORDS, grow:
         .select("name", F.col("lead.name").alias("other"))
         .distinct()
     )
-    near = _settled(_confirmed(staging.table(links, "links"), texts).distinct(), staging, "near")
+    return _settled(_confirmed(part.table(links, "links"), texts).distinct(), staging, "near")
+
+
+def removed_lines(df: DataFrame, staging: Staging, least: int = MIN_WORDS, grow: bool = False) -> DataFrame:
+    """``doc``, ``mark`` and ``line`` of the lines that go: equal to, or one edit from, an earlier one.
+
+    Lines of ``least`` words to less than ``MIN_WORDS`` go only if they are equal to one. With ``grow``
+    a line of n words goes if it is at most n / ``EDIT_WORDS`` edits from an earlier one, n of the longer.
+    """
+    lines = staging.table(line_table(df, halves=True, least=least, sketch=grow), "lines")
+    place = F.struct("doc", "mark", "line")
+    told = ["keys", "sketch"] if grow else ["keys"]
+    kinds = lines.groupBy("name").agg(
+        F.min(place).alias("first"), F.max(place).alias("last"), *[F.any_value(c).alias(c) for c in told]
+    )
+    kinds = _settled(kinds, staging, "kinds")
+    with staging.inner() as part:
+        near = _one_edit_apart(df, kinds, part, staging)
     if grow:
         near = near.union(_farther(df, kinds, near, staging))
     flagged = (

@@ -106,6 +106,10 @@ class Staging:
             files.deleteOnExit(at)
         return found
 
+    def inner(self) -> Staging:
+        """Staging in the same folder for tables that go before the others do."""
+        return Staging(self._spark, self._folder)
+
     def _place(self, name: str) -> str:
         folder = f"{self._folder.rstrip('/')}/quotelens"
         if self._key is None:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quotelens.llm import dart_minhash, fingerprints, lattice, line_dedup, mixing, quality
 from quotelens.llm.common import WORD, shingles_of, words_of
+from quotelens.sources import Staging
 
 WORDS = "the of and to in is that it for was on with as be by this are at from over under".split()
 
@@ -609,16 +610,78 @@ def test_only_variants_that_lines_share_are_joined(spark, stage, monkeypatch):
     ends = [" ".join(f"{x}{i}" for i in range(20)) for x in "cd"]
     # Two lines share their first half alone, two are one word apart, one is alone.
     rows = [(0, f"{start} {ends[0]}"), (1, f"{start} {ends[1]}"), (2, f"{other} x y"), (3, f"{other} x z"), (4, f"{ends[0]} end")]
-    seen, table = {}, stage.table
+    seen, table = {}, Staging.table
 
-    def kept(df, name, by=None):
-        seen[name] = table(df, name, by)
-        return seen[name]
+    def kept(self, df, name, by=None):
+        written = table(self, df, name, by)
+        seen[name] = written.collect()
+        return written
 
-    monkeypatch.setattr(stage, "table", kept)
+    monkeypatch.setattr(Staging, "table", kept)
     gone = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), stage)
     assert [(r.doc, r.line) for r in gone.collect()] == [(3, 0)]
     # Each of four lines, and itself without a word of its last half or of the word before.
-    assert seen["around"].count() == 4 + 2 * 21 + 2 * 12
-    met = seen["met"].collect()
+    assert len(seen["around"]) == 4 + 2 * 21 + 2 * 12
+    met = seen["met"]
     assert len({r.name for r in met}) == 2 and all(sum(x.key == r.key for x in met) > 1 for r in met)
+
+
+def test_unlike_lines_with_a_rare_pair_are_not_compared(spark, stage, monkeypatch):
+    rnd = random.Random(3)
+    line = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    lines = [line() for _ in range(30)]
+    for x in lines:
+        x[20:24] = ["some", "rare", "words", "here"]
+    near = list(lines[0])
+    near[40:48] = line()[:8]
+    rows = [(i, " ".join(x)) for i, x in enumerate([*lines, near])]
+    # All words are as rare, so some lines have pairs of the four words among theirs.
+    seen, table = [], Staging.table
+
+    def kept(self, df, name, by=None):
+        written = table(self, df, name, by)
+        seen.append((name, written.count(), self))
+        return written
+
+    monkeypatch.setattr(Staging, "table", kept)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = line_dedup.removed_lines(df, stage, grow=True)
+    assert [r.doc for r in gone.collect()] == [30]
+    assert sum(n for name, n, _ in seen if name == "close") == 1
+    # Only what the result reads is still there.
+    left = {name for name, _, at in seen if at is stage}
+    assert left == {"lines", "kinds", "near"} and all(not at._paths for _, _, at in seen if at is not stage)
+
+
+def test_sketches_tell_at_most_two_bits_an_edit():
+    rnd = random.Random(4)
+    for _ in range(50):
+        a = [f"w{rnd.randrange(40)}" for _ in range(rnd.randint(5, 60))]
+        b = list(a)
+        for _ in range(3):
+            k, p = rnd.choice("dis"), rnd.randrange(len(b))
+            b[p : p + (k != "i")] = [] if k == "d" else [f"w{rnd.randrange(40)}"]
+        words, _, _ = line_dedup._lines(pa.array([" ".join(a), " ".join(b)]))
+        for size in (1, 4):
+            x, y = line_dedup.Lines(words).sketches(np.arange(2), size)
+            assert sum(int(v).bit_count() for v in x ^ y) <= 6
+            assert sum(int(v).bit_count() for v in x) <= len(a)
+
+
+def test_rare_pairs_meet_at_the_bound():
+    rnd = random.Random(6)
+    hashed = lambda w: np.array([hash(x) & (2**62 - 1) for x in w], np.uint64)
+    for _ in range(3_000):
+        a = [rnd.randrange(60) for _ in range(rnd.randint(8, 31))]
+        b = list(a)
+        # As many edits as the longer of both allows, put in ones more often.
+        while line_dedup.edits_between(a, b) <= max(len(a), len(b)) // 5:
+            last, b = b, list(b)
+            k, p = rnd.choice("disii"), rnd.randrange(len(b))
+            b[p : p + (k != "i")] = [] if k == "d" else [rnd.randrange(60, 999)]
+        weight = [np.array([x % 7 for x in w], np.int64) for w in (a, last)]
+        (x, _, _), (y, _, _) = (
+            line_dedup._rare_pairs(hashed(w), v, np.array([0, len(w)]))[0] for w, v in zip((a, last), weight)
+        )
+        if max(len(a), len(last)) >= 10:
+            assert set(x.tolist()) & set(y.tolist())
