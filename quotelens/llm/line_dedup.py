@@ -21,6 +21,8 @@ share a pair of neighbouring words among the rarest of each that so many edits
 cannot all touch. Which words count as rare comes from a sample and is the same for
 all lines, so it changes the time and not the result. A line is compared with
 the earliest that shares such a pair; those not gone by then with every earlier one.
+Before the words of two lines are, sketches of them are, which rule out only what the
+bound does.
 
 Hot lines and hot halves cost a row per map task: all that is asked of a group is
 its earliest member. No pairs within a group are made.
