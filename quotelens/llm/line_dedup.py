@@ -21,6 +21,9 @@ share a pair of neighbouring words among the rarest of each that so many edits
 cannot all touch. Which words count as rare comes from a sample and is the same for
 all lines, so it changes the time and not the result. A line is compared with
 the earliest that shares such a pair; those not gone by then with every earlier one.
+A pair that many lines have is hot: the lines that have one are told by their rarest
+pairs again, with hot ones last. What still meets in hot pairs, say as a long passage is
+common, is compared by wide sketches there.
 Before the words of two lines are, sketches of them are, which rule out only what the
 bound does.
 
@@ -32,13 +35,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotelens.llm.common import SPACES, Words, buffers, free_name, mix, text_of, words_in
+from quotelens.llm.common import SPACES, Words, buffers, free_name, mix, most_frequent, text_of, words_in
 from quotelens.sources.staging import Staging
 
 MIN_WORDS = 5
@@ -47,10 +51,12 @@ EDITS = 1
 EDIT_WORDS = 5
 #: Texts and words of the sample that says which words are rare.
 SAMPLE_TEXTS, SAMPLE_WORDS = 1_000, 65_536
+#: A pair among the rarest of more lines is hot. So many are put last at once, the hottest, and lines told again so often.
+HOT_LINES, HOT_PAIRS, TURNS = 64, 1 << 18, 2
 #: Words of a line and places of its pairs are told apart up to these numbers; a greater one fits any.
 MOST_WORDS, MOST_PLACE = 2**21 - 1, 2**20 - 1
 #: Before the words of two lines are compared, so many times 64 bits that tell of their words are.
-SKETCH_LONGS = 4
+SKETCH_LONGS = 8
 #: Texts are gone over in pieces of so many bytes, as numbers of their words take some fifty times that.
 PIECE_BYTES = 1 << 18
 #: Documents with a line to compare whose ids (16 bytes each) are broadcast; more are joined by shuffle.
@@ -365,19 +371,40 @@ def _confirmed(
     return links.join(a, "name").join(b, "other").select("name", "x", "y").mapInArrow(run, "name long")
 
 
-def _rare_pairs(h: np.ndarray, weight: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _logs(counts: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and their numbers ``n`` on a log scale."""
+    h = counts[key].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.rint(16 * np.log2(1 + counts["n"].to_numpy())).astype(np.int64)[order]
+
+
+def _looked_up(h: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each key, 0 where it is not among the ``known`` ones, which ascend."""
+    if not len(known):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, values[at], 0)
+
+
+_NO_LOGS = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def _rare_pairs(
+    h: np.ndarray, weight: np.ndarray, offsets: np.ndarray, hot: tuple[np.ndarray, np.ndarray] = _NO_LOGS
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each line the rarest neighbouring pairs of words that the edits to a line it may go with cannot all touch.
 
     To a line not longer, of n words these are a fifth of n. To a longer one they are a quarter at
     most, as its fifth is at most a quarter of n; each word that it has more touches a single
     pair, so one edit more than a fifth comes with the words up to the next multiple of five, and
     the further ones with five words each. With each pair its first and its last place in the line.
+    Pairs that are ``hot`` come after all others, the hottest last.
     """
     n = np.diff(offsets)
     line = np.repeat(np.arange(len(n)), n)
     start = np.flatnonzero(line[:-1] == line[1:])
     value = mix(h[start] * _STEP + mix(h[start + 1]))
-    order = np.lexsort((value, weight[start] + weight[start + 1], line[start]))
+    order = np.lexsort((value, weight[start] + weight[start + 1], _looked_up(value, *hot), line[start]))
     value, place = value[order], (start[order] - offsets[line[start[order]]]).tolist()
     ends = np.searchsorted(line[start], np.arange(len(n) + 1))
     found = []
@@ -416,38 +443,40 @@ def _word_weights(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     counts = df.select(text_of().alias("text")).limit(SAMPLE_TEXTS).mapInArrow(run, "word long, n long")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS).toArrow()
-    h = top["word"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.rint(16 * np.log2(1 + top["n"].to_numpy())).astype(np.int64)[order]
+    return _logs(top, "word")
 
 
-def _pair_rows(df: DataFrame) -> DataFrame:
+def _pair_rows(
+    df: DataFrame,
+    weights: tuple[np.ndarray, np.ndarray] | None = None,
+    hot: tuple[np.ndarray, np.ndarray] = _NO_LOGS,
+    asked: bool = False,
+) -> DataFrame:
     """``pair``, ``name`` and ``code`` of the rare pairs of lines that may be two edits from another.
 
-    ``code`` has, from its high bits on, the words of the line and the first and the last place of the
+    All lines, or those ``asked`` for in a column of that name. ``code`` has, from its high bits on, the words of the line and the first and the last place of the
     pair, and is marked.
     """
-    shared = df.sparkSession.sparkContext.broadcast(_word_weights(df))
+    shared = df.sparkSession.sparkContext.broadcast((weights or _word_weights(df), hot))
 
     def of_piece(piece: pa.RecordBatch) -> np.ndarray:
-        frequent, weights = shared.value
-        words, _, _ = _lines(piece.column(0))
+        frequent, hottest = shared.value
+        words, owners, number = _lines(piece.column(0))
         lines = Lines(words)
         # The longer has twice EDIT_WORDS, the shorter two words less.
         chosen = np.flatnonzero(lines.n >= 2 * EDIT_WORDS - 2)
+        if asked:
+            chosen = np.intersect1d(chosen, _chosen(lines, owners, number, piece.column(1))[0])
         name, first = np.unique(lines.names(chosen), return_index=True)
         chosen = np.sort(chosen[first])
         name = lines.names(chosen)
         h = words.hashes()
-        weight = np.zeros(len(h), np.int64)
-        if len(frequent):
-            at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-            weight = np.where(frequent[at] == h, weights[at], 0)
+        weight = _looked_up(h, *frequent)
         wanted = np.zeros(len(lines.n), bool)
         wanted[chosen] = True
         inside = np.repeat(wanted, lines.n)
         offsets = np.concatenate([[0], np.cumsum(lines.n[chosen])])
-        pairs = _rare_pairs(h[inside], weight[inside], offsets)
+        pairs = _rare_pairs(h[inside], weight[inside], offsets, hottest)
         line = np.repeat(np.arange(len(chosen)), [len(x) for x, _, _ in pairs])
         pair = np.concatenate([np.zeros(0, _U), *(x for x, _, _ in pairs)])
         places = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in pairs)]) for i in (1, 2)]
@@ -462,7 +491,8 @@ def _pair_rows(df: DataFrame) -> DataFrame:
             # A line that several pieces have has the same rows in each.
             yield pa.RecordBatch.from_arrays([*map(_signed, _marked(found))], names=["pair", "name", "code"])
 
-    return df.select(text_of().alias("text")).mapInArrow(run, "pair long, name long, code long")
+    rows = df.select("text", "asked") if asked else df.select(text_of().alias("text"))
+    return rows.mapInArrow(run, "pair long, name long, code long")
 
 
 def _words_table(documents: DataFrame) -> DataFrame:
@@ -499,14 +529,18 @@ def _farther(df: DataFrame, kinds: DataFrame, near: DataFrame, staging: Staging)
 def _farther_in(own: Staging, df: DataFrame, kinds: DataFrame, near: DataFrame, staging: Staging) -> DataFrame:
     ranks = kinds.select("name", "first", "sketch").orderBy("first").withColumn("rank", F.monotonically_increasing_id())
     ranks = _settled(ranks, own, "ranks")
-    gone = near.withColumn("gone", F.lit(True))
-    told = ranks.select("name", "rank", "sketch").join(gone, "name", "left")
-    with staging.inner() as part:
-        rows = _settled(_shared(_pair_rows(df).withColumnRenamed("pair", "key")), part, "pairs")
-        spread = rows.join(told, "name").select(
-            "key", "rank", "code", "sketch", F.coalesce("gone", F.lit(False)).alias("gone")
-        )
-        spread = _settled(spread, own, "spread")
+    weights = _word_weights(df)
+
+    def spread_by(pairs: DataFrame, told: DataFrame) -> DataFrame:
+        with staging.inner() as part:
+            rows = _settled(_shared(pairs.withColumnRenamed("pair", "key")), part, "pairs")
+            spread = rows.join(told, "name").select(
+                "key", "rank", "code", "sketch", F.coalesce("gone", F.lit(False)).alias("gone")
+            )
+            return _settled(spread, own, "spread")
+
+    told = ranks.join(near.withColumn("gone", F.lit(True)), "name", "left")
+    spread = spread_by(_pair_rows(df, weights), told)
     line = F.struct("rank", "code", "sketch")
     leads = _settled(spread.groupBy("key").agg(F.min(line).alias("lead")), own, "leads")
 
@@ -522,17 +556,26 @@ def _farther_in(own: Staging, df: DataFrame, kinds: DataFrame, near: DataFrame,
     before = F.greatest(F.lit(0), low - of_high, of_low - high)
     after = F.greatest(F.lit(0), n - high - of_n + of_low, of_n - of_high - n + low)
     fits = (F.abs(n - of_n) <= most) & (before + after <= most)
-    alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("lead.sketch"))) <= 2 * most
+    # A word put in or taken out is one bit and one word more or less, a replaced one two bits.
+    alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("lead.sketch"))) + F.abs(n - of_n) <= 2 * most
     allowed = (F.col("lead.rank") < F.col("rank")) & (most > EDITS) & ((fits & alike) | (longer >= MOST_WORDS))
+    # Both lines have the same pair before this one, as far off, so they have met there.
+    met = (F.col("before") == F.col("lead.before")) & (F.col("gap") == F.col("lead.gap"))
 
+    def differing(a: str, b: str) -> Column:
+        return sum(F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_LONGS))
+
+    alike_in_wide = (differing("bits", "lead.bits") + F.abs(n - of_n) <= 2 * most) | (longer >= MOST_WORDS)
     of_other = [F.col("n").alias("other_n"), F.col("bits").alias("other_bits")]
-    differing = sum(F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("other_bits")[k])) for k in range(SKETCH_LONGS))
-    alike_in_all = differing <= 2 * F.floor(F.greatest("n", "other_n") / EDIT_WORDS)
+    apart = differing("bits", "other_bits") + F.abs(F.col("n") - F.col("other_n"))
+    alike_in_all = apart <= 2 * F.floor(F.greatest("n", "other_n") / EDIT_WORDS)
+
+    def links_of(rows: DataFrame, leads: DataFrame, bound: Column = allowed) -> DataFrame:
+        links = rows.join(leads, "key").filter(bound).select("rank", F.col("lead.rank").alias("other"))
+        return _settled(links.distinct(), own, "links")
 
-    def found(pairs: DataFrame) -> DataFrame:
+    def found(links: DataFrame) -> DataFrame:
         with staging.inner() as part:
-            links = pairs.filter(allowed).select("rank", F.col("lead.rank").alias("other")).distinct()
-            links = _settled(links, part, "links")
             asked = links.select("rank").union(links.select("other")).distinct()
             asked = _settled(ranks.join(asked, "rank").select("rank", "name", "first"), part, "linked")
             name = asked.select("rank", "name")
@@ -546,11 +589,38 @@ def _farther_in(own: Staging, df: DataFrame, kinds: DataFrame, near: DataFrame,
             alike = _confirmed(close, texts.join(compared, "name", "left_semi"), within_growing_bound).distinct()
             return _settled(alike, staging, "near")
 
-    left = spread.filter("NOT gone").drop("gone")
-    first = found(left.join(leads, "key"))
-    others = spread.select("key", line.alias("lead"))
-    left = left.join(ranks.join(first, "name").select("rank"), "rank", "left_anti")
-    return first.union(found(left.join(others, "key")))
+    first = found(links_of(spread.filter("NOT gone"), leads))
+    settled = ranks.join(first, "name").select("rank")
+    links, hot = [], _NO_LOGS
+    for turn in range(TURNS + 1):
+        sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_LINES)
+        hottest = most_frequent(own.table(sizes, "sizes"), "n", HOT_PAIRS)
+        keys, counts = _logs(hottest.toArrow(), "key")
+        new = ~np.isin(keys, hot[0])
+        last = turn == TURNS or not new.any()
+        # Lines that share a pair that is not hot meet in it. Those that share hot ones only are all told again.
+        here = spread if last else spread.join(F.broadcast(hottest.select("key")), "key", "left_anti")
+        bound, told_by = allowed, ["rank", "code", "sketch"]
+        if last and turn:
+            wide = _words_table(_asked_documents(df, told, own)).select("name", "bits").dropDuplicates(["name"])
+            wide = own.table(told.select("name", "rank").join(wide, "name").drop("name"), "bits")
+            by_heat = Window.partitionBy("rank").orderBy(F.desc("n"), "key")
+            gap = F.col("place") - F.lag("place").over(by_heat)
+            here = here.join(F.broadcast(hottest), "key", "left").withColumn("place", F.when(low == high, low))
+            here = here.join(wide, "rank").withColumns({"before": F.lag("key").over(by_heat), "gap": gap})
+            here = _settled(here.drop("n", "place"), own, "wide")
+            bound = allowed & alike_in_wide & ~F.coalesce(met, F.lit(False))
+            told_by += ["bits", "before", "gap"]
+        left = here.filter("NOT gone").join(settled, "rank", "left_anti")
+        links.append(links_of(left, here.select("key", F.struct(*told_by).alias("lead")), bound))
+        if last:
+            break
+        at = np.argsort(np.append(hot[0], keys[new]))
+        hot = np.append(hot[0], keys[new])[at], np.append(hot[1], counts[new])[at]
+        again = spread.join(F.broadcast(hottest.select("key")), "key", "left_semi").select("rank").distinct()
+        told = own.table(told.join(again, "rank"), "told")
+        spread = spread_by(_pair_rows(_asked_documents(df, told, own), weights, hot, asked=True), told)
+    return first.union(found(reduce(DataFrame.union, links).distinct()))
 
 
 def _one_edit_apart(df: DataFrame, kinds: DataFrame, part: Staging, staging: Staging) -> DataFrame:

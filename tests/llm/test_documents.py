@@ -653,6 +653,58 @@ def test_unlike_lines_with_a_rare_pair_are_not_compared(spark, stage, monkeypatc
     assert left == {"lines", "kinds", "near"} and all(not at._paths for _, _, at in seen if at is not stage)
 
 
+def staged_rows(monkeypatch):
+    """Names of staged tables from now on, each with its numbers of rows."""
+    seen, table = {}, Staging.table
+
+    def kept(self, df, name, by=None):
+        written = table(self, df, name, by)
+        seen.setdefault(name, []).append(written.count())
+        return written
+
+    monkeypatch.setattr(Staging, "table", kept)
+    return seen
+
+
+@pytest.mark.parametrize("turns", [0, 1, 2])
+def test_lines_told_again_equal_all_pairs(spark, stage, monkeypatch, turns):
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 2)
+    monkeypatch.setattr(line_dedup, "TURNS", turns)
+    rnd = random.Random(21)
+    passage = [rnd.choice(WORDS) for _ in range(30)]
+    base = [[rnd.choice(WORDS) for _ in range(n)] for n in (9, 12, 15, 20, 31)]
+    rows = []
+    for i in range(60):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.randrange(3 + len(w) // 4)):
+            k, p = rnd.choice("dis"), rnd.randrange(len(w) + 1)
+            w[p : p + (k != "i")] = [] if k == "d" else [rnd.choice(WORDS)]
+        rows.append((i, " ".join(w + passage * (i % 3 == 0))))
+    words = [x.split() for _, x in rows]
+    near = lambda a, b: edit_distance(a, b) <= max(1, max(len(a), len(b)) // 5)
+    expected = {i for i, w in enumerate(words) if len(w) >= 5 and any(len(v) >= 5 and near(w, v) for v in words[:i])}
+    seen = staged_rows(monkeypatch)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc for r in line_dedup.removed_lines(df, stage, grow=True).collect()} == expected
+    assert len(seen["sizes"]) == turns + 1 and seen["sizes"][0] > 0
+
+
+def test_lines_with_a_common_passage_are_not_all_compared(spark, stage, monkeypatch):
+    """As many links as lines, not as pairs of them, where lines of their own share a passage."""
+    rnd = random.Random(8)
+    own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage, n = own(60), 200
+    rows = [(i, " ".join(own(26) + passage)) for i in range(n)]
+    # One edit more than the first line's bound, and within that of another.
+    near = rows[120][1].split()
+    near[3:13] = own(10)
+    rows.append((n, " ".join(near)))
+    seen = staged_rows(monkeypatch)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert [r.doc for r in line_dedup.removed_lines(df, stage, grow=True).collect()] == [n]
+    assert sum(seen["links"]) <= 2 * n
+
+
 def test_sketches_tell_at_most_two_bits_an_edit():
     rnd = random.Random(4)
     for _ in range(50):
