@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotelens.operators.ranking import free_names
+from quotelens.session import fit_filters
 from quotelens.sources.layout import within_ranges
 from quotelens.sources.staging import Staging
 
@@ -87,8 +88,8 @@ class KeyFilter:
     statistics prune files and row groups by where ids grow with time, and then
     semi-joined to the keys, at any size and without a hint: Spark broadcasts the keys
     while they are few, and else puts a Bloom filter of them, whose size
-    :func:`quotelens.session.configure` bounds, over the scan of the large table, so
-    that most rows without a partner are never shuffled.
+    :func:`quotelens.session.fit_filters` fits to their number, over the scan of the
+    large table, so that most rows without a partner are never shuffled.
 
     Where no folder is shared nothing is written, and the semi-join stands alone.
     ``name`` tells the tables written for this filter from those of others.
@@ -118,11 +119,13 @@ class KeyFilter:
         if self._staging is None or not self._staging.enabled:
             return wanted, None
         name = "-".join(["keys", self._name, *columns])
-        ends = [F.min("__wanted").alias("least"), F.max("__wanted").alias("greatest")]
+        ends = [F.min("__wanted").alias("least"), F.max("__wanted").alias("greatest"), F.count("__wanted").alias("keys")]
         seen = Observation()
         staged = self._staging.table(wanted.observe(seen, *ends), name)
         # Keys that an earlier run wrote were not seen in this one.
-        return staged, staged.agg(*ends).first().asDict() if name in self._staging.resumed else seen.get
+        found = staged.agg(*ends).first().asDict() if name in self._staging.resumed else seen.get
+        fit_filters(staged.sparkSession, found["keys"], at_least=True)
+        return staged, found
 
     def apply(self, df: DataFrame, key: str, driving_cols: Sequence[str] = ()) -> DataFrame:
         """Rows of ``df`` whose ``key`` is in some driving column (its namesake by default).
@@ -143,7 +146,8 @@ class KeyFilter:
         For what would be cut and then joined to the same rows: it is shuffled once, and
         where ``df`` is a union Spark would put the cut into each of its parts.
         """
-        least, greatest = self._driving.agg(F.min(key), F.max(key)).first()
+        least, greatest, keys = self._driving.agg(F.min(key), F.max(key), F.count(key)).first()
+        fit_filters(df.sparkSession, keys, at_least=True)
         driving = self._driving
         if least is not None and _ordered_alike(df, key, driving, key):
             driving = driving.filter(F.col(key).between(least, greatest))

@@ -29,7 +29,7 @@ from quotelens.plans.premiums import (
     premium_totals,
 )
 from quotelens.plans.quotes import Tables, representative_quotes
-from quotelens.session import check_session
+from quotelens.session import check_session, fit_filters
 from quotelens.sources.sink import commit, run_key
 from quotelens.sources.staging import Staging
 
@@ -165,8 +165,11 @@ def _with_current_policy(base: DataFrame, totals: DataFrame) -> DataFrame:
 def _side_by_side(
     spark: SparkSession, builders: dict[str, Callable[[], Any]]
 ) -> dict[str, Any]:
-    """Run the builders at once: those that stage a table leave no core idle meanwhile."""
-    with ThreadPoolExecutor(len(builders)) as pool:
+    """Run the builders, two at once: while one stages a table the other leaves no core idle.
+
+    More at once keep the plans and filters of more queries in the driver's memory.
+    """
+    with ThreadPoolExecutor(2) as pool:
         started = {
             name: pool.submit(inheritable_thread_target(spark)(build))
             for name, build in builders.items()
@@ -197,9 +200,11 @@ def build_mart(
     check_session(spark)
     if staging is None or not staging.enabled:
         return _lazy(t, p)
+    fit_filters(spark)
     base = representative_quotes(t, p, in_study=True, staging=staging)
     base_columns = base.columns
     base = staging.table(base, "representative_quotes", by="quote_id")
+    fit_filters(spark, base.count())
     keep = KeyFilter(base, staging, "representative_quotes")
     both = ["quote_id", "current_policy_term_revision_quote_id"]
 

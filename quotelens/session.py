@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from threading import Lock
+
 from pyspark.sql import SparkSession
 
 # A join whose result is aggregated on the join key is left skewed by default,
@@ -15,9 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Bloom filters of join keys, over scans of what is no longer broadcast. Filters have
-    # 32 MB, and each key sets two bits (for so many items Spark takes two), as each task
-    # sends its filter: of 25 million keys they pass three in a hundred rows without a
-    # partner. Key sets of over 1 GB make none.
+    # 32 MB at most, and plans that know their keys make them smaller (:func:`fit_filters`).
+    # Key sets of over 1 GB make none.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "10MB",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
@@ -27,6 +28,17 @@ DEFAULTS = {
     "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "268435456",
 }
 
+_FILTER = "spark.sql.optimizer.runtime.bloomFilter."
+_ITEMS, _BITS = _FILTER + "expectedNumItems", _FILTER + "numBits"
+#: Where a session keeps the most bits a Bloom filter may have, and those it has now.
+_MOST, _FITTED = "quotelens.bloomFilter.most", "quotelens.bloomFilter.fitted"
+#: At six bits a key one in eighteen rows without a partner passes.
+BITS_PER_KEY = 6
+LEAST_BITS = 1 << 19
+#: A filter takes no more than this part of the driver's heap.
+DRIVER_PART = 384
+_fitting = Lock()
+
 #: Ways to write the zone that timestamps are meant in.
 UTC_NAMES = ("UTC", "ETC/UTC", "GMT", "Z", "+00:00", "UTC+0", "GMT+0")
 
@@ -40,6 +52,33 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fit_filters(spark: SparkSession, keys: int | None = None, at_least: bool = False) -> None:
+    """Give Bloom filters made from now on room for ``keys`` keys, or the most where it is not known.
+
+    Spark makes them all of one size, and the driver holds each several times over: as it
+    comes, as it is read, and in the tasks that it is sent with. So they have no more bits
+    than the keys at hand need, than a small part of the driver's memory holds, and than
+    the session was given or :data:`DEFAULTS` say. ``at_least``: leave them as they are if
+    they are fitted to more keys already. A smaller filter lets more rows pass to the join,
+    which drops them, so results are the same with any.
+    """
+    with _fitting:
+        now, fitted = spark.conf.get(_BITS, None), spark.conf.get(_FITTED, None)
+        if now is None:
+            return
+        ours = now == fitted
+        most = int(spark.conf.get(_MOST) if ours else now)
+        bits = min(most, 8 * spark._jvm.java.lang.Runtime.getRuntime().maxMemory() // DRIVER_PART)
+        if keys is not None:
+            bits = min(bits, max(LEAST_BITS, keys * BITS_PER_KEY))
+        if at_least and ours and bits <= int(now):
+            return
+        # Hashes are of these: four where each key has its bits, fewer where there is no room.
+        items = max(keys or 0, bits // BITS_PER_KEY)
+        for name, value in ((_MOST, most), (_ITEMS, items), (_BITS, bits), (_FITTED, bits)):
+            spark.conf.set(name, value)
+
+
 def check_session(spark: SparkSession) -> None:
     """Refuse a session whose dates or casts would differ from the documented ones.
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from threading import Lock, get_ident
+from time import sleep
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +13,8 @@ from helpers import plan, rows
 from mart_fixture import fixture_tables
 from quotelens import MartParams, build_mart, load_tables
 from quotelens.operators import KeyFilter
-from quotelens.session import DEFAULTS, configure
+from quotelens.plans.assemble import _side_by_side
+from quotelens.session import DEFAULTS, configure, fit_filters
 from quotelens.sources import SCHEMAS, Staging, write_ranges
 from quotelens.sources.schemas import database_of
 
@@ -193,3 +198,70 @@ def test_bloom_filters_reach_scans_and_keys_of_a_large_mart():
     # Tables that are not broadcast are filtered, and 25 million keys leave most bits unset.
     assert size["applicationSideScanSizeThreshold"] == "10MB" and size["creationSideThreshold"] == "1GB"
     assert 2 * 25_000_000 < int(size["numBits"]) / 4 and size["numBits"] == size["maxNumBits"]
+
+
+BITS = "spark.sql.optimizer.runtime.bloomFilter.numBits"
+
+
+def filters(df) -> list[tuple[int, int]]:
+    """Items and bits of the Bloom filters in the plan of ``df``."""
+    said = df._jdf.queryExecution().optimizedPlan().toString()
+    return [(int(n), int(m)) for n, m in re.findall(r"bloom_filter_agg\(.*?, (\d+), (\d+), 0, 0\)", said)]
+
+
+def test_bloom_filters_are_as_large_as_their_keys_need(shuffled, tmp_path):
+    spark = shuffled
+    spark.range(200_000).selectExpr("id AS k").write.parquet(str(tmp_path / "children"))
+    children = spark.read.parquet(str(tmp_path / "children"))
+    with Staging(spark) as staging:
+        # Few keys, then many, then few again, which share a run's filters with the many.
+        for n, bits in ((10, 1 << 19), (150_000, 900_000), (10, 900_000)):
+            driving = spark.range(n).selectExpr("id * 2 AS k")
+            cut = KeyFilter(driving, staging).apply(children, "k")
+            assert {m for _, m in filters(cut)} == {bits}
+            assert cut.count() == min(n, 100_000)
+            _, below = KeyFilter(driving, staging).through(driving, f"driving_{n}_{bits}")
+            assert {m for _, m in filters(below.joined(children, "k"))} == {bits}
+    fit_filters(spark, 10)
+    assert spark.conf.get(BITS) == str(1 << 19)
+
+
+def test_bloom_filters_never_exceed_what_driver_and_user_allow(shuffled):
+    spark = shuffled
+    heap = spark._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    fit_filters(spark, 10**12)
+    assert int(spark.conf.get(BITS)) == min(int(DEFAULTS[BITS]), 8 * heap // 384)
+    # What the user sets stays the most, also when it was less in between.
+    spark.conf.set(BITS, "700000")
+    for keys, bits in ((10**6, 700_000), (10, 1 << 19), (None, 700_000)):
+        fit_filters(spark, keys)
+        assert int(spark.conf.get(BITS)) == bits
+    # A session that nothing set a size in is left alone.
+    spark.conf.unset(BITS)
+    fit_filters(spark, 10)
+    assert spark.conf.get(BITS, None) is None
+
+
+def test_a_small_mart_makes_small_bloom_filters_and_plans_two_parts_at_once(shuffled):
+    spark = shuffled
+    tables = fixture_tables(spark)
+    with Staging(spark) as staging:
+        ours = rows(build_mart(tables, MartParams(), staging))
+    assert spark.conf.get(BITS) == str(1 << 19)
+    assert ours == rows(build_mart(tables, MartParams()))
+    running, most, lock = set(), [0], Lock()
+
+    def part(n: int):
+        def run() -> int:
+            with lock:
+                running.add(get_ident())
+                most[0] = max(most[0], len(running))
+            sleep(0.1)
+            with lock:
+                running.discard(get_ident())
+            return n
+
+        return run
+
+    assert _side_by_side(spark, {str(n): part(n) for n in range(5)}) == {str(n): n for n in range(5)}
+    assert most[0] == 2
