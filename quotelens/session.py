@@ -26,6 +26,9 @@ DEFAULTS = {
     "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "96000000",
     "spark.sql.optimizer.runtime.bloomFilter.numBits": "268435456",
     "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "268435456",
+    # Joins of the mart's wide rows, generated as one method each, took the JVM's compiler
+    # up to 1.8 GB of an executor outside its heap. Those on more fields are not fused.
+    "spark.sql.codegen.maxFields": "50",
 }
 
 _FILTER = "spark.sql.optimizer.runtime.bloomFilter."

@@ -265,3 +265,14 @@ def test_a_small_mart_makes_small_bloom_filters_and_plans_two_parts_at_once(shuf
 
     assert _side_by_side(spark, {str(n): part(n) for n in range(5)}) == {str(n): n for n in range(5)}
     assert most[0] == 2
+
+
+def test_joins_of_wide_rows_are_not_generated_as_one_method(shuffled):
+    spark = shuffled
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    for columns, fused in ((10, True), (60, False)):
+        many = spark.range(9).select("id", *[(F.col("id") + i).alias(f"c{i}") for i in range(columns)])
+        met = many.join(spark.range(3), "id", "left")
+        said = met._jdf.queryExecution().executedPlan().toString()
+        assert bool(re.search(r"\*\(\d+\) SortMergeJoin", said)) == fused
+        assert met.count() == 9
