@@ -33,8 +33,6 @@ DEFAULTS = {
 
 _FILTER = "spark.sql.optimizer.runtime.bloomFilter."
 _ITEMS, _BITS = _FILTER + "expectedNumItems", _FILTER + "numBits"
-#: Where a session keeps the most bits a Bloom filter may have, and those it has now.
-_MOST, _FITTED = "quotelens.bloomFilter.most", "quotelens.bloomFilter.fitted"
 #: At six bits a key one in eighteen rows without a partner passes.
 BITS_PER_KEY = 6
 LEAST_BITS = 1 << 19
@@ -47,7 +45,14 @@ UTC_NAMES = ("UTC", "ETC/UTC", "GMT", "Z", "+00:00", "UTC+0", "GMT+0")
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Fill in :data:`DEFAULTS`; a value given at launch or by the user is kept."""
+    """Fill in :data:`DEFAULTS`; a value given at launch or by the user is kept.
+
+    Bloom filters that an earlier mart was fitted with get the size back that they had before.
+    """
+    with _fitting:
+        for name in (_ITEMS, _BITS):
+            if (value := _given(spark, name)) is not None:
+                spark.conf.set(name, value)
     given = spark.conf.getAll
     for name, value in DEFAULTS.items():
         if name not in given:
@@ -55,6 +60,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _given(spark: SparkSession, name: str) -> str | None:
+    """The value that a session had before :func:`fit_filters` put its own in its place."""
+    now = spark.conf.get(name, None)
+    ours = now is not None and now == spark.conf.get(f"quotelens.fitted.{name}", None)
+    return spark.conf.get(f"quotelens.given.{name}") if ours else now
+
+
 def fit_filters(spark: SparkSession, keys: int | None = None, at_least: bool = False) -> None:
     """Give Bloom filters made from now on room for ``keys`` keys, or the most where it is not known.
 
@@ -66,19 +78,21 @@ def fit_filters(spark: SparkSession, keys: int | None = None, at_least: bool = F
     which drops them, so results are the same with any.
     """
     with _fitting:
-        now, fitted = spark.conf.get(_BITS, None), spark.conf.get(_FITTED, None)
-        if now is None:
+        given = {name: _given(spark, name) for name in (_ITEMS, _BITS)}
+        if None in given.values():
             return
-        ours = now == fitted
-        most = int(spark.conf.get(_MOST) if ours else now)
+        now, most = int(spark.conf.get(_BITS)), int(given[_BITS])
+        ours = spark.conf.get(f"quotelens.fitted.{_BITS}", None) == str(now)
         bits = min(most, 8 * spark._jvm.java.lang.Runtime.getRuntime().maxMemory() // DRIVER_PART)
         if keys is not None:
             bits = min(bits, max(LEAST_BITS, keys * BITS_PER_KEY))
-        if at_least and ours and bits <= int(now):
+        if at_least and ours and bits <= now:
             return
         # Hashes are of these: four where each key has its bits, fewer where there is no room.
         items = max(keys or 0, bits // BITS_PER_KEY)
-        for name, value in ((_MOST, most), (_ITEMS, items), (_BITS, bits), (_FITTED, bits)):
+        for name, value in ((_ITEMS, items), (_BITS, bits)):
+            spark.conf.set(f"quotelens.given.{name}", given[name])
+            spark.conf.set(f"quotelens.fitted.{name}", value)
             spark.conf.set(name, value)
 
 

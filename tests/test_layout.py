@@ -236,6 +236,12 @@ def test_bloom_filters_never_exceed_what_driver_and_user_allow(shuffled):
     for keys, bits in ((10**6, 700_000), (10, 1 << 19), (None, 700_000)):
         fit_filters(spark, keys)
         assert int(spark.conf.get(BITS)) == bits
+    # Configured again, the session has what the user set, and the items that went with it.
+    fit_filters(spark, 10)
+    items = BITS.replace("numBits", "expectedNumItems")
+    assert spark.conf.get(BITS) == str(1 << 19) and spark.conf.get(items) != DEFAULTS[items]
+    configure(spark)
+    assert (spark.conf.get(BITS), spark.conf.get(items)) == ("700000", DEFAULTS[items])
     # A session that nothing set a size in is left alone.
     spark.conf.unset(BITS)
     fit_filters(spark, 10)
